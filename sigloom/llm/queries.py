@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from sigloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from sigloom.llm.langid import op6_langid
 from sigloom.llm.mixing import op4_mixing
 from sigloom.llm.packing import op9_packing
 from sigloom.llm.quality import op2_quality
 from sigloom.llm.sharding import op10_sharding
 from sigloom.llm.simhash import op1_simhash
+from sigloom.llm.substring import op5_substring
 
 
 def queries() -> dict:
@@ -15,6 +17,8 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op2_quality": op2_quality,
         "op4_mixing": op4_mixing,
+        "op5_substring": op5_substring,
+        "op6_langid": op6_langid,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
