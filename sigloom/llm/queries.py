@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sigloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from sigloom.llm.html_extract import op3_html
 from sigloom.llm.langid import op6_langid
 from sigloom.llm.mixing import op4_mixing
 from sigloom.llm.packing import op9_packing
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op2_quality": op2_quality,
+        "op3_html": op3_html,
         "op4_mixing": op4_mixing,
         "op5_substring": op5_substring,
         "op6_langid": op6_langid,
