@@ -7,6 +7,7 @@ from sigloom.llm.html_extract import op3_html
 from sigloom.llm.langid import op6_langid
 from sigloom.llm.mixing import op4_mixing
 from sigloom.llm.packing import op9_packing
+from sigloom.llm.pii import op7_pii
 from sigloom.llm.quality import op2_quality
 from sigloom.llm.sharding import op10_sharding
 from sigloom.llm.simhash import op1_simhash
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op4_mixing": op4_mixing,
         "op5_substring": op5_substring,
         "op6_langid": op6_langid,
+        "op7_pii": op7_pii,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
