@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +55,29 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def with_row_id(docs: DataFrame, tag: str, **extra: Column) -> DataFrame:
-    """docs with a row id `_rid` and the extra columns, materialized: the id stays the same in all later reads."""
-    return materialize(docs.withColumns({**extra, "_rid": F.monotonically_increasing_id()}), tag)
+def with_row_id(rows: DataFrame, tag: str) -> DataFrame:
+    """Narrow rows with a row id `_rid`, materialized: the id stays the same in all later reads."""
+    return materialize(rows.withColumn("_rid", F.monotonically_increasing_id()), tag)
+
+
+def identified(docs: DataFrame, tag: str) -> tuple[DataFrame, list[str]]:
+    """docs with two columns that tell its rows apart, whatever they hold and however often they are read; their names.
+
+    Rows of files are known by their file and place in it, so no text is written. Other tables are materialized first.
+    """
+    names = ["_file", "_row"]
+    while set(names) & {c.lower() for c in docs.columns}:
+        names = [f"_{n}" for n in names]
+    place = [F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])]
+    try:
+        return docs.select("*", *place), names
+    except AnalysisException:
+        return materialize(docs, tag).select("*", *place), names
+
+
+def keep_rows(docs: DataFrame, ids: list[str], kept: DataFrame) -> DataFrame:
+    """The rows of docs whose ids are in kept, without the ids. The order of columns stays."""
+    return docs.join(kept.select(*ids), ids, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ids])
 
 
 def text_or_empty(text: str | Column = "text") -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import SPACE_RUN, materialize, read_table, text_or_empty, with_row_id
+from sigloom.llm._common import SPACE_RUN, identified, keep_rows, materialize, read_table, text_or_empty, with_row_id
 
 
 def digest(text: str = "text"):
@@ -22,20 +22,42 @@ def digest(text: str = "text"):
 
 
 class DigestIndex:
-    """A persistent index in the warehouse. buckets: fixed when the table is first written; later batches follow it."""
+    """A persistent index: a bucketed table at <root>/<table>/b<buckets>, found again by later sessions.
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+    root: the warehouse, if not given. buckets: fixed when the table is first written; later batches follow it.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None, root: str | None = None):
         self.spark, self.table = spark, table
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if self.exists():
-            found = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Num Buckets'").first()
-            self.buckets = int(found["data_type"])
+        self.home = f"{(root or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{table}"
+        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.home).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.buckets = self._found() or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _path(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _found(self) -> int | None:
+        """The number of buckets of the index that is there."""
+        if not self.fs.exists(self._path(self.home)):
+            return None
+        names = [str(x.getPath().getName()) for x in self.fs.listStatus(self._path(self.home))]
+        return next((int(n[1:]) for n in names if n[:1] == "b" and n[1:].isdigit()), None)
+
+    @property
+    def location(self) -> str:
+        return f"{self.home}/b{self.buckets}"
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+        if self._found() is None:
+            return False
+        if not self.spark.catalog.tableExists(self.table):  # written by an earlier session
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(self.location).schema)
+            self.spark.sql(f"CREATE TABLE {self.table} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}'")
+        return True
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.fs.delete(self._path(self.home), True)
 
     def append(self, winners: DataFrame) -> DataFrame:
         """Add the winners (digest, win_rid, win_id, win_len, group_size) that are new; give all, with the old keeper if any."""
@@ -50,12 +72,12 @@ class DigestIndex:
         else:
             winners = winners.withColumns({"old_id": F.col("win_id"), "old": F.lit(None).cast("boolean")})
         rows = fresh.select("digest", F.col("win_id").alias("keep_id"), F.col("win_len").alias("keep_len"))
-        (rows.repartition(self.buckets, "digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
+        (rows.repartition(self.buckets, "digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.location).saveAsTable(self.table))
         return winners
 
 
-def find_keepers(keys: DataFrame, index: DigestIndex) -> DataFrame:
-    """keys (_rid, _id, digest, len) with keep_id, group_size and kept; appends to the index."""
+def find_keepers(keys: DataFrame, index: DigestIndex, *more: str) -> DataFrame:
+    """keys (_rid, _id, digest, len, more) with keep_id, group_size and kept; appends to the index."""
     best = F.min(F.struct((-F.col("len")).alias("neg"), F.col("_id").alias("id"), F.col("_rid").alias("rid"))).alias("best")
     winners = keys.groupBy("digest").agg(best, F.count("*").alias("group_size"))
     winners = materialize(
@@ -66,25 +88,24 @@ def find_keepers(keys: DataFrame, index: DigestIndex) -> DataFrame:
     out = keys.join(told.drop("win_len"), "digest")
     old = F.coalesce("old", F.lit(False))
     return out.select(
-        "_rid", F.col("_id").alias("doc_id"), F.when(old, F.col("old_id")).otherwise(F.col("win_id")).alias("keep_id"), "group_size", (~old & (F.col("_rid") == F.col("win_rid"))).alias("kept"), "digest"
+        "_rid", F.col("_id").alias("doc_id"), F.when(old, F.col("old_id")).otherwise(F.col("win_id")).alias("keep_id"), "group_size", (~old & (F.col("_rid") == F.col("win_rid"))).alias("kept"), "digest", *more
     )
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns kept."""
-    rows = with_row_id(docs, "exact", _digest=digest(text_col), _len=F.length(text_or_empty(text_col)).cast("long"))
-    keys = rows.select("_rid", F.col(id_col).alias("_id"), F.col("_digest").alias("digest"), F.col("_len").alias("len"))
-    kept = find_keepers(keys, index).where("kept").select("_rid")
-    return rows.join(kept, "_rid", "left_semi").select(*docs.columns)
+    rows, ids = identified(docs, "exact")
+    keys = rows.select(*ids, F.col(id_col).alias("_id"), digest(text_col).alias("digest"), F.length(text_or_empty(text_col)).cast("long").alias("len"))
+    return keep_rows(rows, ids, find_keepers(with_row_id(keys, "digests"), index, *ids).where("kept"))
 
 
 def query_index(spark: SparkSession, use: str, sf_dir: str) -> DigestIndex:
     """An empty index for one run over sf_dir; the one of an earlier run over it is dropped."""
     import zlib
 
-    index = DigestIndex(spark, f"llm_digests_{use}_{zlib.crc32(sf_dir.encode()):08x}")
-    index.drop()
-    return index
+    table = f"llm_digests_{use}_{zlib.crc32(sf_dir.encode()):08x}"
+    DigestIndex(spark, table).drop()
+    return DigestIndex(spark, table)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

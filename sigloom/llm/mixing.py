@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import discard, materialize, read_table, uniform, with_row_id, word_count
+from sigloom.llm._common import identified, materialize, read_table, uniform, with_row_id, word_count
 
 CHUNK = 64
 WEIGHTS = (5, 2, 1)
@@ -138,10 +138,10 @@ def row_key() -> Column:
 
 def mix_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """docs with each row repeated as often as the mix takes it."""
-    rows = with_row_id(docs, "mix", _size=word_count(), _key=row_key())
-    picked = mix(rows.select(F.col("_rid").alias("rid"), F.col("_key").alias("key"), "source", F.col("_size").alias("size")), seed, **options).where("copies > 0")
-    out = rows.join(picked.select(F.col("rid").alias("_rid"), "copies"), "_rid")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    rows, ids = identified(docs, "mix")
+    keys = with_row_id(rows.select(*ids, "source", word_count().alias("size"), row_key().alias("key")), "sizes")
+    picked = mix(keys.withColumnRenamed("_rid", "rid"), seed, **options).where("copies > 0").select(*ids, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
+    return rows.join(picked.select(*ids), ids).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import materialize, read_table
+from sigloom.llm._common import identified, keep_rows, materialize, read_table
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,9 +58,8 @@ def stats(text: Column) -> Column:
 
 
 def scored(docs: DataFrame, *keep: str) -> DataFrame:
-    """docs (or its columns `keep`) with the struct _s of statistics and the struct _f of rule failures."""
-    columns = list(keep) if keep else docs.columns
-    with_stats = docs.select(*columns, stats(F.col("text")).alias("_s"))
+    """The columns `keep` of docs with the struct _s of statistics and the struct _f of rule failures."""
+    with_stats = docs.select(*keep, stats(F.col("text")).alias("_s"))
     fails = F.struct(*[F.expr(re.sub(r"\b([a-z]\w+)\b", r"_s.\1", rule)).alias(name) for name, rule in RULES.items()])
     return with_stats.withColumn("_f", fails)
 
@@ -99,7 +98,8 @@ def with_verdicts(docs: DataFrame, host: str = "source", host_rate: float = 0.6,
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns kept."""
-    return with_verdicts(materialize(scored(docs), "scored")).where("kept").select(*docs.columns)
+    rows, ids = identified(docs, "quality")
+    return keep_rows(rows, ids, with_verdicts(materialize(scored(rows, *ids, "source"), "scored")).where("kept"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import components, materialize, read_table, with_row_id
+from sigloom.llm._common import components, identified, keep_rows, materialize, read_table
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -207,11 +207,10 @@ def near_components(keys: DataFrame, distance: int = 2, leaf: int = 4096) -> Dat
 
 def near_dedup(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id (null first)."""
-    rows = with_row_id(docs, "near", _fp=fingerprint(F.col("text"), width))
-    key = F.struct(F.col("doc_id"), F.col("_rid"))
-    reps = near_components(rows.select(F.col("_fp").alias("fp"), key.alias("k")), distance)
-    stay = reps.select(F.col("rep._rid").alias("_rid")).distinct()
-    return rows.join(stay, "_rid", "left_semi").select(*docs.columns)
+    rows, ids = identified(docs, "near")
+    keys = materialize(rows.select(fingerprint(F.col("text"), width).alias("fp"), F.struct("doc_id", *ids).alias("k")), "prints")
+    reps = near_components(keys, distance)
+    return keep_rows(rows, ids, reps.select("rep.*").distinct())
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
