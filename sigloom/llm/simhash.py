@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import components, identified, keep_rows, materialize, read_table
+from sigloom.llm._common import components, materialize, read_table
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -205,14 +205,6 @@ def near_components(keys: DataFrame, distance: int = 2, leaf: int = 4096) -> Dat
     return materialize(own.join(rep, "fp", "left").select("fp", F.coalesce("rep", "own").alias("rep")), "classes")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id (null first)."""
-    rows, ids = identified(docs, "near")
-    keys = materialize(rows.select(fingerprint(F.col("text"), width).alias("fp"), F.struct("doc_id", *ids).alias("k")), "prints")
-    reps = near_components(keys, distance)
-    return keep_rows(rows, ids, reps.select("rep.*").distinct())
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rows = materialize(docs.select("doc_id", fingerprint(F.col("text"), 3).alias("fp")), "prints")
