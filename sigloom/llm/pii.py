@@ -39,17 +39,19 @@ NAMES = {
 _W = r"\p{L}\p{N}"
 _TITLE = "(?:" + "|".join(t for row in TITLES.values() for t in sorted(row, key=len, reverse=True)) + r")"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: In the order in which they are tried at one place. Possessive runs and fixed starts keep the scan linear.
+#: In the order in which they are tried at one place. All start where no letter or digit is before them; possessive
+#: runs and bounded repeats keep the scan linear.
 PATTERNS = {
-    "email": rf"(?<![{_W}._%+\-])[{_W}_][{_W}._%+\-]{{0,63}}+@(?:[{_W}\-]{{1,63}}+\.)+\p{{L}}{{2,24}}(?![{_W}])",
-    "ip": rf"(?<![{_W}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![{_W}]|\.\d)",
-    "iban": rf"(?<![{_W}])[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_W}])",
-    "secret": rf"(?<![{_W}])(?=[a-zA-Z]*+\d)(?:[0-9a-f]{{32,128}}+|[0-9A-F]{{32,128}}+)(?![{_W}])",
-    "card": rf"(?<![{_W}.+])\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?![{_W}])",
-    "phone": rf"(?<![{_W}])(?:\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ .\-]?\d{{3}}[ .\-]\d{{4}}|\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}})(?![{_W}])",
-    "person": rf"(?<![{_W}]){_TITLE}\.? \p{{Lu}}[\p{{L}}'\-]{{1,30}}+(?: \p{{Lu}}[\p{{L}}'\-]{{1,30}}+)?",
+    "email": rf"(?<![._%+\-])[{_W}_][{_W}._%+\-]{{0,63}}+@(?:[{_W}\-]{{1,63}}+\.)+\p{{L}}{{2,24}}(?![{_W}])",
+    "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![{_W}]|\.\d)",
+    "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_W}])",
+    "secret": rf"(?=[a-zA-Z]{{0,127}}+\d)(?:[0-9a-f]{{32,128}}+|[0-9A-F]{{32,128}}+)(?![{_W}])",
+    "card": rf"(?<![.+])\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?![{_W}])",
+    "phone": rf"(?:\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ .\-]?\d{{3}}[ .\-]\d{{4}}|\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}})(?![{_W}])",
+    "person": rf"{_TITLE}\.? \p{{Lu}}[\p{{L}}'\-]{{1,30}}+(?: \p{{Lu}}[\p{{L}}'\-]{{1,30}}+)?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: One look back for all, so most places of a text cost one step.
+ANY = rf"(?<![{_W}])(?:" + "|".join(PATTERNS.values()) + ")"
 
 
 def _digits(s: Column) -> Column:
@@ -86,7 +88,7 @@ def _stream(seed: Column, n: int) -> list[Column]:
 
 def _numbers(seed: Column) -> Column:
     """An array of 64 numbers from 0 to 255."""
-    return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(F.concat(*_stream(seed, 2)), i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    return F.transform(F.regexp_extract_all(F.concat(*_stream(seed, 2)), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def _like(text: Column, numbers: Column) -> Column:
@@ -104,7 +106,11 @@ def _like(text: Column, numbers: Column) -> Column:
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form of the surrogate."""
     seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
-    num = _numbers(seed)
+    # worked out once: in the expressions below it is a variable
+    return F.element_at(F.transform(F.array(F.struct(seed.alias("seed"), _numbers(seed).alias("num"))), lambda x: _made(kind, canon, x.seed, x.num)), 1)
+
+
+def _made(kind: Column, canon: Column, seed: Column, num: Column) -> Column:
     at = lambda k: F.element_at(num, k)
     email = F.concat(_like(F.substring_index(canon, "@", 1), num), F.lit("@"), F.concat(F.lower(F.substring(F.sha2(seed, 256), 1, 6)), F.lit(".example."), F.element_at(F.split(canon, r"\."), -1)))
     private = canon.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)")
@@ -174,7 +180,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     has = F.col("text").rlike(ANY)
     spots = F.transform(found, lambda x: F.struct(x.m.alias("m"), x.kind.alias("kind"), canonical(x.kind, x.m).alias("canon")))
-    rows = with_row_id(docs.where(has), "pii", _spots=spots)
+    rows = with_row_id(docs.where(has).withColumn("_spots", spots), "pii")
     own = rows.select("_rid", F.explode(F.array_distinct(F.transform("_spots", lambda x: F.struct(x.kind.alias("kind"), x.canon.alias("canon"))))).alias("e")).select("_rid", "e.kind", "e.canon").where("kind IS NOT NULL")
     own = materialize(own, "mentions")
     table = surrogate_table(materialize(own.select("kind", "canon").distinct(), "entities"), key)
