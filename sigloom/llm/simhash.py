@@ -173,7 +173,7 @@ def _with_end(batches):
 
 def links(fps: DataFrame, distance: int = 2, leaf: int = 4096) -> DataFrame:
     """fps (fp: distinct longs) -> links (a, b) that join all fingerprints within the distance, directly or by others."""
-    rest, leaves = None, []
+    leaf, leaves = max(leaf, 1 << distance), []  # a node with too few free bits for another level is no larger
     masks = _bands((1 << 64) - 1, distance + 1)
     nodes = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     while True:
@@ -185,8 +185,8 @@ def links(fps: DataFrame, distance: int = 2, leaf: int = 4096) -> DataFrame:
         leaves.append(nodes.join(heavy, ["mask", "pattern"], "left_anti"))
         masks = [r[0] for r in heavy.select("mask").distinct().collect()]  # at most (distance + 1) ** depth of them
         child = F.coalesce(*[F.when(F.col("mask") == m, F.array(*[F.lit(_signed(b | m & (1 << 64) - 1)) for b in _bands(~m & (1 << 64) - 1, distance + 1)])) for m in masks])
-        rest = nodes.join(heavy, ["mask", "pattern"], "left_semi")
-        nodes = materialize(rest.select("fp", F.explode(child).alias("mask")), "nodes")
+        large = nodes.join(heavy, ["mask", "pattern"], "left_semi")
+        nodes = materialize(large.select("fp", F.explode(child).alias("mask")), "nodes")
     out = None
     for part in leaves:
         part = part.select("mask", "pattern", "fp").repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
