@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Wave: (offset from R in s, height, width in s).
-WAVES = {"P": (-0.16, 0.12, 0.022), "Q": (-0.028, -0.10, 0.009), "R": (0.0, 1.0, 0.011), "S": (0.028, -0.18, 0.010), "T": (0.24, 0.28, 0.045)}
+WAVES = {"P": (-0.13, 0.10, 0.018), "Q": (-0.028, -0.10, 0.009), "R": (0.0, 1.0, 0.011), "S": (0.028, -0.18, 0.010), "T": (0.22, 0.22, 0.035)}
 
 
 def recording(seconds: float, seed: int, fs: float = 234.45, hr: float = 70.0, noise: float = 1.0, wander: float = 5.0, inverted: bool = False, base: float = 340.0, height: float = 150.0) -> tuple[np.ndarray, np.ndarray]:
