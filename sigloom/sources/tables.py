@@ -36,14 +36,16 @@ def read_diary(spark: SparkSession, path: str, *, date_column: str = "Date", dat
 
 def with_date(df: DataFrame, column: str, fmt: str, policy: str = "raise") -> DataFrame:
     """df with `date` of type date from a text column in a strict format. Policy for what cannot be read: raise, or null
-    (which raises as well if no date at all can be)."""
-    out = df.withColumn("date", F.try_to_timestamp(F.col(f"`{column}`").cast("string"), F.lit(java_date_format(fmt))).cast("date"))
+    (which raises as well if no date at all can be). A text column of the same name is kept as <name>_text."""
+    if column.lower() == "date":
+        df = df.withColumnRenamed(column, column := f"{column}_text")
+    text = F.col(f"`{column}`").cast("string")
+    out = df.withColumn("date", F.try_to_timestamp(text, F.lit(java_date_format(fmt))).cast("date"))
     lost = F.col("date").isNull()
-    n, bad, some = df.withColumn("_d", F.try_to_timestamp(F.col(f"`{column}`").cast("string"), F.lit(java_date_format(fmt)))).agg(
-        F.count("*"), F.count(F.when(F.col("_d").isNull(), 1)), F.slice(F.array_sort(F.collect_set(F.when(F.col("_d").isNull() & (F.rand(1) >= 0), F.substring(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("NULL")), 1, 40)))), 1, 5)
-    ).first() if policy == "raise" else (*out.agg(F.count("*"), F.count(F.when(lost, 1))).first(), None)
+    n, bad = out.agg(F.count("*"), F.count(F.when(lost, 1))).first()
     if bad and (policy == "raise" or bad == n):
-        raise ValueError(f"{bad} of {n} dates in {column} are not like {fmt}" + (f": {', '.join(some)}" if some else ""))
+        some = [str(r[0]) for r in out.where(lost).select(text).limit(5).collect()]
+        raise ValueError(f"{bad} of {n} dates in {column} are not like {fmt}: {', '.join(some)}")
     return out
 
 
