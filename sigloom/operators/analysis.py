@@ -126,12 +126,13 @@ def leaks(df: DataFrame, catalog: DataFrame, target_columns: list[str], forbidde
     forbidden by name."""
     entries = [r.asDict() for r in catalog.collect()]  # as many as the protocol has columns
     of = {e["column"]: e for e in entries}
+    numbers = {c for c, kind in df.dtypes if kind == "double"}
     found: list[tuple[str, str, str]] = [(t, f, "forbidden") for t, fs in (forbidden or {}).items() for f in fs]
     asked = []
     for t in target_columns:
         for e in entries:
             c = e["column"]
-            if e["role"] == "target" or c not in df.columns or c == t:
+            if e["role"] in ("target", "meta", "qc") or c not in numbers or c == t:
                 continue
             if of.get(t, {}).get("operation_id") and of[t]["operation_id"] == e.get("operation_id"):
                 found.append((t, c, "same_operation"))
