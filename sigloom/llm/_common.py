@@ -14,10 +14,22 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch of whole texts: what a Python worker holds at once.
+TEXT_BATCH = 512
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Have texts sent to Python in small batches, unless the session says how many rows a batch has."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default, made for numbers
+        spark.conf.set(key, str(TEXT_BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one of our own only where none is set (local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,6 +77,7 @@ def identified(docs: DataFrame, tag: str) -> tuple[DataFrame, list[str]]:
 
     Rows of files are known by their file and place in it, so no text is written. Other tables are materialized first.
     """
+    text_batches(docs.sparkSession)
     names = ["_file", "_row"]
     while set(names) & {c.lower() for c in docs.columns}:
         names = [f"_{n}" for n in names]

@@ -141,7 +141,7 @@ def mix_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     rows, ids = identified(docs, "mix")
     keys = with_row_id(rows.select(*ids, "source", word_count().alias("size"), row_key().alias("key")), "sizes")
     picked = mix(keys.withColumnRenamed("_rid", "rid"), seed, **options).where("copies > 0").select(*ids, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"))
-    return rows.join(picked.select(*ids), ids).select(*docs.columns)
+    return rows.join(picked.select(*ids), ids).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
