@@ -105,4 +105,29 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     out = with_verdicts(materialize(scored(docs, "doc_id", "source"), "scored"))
-    return out.select("doc_id", *[f"_s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "host_rejected", "host_fail_rate")
+    return out.select("doc_id", *[f"_s.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "host_rejected", F.round("host_fail_rate", 6).alias("host_fail_rate"))
+
+
+def _sql() -> str:
+    words = r"regexp_extract_all(x, '[^\x20\x09-\x0D]+')"
+    names = [*RULES, "any"]
+    fails = ", ".join(f"{rule} AS f_{name}" for name, rule in RULES.items())
+    sums = ", ".join(f"sum(CAST(f_{r} AS BIGINT)) AS n_{r}" for r in names)
+    figures = ", ".join(f"sum(n_{r}) / sum(docs) AS m_{r}, coalesce(var_samp(n_{r} / docs), 0) AS v_{r}" for r in names)
+    # the prior of a rule: mean m and strength k
+    strength = "greatest(m_{0} * (1 - m_{0}) / greatest(v_{0} - m_{0} * (1 - m_{0}) * inv, 1e-4) - 1, 2.0) AS k_{0}"
+    rates = ", ".join(f"(n_{r} + m_{r} * k_{r}) / (docs + k_{r}) AS rate_{r}" for r in names)
+    hit = " OR ".join(f"(f_{r} AND coalesce(rate_{r} > 0.4, FALSE))" for r in RULES)
+    return rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents), w AS (SELECT doc_id, source, x, {words} AS w, row_number() OVER () AS rid FROM t),
+p AS (SELECT rid, k, array_to_string(w[k:k+2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
+c AS (SELECT rid, count(DISTINCT k + j) AS n FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, g) AS c FROM p), range(0, 3) AS r(j) WHERE c > 1 GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT y) AS n_dup FROM (SELECT rid, unnest(string_split(x, chr(10))) AS y FROM w) WHERE regexp_matches(y, '[^ 	-]') GROUP BY rid),
+s AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[ 	-]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (rid) LEFT JOIN l USING (rid)),
+f AS (SELECT *, {fails} FROM s), a AS (SELECT *, {" OR ".join(f"f_{r}" for r in RULES)} AS f_any FROM f),
+h AS (SELECT source, count(*) AS docs, {sums} FROM a WHERE source IS NOT NULL GROUP BY 1), m AS (SELECT avg(1 / docs) AS inv, {figures} FROM h), k AS (SELECT *, {", ".join(strength.format(r) for r in names)} FROM m),
+v AS (SELECT source, {rates} FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_short OR f_repeats AS base_failed, NOT (f_short OR f_repeats OR coalesce(rate_any > 0.6, FALSE) OR {hit}) AS kept, coalesce(rate_any > 0.6, FALSE) AS host_rejected, round(rate_any, 6) AS host_fail_rate FROM a LEFT JOIN v USING (source)"""
+
+
+OP2_SQL = _sql()

@@ -8,10 +8,10 @@ from sigloom.llm.langid import op6_langid
 from sigloom.llm.mixing import op4_mixing
 from sigloom.llm.packing import op9_packing
 from sigloom.llm.pii import op7_pii
-from sigloom.llm.quality import op2_quality
+from sigloom.llm.quality import OP2_SQL, op2_quality
 from sigloom.llm.sharding import op10_sharding
 from sigloom.llm.simhash import op1_simhash
-from sigloom.llm.substring import op5_substring
+from sigloom.llm.substring import OP5_SQL, op5_substring
 
 
 def queries() -> dict:
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op2_quality": OP2_SQL, "op5_substring": OP5_SQL, "op8_exact_dedup": OP8_SQL}

@@ -236,3 +236,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = C
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(read_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, k, array_to_string(w[k:k+12], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+f AS (SELECT x, min(doc_id) AS first FROM p GROUP BY x),
+g AS (SELECT DISTINCT doc_id, k + j AS pos FROM p JOIN f USING (x), range(0, 13) AS r(j) WHERE first < doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+e AS (SELECT doc_id, w[pos] AS word, pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d)),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM e ANTI JOIN g USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
