@@ -206,7 +206,7 @@ def analyse(built: Dataset, protocol: Protocol, row_id: list[str]) -> dict[str,
         gone = analysis.leaks(data, built.catalog, targets, control.get("forbidden_features_by_target") or {})
         both = both.join(F.broadcast(gone.select("target", "feature")), ["target", "feature"], "left_anti")  # columns of the protocol
     association = analysis.spearman(both).where(F.col("n") >= rules.get("min_overlap_n", 10))
-    stability = analysis.direction_stability(both, row_id)
+    stability = analysis.direction_stability(both)
     weights = ((cfg.get("ranking") or {}).get("rank_score") or {}).get("weights") or {}
     limits = cfg.get("association") or {}
     ranked = analysis.ranking(association, stability, (weights.get("abs_spearman", 0.7), weights.get("direction_stability", 0.3)), limits.get("min_abs_spearman", 0.3), limits.get("min_direction_stability", 0.7))

@@ -554,7 +554,7 @@ def _by_user(spark, d):
 
 @query
 def direction_stability(spark, d):
-    return rounded(analysis.direction_stability(analysis.pairs(_by_user(spark, d), ["user_id"], ["view"], FEATURES), ["user_id"]))
+    return rounded(analysis.direction_stability(analysis.pairs(_by_user(spark, d), ["user_id"], ["view"], FEATURES)))
 
 
 @query
@@ -565,13 +565,13 @@ def redundancy(spark, d):
 @query
 def ranking(spark, d):
     both = analysis.pairs(_by_user(spark, d), ["user_id"], ["view", "error"], FEATURES)
-    return rounded(analysis.ranking(analysis.spearman(both), analysis.direction_stability(both, ["user_id"]), min_abs=0.05))
+    return rounded(analysis.ranking(analysis.spearman(both), analysis.direction_stability(both), min_abs=0.05))
 
 
 @query
 def multi_target(spark, d):
     both = analysis.pairs(_by_user(spark, d), ["user_id"], ["view", "error"], FEATURES)
-    return rounded(analysis.across_targets(analysis.ranking(analysis.spearman(both), analysis.direction_stability(both, ["user_id"]), min_abs=0.0, min_stability=0.0), 2))
+    return rounded(analysis.across_targets(analysis.ranking(analysis.spearman(both), analysis.direction_stability(both), min_abs=0.0, min_stability=0.0), 2))
 
 
 @query
@@ -621,5 +621,6 @@ def recording_features(spark, d):
                 rows += [r | {"record_type": "sit", "phase": "before", "date": f"{int(user)}"} for r in record.process(np.asarray(x), 234.45, plan)]
             yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names, dtype=object)
 
-    users = table(spark, d, "events").select("user_id").distinct()
+    # few small rows that cost much each: a set number of tasks, so that they are not put together
+    users = table(spark, d, "events").select("user_id").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "user_id")
     return users.mapInPandas(run, FEATURE_DDL)

@@ -73,7 +73,8 @@ def parse_signal(content: bytes) -> np.ndarray:
 
 
 def extract_features(files: DataFrame, protocol: Protocol) -> DataFrame:
-    """The feature table of planned() files; recordings are independent, so this is one pass without a shuffle."""
+    """The feature table of planned() files. Recordings are independent; they are small and cost much each, so they are
+    dealt to a set number of tasks by path."""
     plans = {(p.phase, p.recording): p.as_dict() for p in protocol.plans}
     names = [n for n, _ in FEATURE_FIELDS]
 
@@ -89,4 +90,5 @@ def extract_features(files: DataFrame, protocol: Protocol) -> DataFrame:
                 rows += [r | more for r in record.process(signal, fs, plan)]
             yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names, dtype=object)
 
-    return files.select("date", "phase", "recording", "content").mapInPandas(run, FEATURE_DDL)
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("date", "phase", "recording", "content", "path").repartition(tasks, "path").mapInPandas(run, FEATURE_DDL)
