@@ -42,8 +42,8 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(bucket.astype(np.int64), return_counts=True)
 
 
-def _em(p: np.ndarray, c: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Shares of the rows of p (likelihood of each gram) and the log-likelihood."""
+def _em(p: np.ndarray, c: np.ndarray, enough: float = 1e-3, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Shares of the rows of p (likelihood of each gram) and the log-likelihood, until it grows by less than `enough`."""
     n, share = c.sum(), np.full(len(p), 1 / len(p))
     last = -np.inf
     for _ in range(rounds):
@@ -51,7 +51,7 @@ def _em(p: np.ndarray, c: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, flo
         each = joint.sum(0)
         now = float(c @ np.log(each))
         share = (joint / each) @ c / n
-        if now - last < 1e-3:
+        if now - last < enough:
             break
         last = now
     return share, now
@@ -75,7 +75,7 @@ class MixtureModel:
         best = int(alone.argmax())
         chosen, share, ll = [best], np.ones(1), float(alone[best])
         need = penalty * np.log(c.sum() + 1)
-        if len(p) > 1 and _em(p, c)[1] - ll > need:
+        if len(p) > 1 and -ll > need and _em(p, c, 0.02 * need)[1] - ll > 0.9 * need:  # no mixture is likelier than 0
             while len(chosen) < len(p):
                 tried = [(*_em(p[[*chosen, k]], c), k) for k in range(len(p)) if k not in chosen]
                 more = max(tried, key=lambda t: t[1])
