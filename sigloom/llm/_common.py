@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
         return own.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sigloom-"))
+    home = tempfile.mkdtemp(prefix="sigloom-")
+    atexit.register(shutil.rmtree, home, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(home)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -93,6 +97,11 @@ def keep_rows(docs: DataFrame, ids: list[str], kept: DataFrame) -> DataFrame:
     return docs.join(kept.select(*ids), ids, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ids])
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct `_row`, so that columns of our own never meet theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

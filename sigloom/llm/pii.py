@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import materialize, read_table, with_row_id
+from sigloom.llm._common import as_row, materialize, read_table, with_row_id
 
 KEY = "surrogate-key"
 
@@ -180,7 +180,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     has = F.col("text").rlike(ANY)
     spots = F.transform(found, lambda x: F.struct(x.m.alias("m"), x.kind.alias("kind"), canonical(x.kind, x.m).alias("canon")))
-    rows = with_row_id(docs.where(has).withColumn("_spots", spots), "pii")
+    rows = with_row_id(docs.where(has).select(as_row(docs), spots.alias("_spots")), "pii")
     own = rows.select("_rid", F.explode(F.array_distinct(F.transform("_spots", lambda x: F.struct(x.kind.alias("kind"), x.canon.alias("canon"))))).alias("e")).select("_rid", "e.kind", "e.canon").where("kind IS NOT NULL")
     own = materialize(own, "mentions")
     table = surrogate_table(materialize(own.select("kind", "canon").distinct(), "entities"), key)
@@ -192,10 +192,10 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
         return F.coalesce(written(x.kind, x.m, new), x.m)
 
     rows = rows.withColumn("_put", F.transform("_spots", replaced))
-    pieces = F.split("text", F.lit(ANY), -1)
+    pieces = F.split("_row.text", F.lit(ANY), -1)
     woven = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("_put", i), F.lit(""))))
-    rows = rows.select(*[F.array_join(woven, "").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size(F.filter("_spots", lambda x: x.kind.isNotNull())).cast("long").alias("n_pii"))
-    rest = docs.where(~F.coalesce(has, F.lit(False))).select(*docs.columns, F.lit(0).cast("long").alias("n_pii"))
+    rows = rows.select(*[F.array_join(woven, "").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], F.size(F.filter("_spots", lambda x: x.kind.isNotNull())).cast("long").alias("n_pii"))
+    rest = docs.where(~F.coalesce(has, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("n_pii"))
     return rows.unionByName(rest)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.llm._common import read_table, text_or_empty
+from sigloom.llm._common import as_row, read_table, text_or_empty
 
 POSITIONS = 1 << 16
 _PLAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("_cell", "_from", "_to", "_slot0")] + [T.StructField("shard", T.IntegerType(), False)])
@@ -89,13 +89,13 @@ def ring_position(id_col: str = "doc_id"):
 def shard_bounded(rows: DataFrame, id_col: str, shards: int, vnodes: int = 128, epsilon: float = 0.0, order: tuple[str, ...] = ()) -> DataFrame:
     """rows with shard and slot (gapless from 0 in each shard). order: columns that tell rows with one id apart."""
     spark = rows.sparkSession
-    cell = F.shiftrightunsigned("_pos", 48)
     counts = rows.select(cell_of(id_col)).groupBy("_cell").count().collect()  # at most POSITIONS rows
     plan = spark.createDataFrame(walk({r[0]: r[1] for r in counts}, shards, vnodes, epsilon), _PLAN)
-    there = Window.partitionBy("_cell").orderBy("_pos", id_col, *order)
-    ranked = rows.withColumn("_pos", ring_position(id_col)).withColumn("_cell", cell).withColumn("_rank", F.row_number().over(there) - F.lit(1))
+    own = rows.select(as_row(rows), ring_position(id_col).alias("_pos"), cell_of(id_col))
+    there = Window.partitionBy("_cell").orderBy("_pos", *[F.col(f"_row.`{c}`") for c in (id_col, *order)])
+    ranked = own.withColumn("_rank", F.row_number().over(there) - F.lit(1))
     out = ranked.join(F.broadcast(plan), "_cell").where("_rank >= _from AND _rank < _to")  # a few thousand rows more than POSITIONS at most
-    return out.withColumn("slot", F.col("_slot0") + F.col("_rank") - F.col("_from")).drop("_pos", "_cell", "_rank", "_from", "_to", "_slot0")
+    return out.select("_row.*", "shard", (F.col("_slot0") + F.col("_rank") - F.col("_from")).alias("slot"))
 
 
 def cell_of(id_col: str):
@@ -108,7 +108,8 @@ def shard_by_key(rows: DataFrame, id_col: str, shards: int, vnodes: int = 128) -
     few, more = ring(shards, vnodes), ring(shards + 1, vnodes)
     table = [(c, few[a][1], more[b][1]) for c, (a, b) in enumerate(zip(owners(few), owners(more), strict=True))]
     table = spark.createDataFrame(table, "_cell long, shard int, grown_shard int")
-    return rows.withColumn("_cell", cell_of(id_col)).join(F.broadcast(table), "_cell").drop("_cell")  # POSITIONS rows
+    own = rows.select(as_row(rows), cell_of(id_col))
+    return own.join(F.broadcast(table), "_cell").select("_row.*", "shard", "grown_shard")  # POSITIONS rows
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

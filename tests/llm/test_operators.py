@@ -420,6 +420,12 @@ def test_stages_on_odd_rows(spark, odd, empty, stage):
             assert len(rows) == 0 if not n else stage == "quality" or len(rows) > 0
 
 
+def test_columns_of_any_name_stay(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet").drop("shard", "slot")
+    for out in (pii.replace_pii(docs).drop("n_pii"), sharding.shard_bounded(docs, "doc_id", 4).drop("shard", "slot"), sharding.shard_by_key(docs, "doc_id", 4).drop("shard", "grown_shard")):
+        assert out.columns == docs.columns and out.count() == docs.count() and out.where("digest <> 'mine' OR _rid <> 'mine' OR _cell <> 'mine'").count() == 0
+
+
 # ---------------------------------------------------------------- pipeline
 
 
