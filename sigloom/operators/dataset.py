@@ -48,7 +48,9 @@ def formula_key(formula: Column, base: Column) -> Column:
 
 
 def family(feature: str) -> str:
-    return feature.split(SEPARATOR)[0] if SEPARATOR in feature else "other"
+    if SEPARATOR in feature:
+        return feature.split(SEPARATOR)[0]
+    return next((name for start, name in (("hrv_", "hrv"), ("morph_", "morphology")) if feature.startswith(start)), "context")
 
 
 def source_mask(source: Source) -> Column:

@@ -151,3 +151,28 @@ def with_decisions(records: DataFrame, decisions: DataFrame, keys: list[str], st
 def invalidate(columns: list[str], prefix: str, valid: Column) -> list[Column]:
     """A projection of all columns that blanks those with the prefix where not valid."""
     return [F.when(valid, F.col(f"`{c}`")).alias(c) if c.startswith(prefix) else F.col(f"`{c}`") for c in columns]
+
+
+def review_windows(peaks: Column, bad: Column, fs: float, window_sec: float = 8.0) -> Column:
+    """Where a reviewer should look: starts of windows around the bad peaks, none within half a window of the last one.
+
+    peaks: array of samples; bad: array of booleans of the same length.
+    """
+    times = F.array_sort(F.array_distinct(F.transform(F.filter(F.arrays_zip(peaks.alias("p"), bad.alias("b")), lambda x: x["b"]), lambda x: F.round(x["p"] / F.lit(float(fs)), 3))))
+    starts = F.transform(times, lambda t: F.greatest(t - 0.5 * window_sec, F.lit(0.0)))
+
+    def step(seen: Column, s: Column) -> Column:
+        far = (F.size(seen) == 0) | (F.abs(s - F.element_at(seen, -1)) > 0.5 * window_sec)
+        return F.when(far, F.concat(seen, F.array(s))).otherwise(seen)
+
+    return F.when(F.size(peaks) == F.size(bad), F.aggregate(starts, F.array().cast("array<double>"), step)).otherwise(F.array().cast("array<double>"))
+
+
+#: The columns of each feature group, by how they start.
+GROUP_COLUMNS = {"hrv_time": ("hrv_time__",), "hrv_extended": ("hrv_freq__", "hrv_nonlinear__"), "morphology": ("morph_qrs__", "morph_p__", "morph_t__")}
+
+
+def feature_groups(columns: list[str], groups: list[str]) -> list[str]:
+    """The columns that stay when only some groups are wanted: those of no group always do. No group given: all."""
+    gone = tuple(p for g, starts in GROUP_COLUMNS.items() if g not in groups for p in starts)
+    return [c for c in columns if not groups or not c.startswith(gone or ("\0",))]

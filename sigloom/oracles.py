@@ -336,6 +336,9 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN p_partkey % 6 <> 0 THEN CAST(p_partkey % 250 AS DOUBLE) END AS dur, p_partkey % 2 = 0 AS p FROM part) SELECT p_partkey, {_SHAPE} AS reasons FROM per""",
         "validation_flags": f"""WITH e AS (SELECT event_id, value, CASE WHEN event_id % 3 = 0 AND event_id % 6 <> 0 THEN 'skipped' ELSE 'accepted' END AS s, CASE WHEN event_id % 4 <> 0 THEN event_id % 5 <> 0 END AS q FROM events)
             SELECT event_id, {r("CASE WHEN s = 'accepted' AND coalesce(q, TRUE) THEN value END")} AS hrv_x, s AS hrv_review_status, q AS hrv_qc_passed, s = 'accepted' AND coalesce(q, TRUE) AS hrv_ok, s = 'accepted' AND coalesce(q, FALSE) AS morph_ok FROM e""",
+        "review_windows": f"""WITH RECURSIVE {BEATS}, s AS (SELECT user_id, start, row_number() OVER (PARTITION BY user_id ORDER BY start) AS i FROM (SELECT DISTINCT user_id, greatest(floor(t - 473352) - 24, 0) AS start, floor(t - 473352) AS x FROM beats WHERE rr > 18)),
+            w AS (SELECT user_id, i, start, start AS last, TRUE AS taken FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i, s.start, CASE WHEN abs(s.start - w.last) > 24 THEN s.start ELSE w.last END, abs(s.start - w.last) > 24 FROM w JOIN s ON s.user_id = w.user_id AND s.i = w.i + 1)
+            SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS INT) AS pos, {r('start')} AS start FROM w WHERE taken""",
         "median_wave": f"WITH {WAVES} SELECT label, CAST(pos AS INT) AS pos, {r('quantile_cont(x, 0.5)')} AS m FROM waves GROUP BY 1, 2",
         "template_correlation": f"""WITH {WAVES}, z AS (SELECT label, vec_id, pos, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM waves WINDOW w AS (PARTITION BY label, vec_id)), t AS (SELECT label, pos, quantile_cont(z, 0.5) AS m FROM z GROUP BY 1, 2)
             SELECT label, vec_id, {r('corr(z, m)', 5)} AS r FROM z JOIN t USING (label, pos) GROUP BY 1, 2""",

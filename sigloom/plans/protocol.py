@@ -5,6 +5,7 @@ It is read and checked on the driver, once, before any plan is built: all errors
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
@@ -57,6 +58,10 @@ class RecordPlan:
     def as_dict(self) -> dict[str, Any]:
         return asdict(self)
 
+    def hash(self) -> str:
+        """The same for plans that are the same: what a stored result is valid for."""
+        return hashlib.sha256(json.dumps(self.as_dict(), sort_keys=True, default=str).encode()).hexdigest()[:16]
+
 
 @dataclass(frozen=True)
 class Protocol:

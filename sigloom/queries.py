@@ -378,6 +378,16 @@ def validation_flags(spark, d):
     return rounded(e.select(*quality.invalidate(e.columns, "hrv_x", ok), ok.alias("hrv_ok"), quality.morphology_validated("hrv_review_status", "hrv_qc_passed").alias("morph_ok")))
 
 
+@query
+def review_windows(spark, d):
+    """Windows around the beats of a user that an interval of more than 18 hours ends."""
+    b = beats(spark, d).withColumn("k", F.floor(F.col("t") - F.lit(473352.0)).cast("int"))
+    row = F.struct("t", "event_id", "k", F.coalesce(F.col("rr") > 18.0, F.lit(False)).alias("bad"))
+    per = b.groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    starts = quality.review_windows(F.transform("r", lambda x: x["k"]), F.transform("r", lambda x: x["bad"]), 1.0, 48.0)
+    return rounded(per.select("user_id", F.posexplode(starts).alias("pos", "start")))
+
+
 # ---------------------------------------------------------------- waves
 
 

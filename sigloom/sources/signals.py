@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +93,24 @@ def extract_features(files: DataFrame, protocol: Protocol) -> DataFrame:
 
     tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
     return files.select("date", "phase", "recording", "content", "path").repartition(tasks, "path").mapInPandas(run, FEATURE_DDL)
+
+
+def stored_features(files: DataFrame, protocol: Protocol, path: str) -> DataFrame:
+    """The feature table of planned() files, taken from the store at path where it has them.
+
+    A stored recording counts only if it was processed under the same plan; only the others are processed and added.
+    """
+    spark = files.sparkSession
+    key = ["date", "phase", "record_type", "plan_hash"]
+    hashes = spark.createDataFrame([(p.phase, p.recording, p.hash()) for p in protocol.plans], "phase string, recording string, plan_hash string")
+    asked = files.join(F.broadcast(hashes), ["phase", "recording"])  # a row a plan of the protocol
+    want = asked.select("date", "phase", F.col("recording").alias("record_type"), "plan_hash")
+    try:
+        have = spark.read.schema(f"{FEATURE_DDL}, plan_hash string").parquet(path).select(*key).distinct()
+        todo = asked.join(have.withColumnRenamed("record_type", "recording"), ["date", "phase", "recording", "plan_hash"], "left_anti")
+    except AnalysisException:  # nothing is stored yet
+        todo = asked
+    made = extract_features(todo.drop("plan_hash"), protocol)
+    made.join(F.broadcast(hashes.withColumnRenamed("recording", "record_type")), ["phase", "record_type"]).select(*[n for n, _ in FEATURE_FIELDS], "plan_hash").write.mode("append").parquet(path)
+    stored = spark.read.schema(f"{FEATURE_DDL}, plan_hash string").parquet(path)
+    return stored.join(want.distinct(), key, "left_semi").drop("plan_hash")

@@ -128,6 +128,24 @@ def test_recordings_to_features(spark, recordings):
     assert all(r.hrv_validated and 70 < r.hrv_time__MeanHR_bpm < 80 for r in sit)
 
 
+def test_stored_features(spark, recordings, tmp_path):
+    """What is stored is not processed again, unless its plan has changed."""
+    files = signals.find_recordings(spark, recordings)
+    store = str(tmp_path / "store")
+    ask = lambda p: signals.stored_features(signals.planned(files, p), p, store).count()
+    p = protocol.compile_protocol(PROTOCOL)
+    n = ask(p)
+    assert n == 6 and ask(p) == n and spark.read.parquet(store).count() == n
+    other = protocol.compile_protocol(protocol.deep_merge(PROTOCOL, {"quality_profiles": {"resting": {"expected_hr_bpm": {"max": 110}}}}))
+    assert ask(other) == n and spark.read.parquet(store).count() == n + 2
+
+
+def test_feature_groups():
+    columns = ["date", "hrv_time__a", "hrv_freq__b", "morph_p__c", "qc__d"]
+    assert quality.feature_groups(columns, ["hrv_time"]) == ["date", "hrv_time__a", "qc__d"] and quality.feature_groups(columns, []) == columns
+    assert quality.feature_groups(columns, ["hrv_time", "hrv_extended", "morphology"]) == columns
+
+
 def test_segments_agree_with_the_signal_layer(spark):
     for profile in (PROTOCOL["segmentation_profiles"]["w5"], {"mode": "fixed_windows", "window_sec": 4.0, "step_sec": 1.5, "drop_last_short_window": False}, {"mode": "full"}, {"mode": "named_subsegments", "segments": [{"label": "a", "start_sec": 1, "end_sec": 9}, {"label": "z", "relative_to": "end", "duration_sec": 3}]}):
         for total in (0.5, 5.0, 11.9, 12.0):
@@ -182,3 +200,12 @@ def test_stream_gives_what_batch_gives(spark, data, tmp_path):
     last = whole.agg(F.max("end")).first()[0]
     closed = whole.where(F.col("end") < F.lit(last) - F.expr("INTERVAL 7 HOURS"))
     assert closed.select("event_type", "start", "n").subtract(got.select("event_type", "start", "n")).count() == 0
+
+
+def test_sketched_summary_is_close(spark, data):
+    df = spark.read.parquet(f"{data}/events.parquet").select("value", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("some"))
+    near = {r.column: r for r in reports.summarize(df, ["value", "some"], exact=False).collect()}
+    for r in reports.summarize(df, ["value", "some"]).collect():
+        a = near[r.column]
+        assert (a.n_total, a.n_valid, a.mean, a.min, a.max) == (r.n_total, r.n_valid, r.mean, r.min, r.max)
+        assert a.median == pytest.approx(r.median, rel=0.02) and a.iqr == pytest.approx(r.iqr, rel=0.05) and a.n_unique == pytest.approx(r.n_unique, rel=0.05)
