@@ -207,5 +207,5 @@ def test_sketched_summary_is_close(spark, data):
     near = {r.column: r for r in reports.summarize(df, ["value", "some"], exact=False).collect()}
     for r in reports.summarize(df, ["value", "some"]).collect():
         a = near[r.column]
-        assert (a.n_total, a.n_valid, a.mean, a.min, a.max) == (r.n_total, r.n_valid, r.mean, r.min, r.max)
+        assert (a.n_total, a.n_valid, a.min, a.max) == (r.n_total, r.n_valid, r.min, r.max) and a.mean == pytest.approx(r.mean)
         assert a.median == pytest.approx(r.median, rel=0.02) and a.iqr == pytest.approx(r.iqr, rel=0.05) and a.n_unique == pytest.approx(r.n_unique, rel=0.05)
