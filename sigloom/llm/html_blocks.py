@@ -37,6 +37,20 @@ CUES = {
     "text": "article content post entry story main body text page prose",
 }
 _CUE = {word: cue for cue, words in CUES.items() for word in words.split()}
+#: Words that tell the same as part of a longer name (commentlist, mainmenu).
+_INSIDE = re.compile("breadcrumb|navbar|menu|masthead|footer|sidebar|related|cookie|consent|newsletter|popup|advert|sponsor|comment|share|social")
+
+
+def cues_of(names: str) -> set[str]:
+    """What the words of a class, id or role tell."""
+    found = set()
+    for word in _NAME_PARTS.findall(names.lower()):
+        if word in _CUE:
+            found.add(_CUE[word])
+        else:
+            found.update(_CUE[w] for w in _INSIDE.findall(word))
+    return found
+
 
 
 class Block(NamedTuple):
@@ -113,10 +127,10 @@ def blocks(page: str | None) -> list[Block]:
         cues, hide = set(), name in HIDDEN
         if m[3]:
             for key, *values in _ATTR.findall(m[3]):
-                key, value = key.lower(), "".join(values).lower()
+                key, value = key.lower(), "".join(values)
                 if key in ("class", "id", "role", "itemprop", "data-role", "aria-label"):
-                    cues.update(_CUE[w] for w in _NAME_PARTS.findall(value) if w in _CUE)
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+                    cues |= cues_of(value)
+                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.lower().replace(" ", ""):
                     hide = True
         if hide:
             flush()

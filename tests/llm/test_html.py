@@ -46,6 +46,11 @@ def test_parts_are_left_out(model, part, core):
     assert text(page, model) == want
 
 
+@pytest.mark.parametrize("extra", ["<ul class='commentlist'><li>I agree with it, and more.</li></ul>", "<div id='siteFooterLinks'><a href='/i'>Imprint</a></div>", "<div class='cookieconsent'><p>We use cookies to make this better.</p></div>", "<div role='navigation'><a href='/'>Home</a></div>"])
+def test_longer_names_tell_too(model, extra):
+    assert text(f"<body><article><h1>T</h1><p>A story, told at length, of what was.</p></article>{extra}</body>", model) == "T\nA story, told at length, of what was."
+
+
 def test_query(spark, data):
     out = op3_html(spark, data).collect()
     assert len(out) == spark.read.parquet(f"{data}/pages.parquet").count() and all(r.n_chars == len(r.text) > 0 for r in out)
