@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.operators.reports import unpivot
+from sigloom.ship import ship
 
 
 def directed(column: Column, direction: str) -> Column:
@@ -91,6 +92,8 @@ def direction_stability(both: DataFrame) -> DataFrame:
     """(target, feature, stability): see leave_one_out(). A pair's rows are the days of a study: they fit a task; their
     number squared is the work, done in NumPy for all pairs side by side."""
 
+    ship(both.sparkSession)
+
     def run(key, rows):
         x, y = (rows[c].to_numpy() for c in ("x", "y"))
         return pa.table({"target": [key[0].as_py()], "feature": [key[1].as_py()], "stability": [leave_one_out(x, y)]})

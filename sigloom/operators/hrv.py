@@ -79,8 +79,10 @@ def _series(rr: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def nonlinear(rr: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """ApproxEntropy, SampleEntropy, DFA_alpha1, DFA_alpha2 and FractalDimension: arrays in Arrow batches through NumPy."""
+    from sigloom.ship import ship
     from sigloom.signal import hrv as h
 
+    ship(rr.sparkSession)
     names = ["ApproxEntropy", "SampleEntropy", "DFA_alpha1", "DFA_alpha2", "FractalDimension"]
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))

@@ -16,6 +16,7 @@ from sigloom.functions.computed import with_computed
 from sigloom.operators import analysis, dataset, derived, hrv, quality, reports, segments
 from sigloom.plans.protocol import Source
 from sigloom.schema import DERIVED_COLUMNS
+from sigloom.ship import ship
 from sigloom.sources import tables
 from sigloom.streaming import windows
 
@@ -42,6 +43,7 @@ def queries() -> dict[str, Query]:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

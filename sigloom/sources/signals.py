@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.plans.protocol import Protocol
+from sigloom.ship import ship
 from sigloom.signal import hrv, morphology, record
 
 PATH = r"(\d{2}\.\d{2}\.\d{4})/([^/]+)/([^/]+)$"
@@ -76,6 +77,7 @@ def parse_signal(content: bytes) -> np.ndarray:
 def extract_features(files: DataFrame, protocol: Protocol) -> DataFrame:
     """The feature table of planned() files. Recordings are independent; they are small and cost much each, so they are
     dealt to a set number of tasks by path."""
+    ship(files.sparkSession)
     plans = {(p.phase, p.recording): p.as_dict() for p in protocol.plans}
     names = [n for n, _ in FEATURE_FIELDS]
 
