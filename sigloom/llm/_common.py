@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.ship import ship
+
 #: A run of the six ASCII white space characters, and a word: a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,7 +28,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Have texts sent to Python in small batches, unless the session says how many rows a batch has."""
+    """Have texts sent to Python in small batches, unless the session says how many rows a batch has; and the code."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":  # the default, made for numbers
         spark.conf.set(key, str(TEXT_BATCH))

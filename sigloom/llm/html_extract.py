@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import read_table
+from sigloom.llm._common import read_table, text_batches
 from sigloom.llm.html_blocks import Block, blocks, features
 from sigloom.llm.html_training import labelled_pages
 
@@ -131,6 +131,7 @@ def main_text(page: Column, model: ChainModel) -> Column:
 
 def extract(pages: DataFrame, model: ChainModel | None = None) -> DataFrame:
     """pages with text and n_chars."""
+    text_batches(pages.sparkSession)
     model = model or trained()
     out = pages.withColumn("text", main_text(F.col("html"), model))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import read_table, uniform
+from sigloom.llm._common import read_table, text_batches, uniform
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 3000
@@ -94,6 +94,7 @@ def held_out() -> Column:
 
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> MixtureModel:
     """labelled: doc_id, text, lang; rows without a lang teach nothing."""
+    text_batches(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull())
     per = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # one row a language
     if not per:
@@ -120,6 +121,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> MixtureModel:
 
 def predict(docs: DataFrame, model: MixtureModel, penalty: float = PENALTY) -> DataFrame:
     """docs with the struct _l of predictions."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers of 4 bytes
 
     @F.pandas_udf(_OUT)

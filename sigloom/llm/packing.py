@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import SPACE_RUN, read_table, text_or_empty, word_count
+from sigloom.llm._common import SPACE_RUN, read_table, text_batches, text_or_empty, word_count
 
 PACK = 8192
 CAPACITY = 2048
@@ -119,6 +119,7 @@ def _task(capacity: int, per_source: int):
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, pack_size: int = PACK) -> DataFrame:
     """One row per piece: doc_id, piece, first_word, n_words, bin_id, bin_offset."""
+    text_batches(docs.sparkSession)
     cluster = F.xxhash64(F.regexp_replace(text_or_empty(), SPACE_RUN, ""))
     packs = max(1, docs.count() // pack_size)
     items = docs.select("doc_id", "source", cluster.alias("cluster"), word_count().alias("n"))

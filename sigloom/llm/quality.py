@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import identified, keep_rows, materialize, read_table
+from sigloom.llm._common import identified, keep_rows, materialize, read_table, text_batches
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,6 +59,7 @@ def stats(text: Column) -> Column:
 
 def scored(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep` of docs with the struct _s of statistics and the struct _f of rule failures."""
+    text_batches(docs.sparkSession)
     with_stats = docs.select(*keep, stats(F.col("text")).alias("_s"))
     fails = F.struct(*[F.expr(re.sub(r"\b([a-z]\w+)\b", r"_s.\1", rule)).alias(name) for name, rule in RULES.items()])
     return with_stats.withColumn("_f", fails)
@@ -121,8 +122,10 @@ def _sql() -> str:
     return rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents), w AS (SELECT doc_id, source, x, {words} AS w, row_number() OVER () AS rid FROM t),
 p AS (SELECT rid, k, array_to_string(w[k:k+2], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS k FROM w)),
 c AS (SELECT rid, count(DISTINCT k + j) AS n FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, g) AS c FROM p), range(0, 3) AS r(j) WHERE c > 1 GROUP BY rid),
-l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT y) AS n_dup FROM (SELECT rid, unnest(string_split(x, chr(10))) AS y FROM w) WHERE regexp_matches(y, '[^ 	-]') GROUP BY rid),
-s AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[ 	-]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+l AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT y) AS n_dup FROM (SELECT rid, unnest(string_split(x, chr(10))) AS y FROM w) WHERE regexp_matches(y, '[^ 	-
+]') GROUP BY rid),
+s AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[ 	-
+]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (rid) LEFT JOIN l USING (rid)),
 f AS (SELECT *, {fails} FROM s), a AS (SELECT *, {" OR ".join(f"f_{r}" for r in RULES)} AS f_any FROM f),
 h AS (SELECT source, count(*) AS docs, {sums} FROM a WHERE source IS NOT NULL GROUP BY 1), m AS (SELECT avg(1 / docs) AS inv, {figures} FROM h), k AS (SELECT *, {", ".join(strength.format(r) for r in names)} FROM m),

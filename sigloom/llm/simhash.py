@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import components, materialize, read_table
+from sigloom.llm._common import components, materialize, read_table, text_batches
 
 SEED = 42
 _CHUNK = 1 << 16
@@ -173,6 +173,7 @@ def _with_end(batches):
 
 def links(fps: DataFrame, distance: int = 2, leaf: int = 4096) -> DataFrame:
     """fps (fp: distinct longs) -> links (a, b) that join all fingerprints within the distance, directly or by others."""
+    text_batches(fps.sparkSession)
     leaf, leaves = max(leaf, 1 << distance), []  # a node with too few free bits for another level is no larger
     masks = _bands((1 << 64) - 1, distance + 1)
     nodes = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import materialize, read_table
+from sigloom.llm._common import materialize, read_table, text_batches
 
 LENGTH = 13
 CHUNK_BYTES = 4 << 20
@@ -224,6 +224,7 @@ def _remove(length: int, buckets: int):
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
+    text_batches(docs.sparkSession)
     chunks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_chunked(chunk_bytes), "chunk long, docs binary"), "chunks")
     total = chunks.agg(F.coalesce(F.sum(F.length("docs")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(total / 12 / bucket_entries))  # about an entry for twelve compressed bytes
