@@ -7,7 +7,10 @@ feature, and no plan grows with the number of features.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,69 +190,160 @@ def _spread_of(scale: str, frame) -> Column:
     return quarters[1] - quarters[0]
 
 
-def baseline_deviation(
-    df: DataFrame, features: list[str], formulas: list[str], *, operation: str, profile: dict, profile_name: str, include_current: bool = False, keys: list[str] | None = None, source: str | None = None,
-    spine: DataFrame | None = None, quality=None, policy: str = "valid_only",
-) -> DataFrame:
-    """Each value against the statistic of the same feature over the days before it.
+@dataclass(frozen=True)
+class Baseline:
+    """Each value against the statistic of the same feature over the days before it."""
 
-    Without a source every row of df is judged. With a source, the first row of each date of the spine is, dates without
-    a row give missing_source, and quality (see pairwise) applies to the judged row, not to its baseline.
-    """
+    operation: str
+    features: tuple[str, ...]
+    formulas: tuple[str, ...]
+    profile: Mapping[str, Any]
+    profile_name: str
+    include_current: bool = False
+
+    kind = "baseline_deviation"
+
+    def results(self, figure) -> list[tuple[str, Column, Column, Column]]:
+        """(formula, right value, value, reason) over v and figures(name, days, include_current)."""
+        days, least = int(self.profile["window_days"]), int(self.profile["min_periods"])
+        ask = lambda name: figure(name, days, self.include_current)
+        enough = (ask("n") >= least) & F.col("_day").isNotNull()  # a row without a date has no days before it
+        c, spread = (F.when(enough, ask(self.profile.get(k, usual))) for k, usual in (("statistic", "median"), ("scale", "iqr")))
+        gap = F.when(~enough, "insufficient_baseline").when(c.isNull(), "invalid_baseline").otherwise("")
+        out = []
+        for f in self.formulas:
+            value, reason = baseline_formula(f, F.col("v"), c, spread)
+            out.append((f, c, F.when(gap == "", value), F.when(gap != "", gap).otherwise(reason)))
+        return out
+
+    def names(self) -> list[str]:
+        return list(self.formulas)
+
+    def right_source(self) -> str:
+        return f"baseline:{self.profile_name}"
+
+
+@dataclass(frozen=True)
+class Rolling:
+    """Aggregates over the days before each row."""
+
+    operation: str
+    features: tuple[str, ...]
+    aggregations: tuple[str, ...]
+    window_days: int
+    min_periods: int = 1
+    include_current: bool = False
+
+    kind = "rolling_aggregate"
+
+    def results(self, figure) -> list[tuple[str, Column, Column, Column]]:
+        few = (figure("n", self.window_days, self.include_current) < self.min_periods) | F.col("_day").isNull()
+        out = []
+        for a in self.aggregations:
+            x = figure(a, self.window_days, self.include_current)
+            out.append((f"rolling_{self.window_days}d_{a}", F.lit(None), F.when(~few, x), F.when(few, "insufficient_window").when(x.isNull(), "invalid_aggregate").otherwise("")))
+        return out
+
+    def names(self) -> list[str]:
+        return list(self.aggregations)
+
+    def right_source(self) -> str:
+        return f"previous_{self.window_days}d"
+
+
+def _window_figure(name: str, frame) -> Column:
+    if name == "n":
+        return F.coalesce(F.count("v").over(frame), F.lit(0))
+    if name == "iqr":
+        return _spread_of(name, frame)
+    if name not in AGGREGATIONS:
+        raise ValueError(f"unknown aggregation: {name}; known are {', '.join(AGGREGATIONS)}")
+    return AGGREGATIONS[name](F.col("v")).over(frame)
+
+
+def trailing_operations(df: DataFrame, operations: Sequence[Baseline | Rolling], keys: list[str] | None = None) -> DataFrame:
+    """All operations over trailing windows in one pass: one exchange and one sort by entity and feature serve them all,
+    each figure is worked out once, and each row of a feature gives the results of all operations that ask for it."""
+    keys = keys or []
+    for op in operations:
+        if isinstance(op, Baseline):
+            if op.profile.get("statistic", "median") not in ("median", "mean"):
+                raise ValueError(f"unknown statistic: {op.profile['statistic']}")
+            if op.profile.get("scale", "iqr") not in ("iqr", "std"):
+                raise ValueError(f"unknown scale: {op.profile['scale']}")
+    figures: dict[tuple, Column] = {}
+
+    def figure(name: str, days: int, current: bool) -> Column:
+        key = (name, days, current)
+        figures.setdefault(key, _window_figure(name, trailing(keys, days, current)))
+        return F.col(f"_{name}_{days}_{int(current)}")
+
+    cells = []
+    for op in operations:
+        asked = F.col("feature").isin(*op.features)
+        for formula, right, value, reason in op.results(figure):
+            cell = F.struct(
+                F.lit(op.operation).alias("op"), F.lit(op.kind).alias("kind"), F.lit(op.right_source()).alias("rs"), F.lit(formula).alias("formula"), right.cast("double").alias("rv"), value.cast("double").alias("value"), reason.alias("reason")
+            )
+            cells.append(F.when(asked, cell))
+    known = list(dict.fromkeys(f for op in operations for f in op.features if f in df.columns))
+    parts = []
+    if known:
+        long = melt(df, keys, known).withColumn("_day", day_number("date"))
+        stats = long.select("*", *[c.alias(f"_{n}_{d}_{int(k)}") for (n, d, k), c in figures.items()])
+        rows = stats.select(*keys, "date", "feature", F.col("v").alias("lv"), F.inline(F.array_compact(F.array(*cells))))
+        given = {c: F.col(c) for c in ("feature", "formula", "value", "reason")}
+        parts.append(rows.select(*derived_row(keys, date=iso("date"), operation_id=F.col("op"), operation_type=F.col("kind"), left_source=F.col("feature"), right_source=F.col("rs"), left_value=F.col("lv"), right_value=F.col("rv"), valid=F.col("reason") == "", **given)))
+    for op in operations:
+        lost = absent(df, keys, list(op.features), op.names(), operation_id=op.operation, operation_type=op.kind, right_source="")
+        parts += [] if lost is None else [lost]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def baseline_deviation(df: DataFrame, features: list[str], formulas: list[str], *, operation: str, profile: Mapping[str, Any], profile_name: str, include_current: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Every row of df against the days before it."""
+    return trailing_operations(df, [Baseline(operation, tuple(features), tuple(formulas), profile, profile_name, include_current)], keys)
+
+
+def source_baseline(
+    df: DataFrame, features: list[str], formulas: list[str], *, operation: str, profile: Mapping[str, Any], profile_name: str, source: str, spine: DataFrame | None = None, include_current: bool = False, keys: list[str] | None = None,
+    quality=None, policy: str = "valid_only",
+) -> DataFrame:
+    """The rows of a source: the first of each date of the spine is judged, dates without one give missing_source, and
+    quality (see pairwise) applies to the judged row, not to its baseline."""
     keys = keys or []
-    for f in formulas:
-        baseline_formula(f, F.lit(0.0), F.lit(0.0), F.lit(0.0))
     days, least = int(profile["window_days"]), int(profile["min_periods"])
     frame = trailing(keys, days, include_current)
-    if source is not None and ORD not in df.columns:
+    if ORD not in df.columns:
         df = df.withColumn(ORD, F.monotonically_increasing_id())
-    q = F.lit("")
-    if quality is not None:
-        df = df.withColumn("_q", F.create_map(*[x for f in features if f in df.columns for x in (F.lit(f), quality(f, F.struct(*df.columns)))]))
-        q = F.element_at("_q", F.col("feature"))
-    long = melt(df, keys, features, ["_q"] if quality is not None else []).withColumn("_day", day_number("date"))
+    known = [f for f in features if f in df.columns]
+    why = quality or (lambda feature, row: F.lit(""))
+    if known:
+        df = df.withColumn("_q", F.create_map(*[x for f in known for x in (F.lit(f), why(f, F.struct(*df.columns)))]))
+    want = (spine if spine is not None else df).select(*keys, "date").where(F.col("date").isNotNull()).distinct()
+    lost = absent(want, keys, [f for f in features if f not in known], formulas, operation_id=operation, operation_type="baseline_deviation", left_source=source, right_source="baseline")
+    if not known:
+        return lost
+    long = melt(df, keys, known, ["_q"]).withColumn("_day", day_number("date"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "feature", "date").orderBy(ORD))
     stats = long.select(
-        "*", F.coalesce(F.count("v").over(frame), F.lit(0)).alias("n"), _center(profile.get("statistic", "median"), frame).alias("_c"), _spread_of(profile.get("scale", "iqr"), frame).alias("_s"), q.alias("q")
-    )
-    enough = (F.col("n") >= least) & F.col("_day").isNotNull()  # a row without a date has no days before it
-    stats = stats.withColumn("c", F.when(enough, F.col("_c"))).withColumn("s", F.when(enough, F.col("_s")))
-    gap = F.when(~enough, "insufficient_baseline").when(F.col("c").isNull(), "invalid_baseline").otherwise("")
-    if source is not None:
-        rank = F.row_number().over(Window.partitionBy(*keys, "feature", "date").orderBy(ORD))
-        stats = stats.withColumn("_rank", rank).where("_rank = 1")
-        known = F.array(*[F.lit(f) for f in features if f in df.columns])
-        want = (spine if spine is not None else df).select(*keys, "date").where(F.col("date").isNotNull()).distinct().withColumn("feature", F.explode(known))
-        stats = want.join(stats.withColumn("hit", F.lit(True)), [*keys, "date", "feature"], "left")
-        bad = (F.col("q") != "") if policy == "valid_only" else F.lit(False)
-        gap = F.when(F.col("hit").isNull(), "missing_source").when(bad, F.col("q")).otherwise(gap)
+        *keys, "date", "feature", "v", F.element_at("_q", F.col("feature")).alias("q"), F.coalesce(F.count("v").over(frame), F.lit(0)).alias("n"), _center(profile.get("statistic", "median"), frame).alias("_c"),
+        _spread_of(profile.get("scale", "iqr"), frame).alias("_s"), rank.alias("_rank"),
+    ).where("_rank = 1")
+    enough = F.col("n") >= least
+    stats = stats.withColumns({"c": F.when(enough, F.col("_c")), "s": F.when(enough, F.col("_s")), "hit": F.lit(True)})
+    stats = want.withColumn("feature", F.explode(F.array(*map(F.lit, known)))).join(stats, [*keys, "date", "feature"], "left")
+    bad = (F.col("q") != "") if policy == "valid_only" else F.lit(False)
+    gap = F.when(F.col("hit").isNull(), "missing_source").when(bad, F.col("q")).when(~enough, "insufficient_baseline").when(F.col("c").isNull(), "invalid_baseline").otherwise("")
     results = {}
     for f in formulas:
         value, reason = baseline_formula(f, F.col("v"), F.col("c"), F.col("s"))
         results[f] = F.when(gap == "", value), F.when(gap != "", gap).otherwise(reason)
-    hit = F.col("hit").isNotNull() if source is not None else F.lit(True)
-    rows = stats.select(*keys, "date", "feature", F.col("v").alias("lv"), F.col("c").alias("rv"), hit.alias("there"), _spread(results))
+    rows = stats.select(*keys, "date", "feature", F.col("v").alias("lv"), F.col("c").alias("rv"), F.col("hit").isNotNull().alias("there"), _spread(results))
     right = F.when(F.col("there"), f"baseline:{profile_name}").otherwise("baseline")
-    found = _finish(rows, keys, operation, "baseline_deviation", left_source=F.lit(source) if source is not None else F.col("feature"), right_source=right, left_value=F.col("lv"), right_value=F.col("rv"))
-    given = {"operation_id": operation, "operation_type": "baseline_deviation", "right_source": "" if source is None else "baseline"}
-    if source is not None:
-        given["left_source"] = source
-    lost_of = df if source is None else (spine if spine is not None else df).select(*keys, "date").where(F.col("date").isNotNull()).distinct()
-    return _with(found, absent(lost_of, keys, [f for f in features if f not in df.columns], formulas, **given))
+    return _with(_finish(rows, keys, operation, "baseline_deviation", left_source=F.lit(source), right_source=right, left_value=F.col("lv"), right_value=F.col("rv")), lost)
 
 
 def rolling_aggregate(df: DataFrame, features: list[str], aggregations: list[str], *, operation: str, window_days: int, min_periods: int = 1, include_current: bool = False, keys: list[str] | None = None) -> DataFrame:
     """Aggregates over the days before each row."""
-    keys = keys or []
-    unknown = [a for a in aggregations if a not in AGGREGATIONS]
-    if unknown:
-        raise ValueError(f"unknown aggregations: {', '.join(unknown)}; known are {', '.join(AGGREGATIONS)}")
-    frame = trailing(keys, window_days, include_current)
-    long = melt(df, keys, features).withColumn("_day", day_number("date"))
-    stats = long.select("*", F.count("v").over(frame).alias("n"), *[AGGREGATIONS[a](F.col("v")).over(frame).alias(f"_{a}") for a in aggregations])
-    results = {}
-    for a in aggregations:
-        few = (F.coalesce("n", F.lit(0)) < min_periods) | F.col("_day").isNull()
-        results[f"rolling_{window_days}d_{a}"] = F.when(~few, F.col(f"_{a}")), F.when(few, "insufficient_window").when(F.col(f"_{a}").isNull(), "invalid_aggregate").otherwise("")
-    rows = stats.select(*keys, "date", "feature", F.col("v").alias("lv"), _spread(results))
-    found = _finish(rows, keys, operation, "rolling_aggregate", left_source=F.col("feature"), right_source=F.lit(f"previous_{window_days}d"), left_value=F.col("lv"))
-    return _with(found, absent(df, keys, features, aggregations, operation_id=operation, operation_type="rolling_aggregate", right_source=""))
+    return trailing_operations(df, [Rolling(operation, tuple(features), tuple(aggregations), window_days, min_periods, include_current)], keys)

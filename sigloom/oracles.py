@@ -131,6 +131,17 @@ def _baseline_source() -> str:
     return ctes + rows("judged", results, "baseline_deviation", "'view'", "CASE WHEN n IS NULL THEN 'baseline' ELSE 'baseline:p' END", "v", "c") + " UNION ALL " + absent("spine", "hrv_none", ["delta", "robust_z"], "baseline_deviation", "view", "baseline")
 
 
+def _together() -> str:
+    """Each operation alone, under its own name."""
+    gaps = [("'insufficient_baseline'", "n < 3"), ("'invalid_baseline'", "c IS NULL")]
+    long = f"SELECT * FROM ({melt('daily', ['view', 'click'])})"
+    one = f"WITH {DAILY}, long AS ({long}), {_stats()} " + rows("stats", {f: formula(f, "v", "c", gaps, spread="s") for f in ("delta", "robust_z")}, "baseline_deviation", "feature", "'baseline:p'", "v", "c")
+    two = f"WITH {DAILY}, long AS ({melt('daily', ['click', 'error'])}), {_stats(statistic='mean', scale='std', days=5)} " + rows("stats", {"delta": formula("delta", "v", "c", gaps, spread="s")}, "baseline_deviation", "feature", "'baseline:m'", "v", "c")
+    two += " UNION ALL " + absent("daily", "nothing", ["delta"], "baseline_deviation", "nothing", "")
+    three = _rolling(["view", "error"], ["sum", "max"], 7, 2, True)
+    return " UNION ALL ".join(f"SELECT * FROM ({x.replace(chr(39) + 'op' + chr(39), chr(39) + name + chr(39))})" for name, x in (("week", one), ("mean", two), ("sums", three)))
+
+
 def _lagged(days: int) -> str:
     results = {f: formula(f, "a.v", "b.v", [("'missing_lagged_day'", "b.user_id IS NULL")]) for f in ("delta", "ratio")}
     source = f"long a LEFT JOIN long b ON a.user_id = b.user_id AND a.feature = b.feature AND b.date = a.date - INTERVAL {days} DAYS"
@@ -304,6 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "baseline_mean_std": _baseline(["robust_z"], statistic="mean", scale="std"),
         "baseline_include_current": _baseline(["delta", "robust_z"], current=True),
         "baseline_of_source": _baseline_source(),
+        "trailing_together": _together(),
         "lagged_pairwise_1d": _lagged(1),
         "lagged_pairwise_7d": _lagged(7),
         "rolling_aggregates": _rolling(TYPES, list(_AGG), 7, 2, False, "nothing"),

@@ -66,7 +66,7 @@ def derive_ecg(raw: DataFrame, protocol: Protocol, keys: list[str] | None = None
             raise ValueError(f"unknown type of operation: {op['type']}")
     for op in section.get("baseline_deviations") or []:
         features = feature_sets.resolve(raw, sets, op.get("feature_set", usual))
-        done[op["id"]] = derived.baseline_deviation(
+        done[op["id"]] = derived.source_baseline(
             rows(op["source"]), features, list(op["formulas"]), operation=op["id"], profile=section["baseline_profiles"][op["baseline_profile"]], profile_name=op["baseline_profile"],
             include_current=bool(defaults.get("baseline_include_current_day", False)), keys=keys, source=op["source"], spine=raw, quality=why, policy=policy,
         )
@@ -85,25 +85,26 @@ def derive_context(context: DataFrame, protocol: Protocol, keys: list[str] | Non
     defaults, sets = section.get("defaults") or {}, section.get("feature_sets") or {}
     current = bool(defaults.get("baseline_include_current_day", False))
     context = nan_to_null(context)
-    parts = []
+    parts, windows = [], []
+    asked = {op["id"]: tuple(feature_sets.resolve(context, sets, op["feature_set"])) if "feature_set" in op else () for op in section.get("operations") or []}
+    used = {f for fs in asked.values() for f in fs}
+    # text that is no number is missing
+    table = context.select(*[to_number(F.col(f"`{c}`")).alias(c) if c in used and k == "string" else F.col(f"`{c}`") for c, k in context.dtypes])
     for op in section.get("operations") or []:
-        kind, formulas = op["type"], list(op.get("formulas") or [])
-        features = feature_sets.resolve(context, sets, op["feature_set"]) if "feature_set" in op else []
-        # text that is no number is missing
-        table = context.select(*[to_number(F.col(f"`{c}`")).alias(c) if c in features and k == "string" else F.col(f"`{c}`") for c, k in context.dtypes])
+        kind, formulas, features = op["type"], tuple(op.get("formulas") or ()), asked[op["id"]]
         if kind == "pairwise_columns":
-            parts.append(derived.pairwise_columns(table, list(op["pairs"]), formulas, operation=op["id"], keys=keys))
-        elif kind == "baseline_deviation":
-            profile = section["baseline_profiles"][op["baseline_profile"]]
-            parts.append(derived.baseline_deviation(table, features, formulas, operation=op["id"], profile=profile, profile_name=op["baseline_profile"], include_current=bool(op.get("include_current_day", current)), keys=keys))
+            parts.append(derived.pairwise_columns(table, list(op["pairs"]), list(formulas), operation=op["id"], keys=keys))
         elif kind == "lagged_pairwise":
-            parts.append(derived.lagged_pairwise(table, features, formulas, operation=op["id"], lag_days=int(op.get("lag_days", 1)), keys=keys))
+            parts.append(derived.lagged_pairwise(table, list(features), list(formulas), operation=op["id"], lag_days=int(op.get("lag_days", 1)), keys=keys))
+        elif kind == "baseline_deviation":
+            name = op["baseline_profile"]
+            windows.append(derived.Baseline(op["id"], features, formulas, section["baseline_profiles"][name], name, bool(op.get("include_current_day", current))))
         elif kind == "rolling_aggregate":
-            parts.append(
-                derived.rolling_aggregate(table, features, list(op["aggregations"]), operation=op["id"], window_days=int(op["window_days"]), min_periods=int(op.get("min_periods", 1)), include_current=bool(op.get("include_current_day", False)), keys=keys)
-            )
+            windows.append(derived.Rolling(op["id"], features, tuple(op["aggregations"]), int(op["window_days"]), int(op.get("min_periods", 1)), bool(op.get("include_current_day", False))))
         else:
             raise ValueError(f"unknown type of operation: {kind}")
+    if windows:  # all trailing windows together: one exchange
+        parts.append(derived.trailing_operations(table, windows, keys))
     return _union(parts)
 
 

@@ -187,13 +187,23 @@ def baseline_of_source(spark, d):
     """Judged on all dates of the raw table, with flags."""
     r = raw(spark, d).withColumn("segment", F.col("segment_label"))
     return _rows(
-        derived.baseline_deviation(
+        derived.source_baseline(
             tables.select_source(r, "view", "sit", "full"), ["hrv_mean", "morph_n", "hrv_none"], ["delta", "robust_z"], operation="op", profile=PROFILE, profile_name="p", keys=KEYS, source="view", spine=r,
             quality=quality.flag_reason(r.columns),
         )
     )
 
 
+@query
+def trailing_together(spark, d):
+    """Two baselines and an aggregate over one exchange, as the compiler plans them."""
+    ops = [
+        derived.Baseline("week", ("view", "click"), ("delta", "robust_z"), PROFILE, "p"), derived.Baseline("mean", ("click", "error", "nothing"), ("delta",), PROFILE | {"statistic": "mean", "scale": "std", "window_days": 5}, "m"),
+        derived.Rolling("sums", ("view", "error"), ("sum", "max"), 7, 2, True),
+    ]
+    return _rows(derived.trailing_operations(daily(spark, d), ops, KEYS))
+
+
 def _lagged(days: int) -> Query:
     return lambda spark, d: _rows(derived.lagged_pairwise(daily(spark, d), [*TYPES, "nothing"], ["delta", "ratio"], operation="op", lag_days=days, keys=KEYS))
 

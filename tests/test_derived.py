@@ -77,7 +77,7 @@ def test_pairwise_derived_needs_both(spark):
 def test_source_baseline_takes_spine(spark):
     src = table(spark, [(1, 1.0), (2, 3.0), (3, 5.0), (3, 99.0)])
     spine = spark.createDataFrame([(day(3),), (day(4),)], "date date")
-    out = derived.baseline_deviation(src, ["v", "gone"], ["delta"], operation="o", profile=PROFILE, profile_name="p", source="s", spine=spine)
+    out = derived.source_baseline(src, ["v", "gone"], ["delta"], operation="o", profile=PROFILE, profile_name="p", source="s", spine=spine)
     assert got(out.where("feature = 'v'"), "date", "left_value", "right_value", "value", "reason", "right_source") == [("2024-01-03", 5.0, 2.0, 3.0, "", "baseline:p"), ("2024-01-04", None, None, None, "missing_source", "baseline")]
     assert out.where("feature = 'gone'").count() == 2
 
@@ -91,3 +91,16 @@ def test_order_of_rows_does_not_matter(spark):
 def test_unknown_aggregate_raises(spark):
     with pytest.raises(ValueError):
         derived.rolling_aggregate(table(spark, [(1, 1.0)]), ["v"], ["mode"], operation="o", window_days=3)
+    with pytest.raises(ValueError):
+        derived.baseline_deviation(table(spark, [(1, 1.0)]), ["v"], ["delta"], operation="o", profile=PROFILE | {"statistic": "mode"}, profile_name="p")
+
+
+def test_operations_share_one_exchange(spark):
+    df = table(spark, [(k, float(k % 5)) for k in range(1, 20)])
+    ops = [derived.Baseline("a", ("v",), ("delta", "robust_z"), PROFILE, "p"), derived.Rolling("b", ("v",), ("sum", "std"), 3), derived.Baseline("c", ("v",), ("delta",), PROFILE | {"window_days": 5}, "q", True)]
+    out = derived.trailing_operations(df, ops)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1
+    for op in ops:
+        alone = derived.trailing_operations(df, [op])
+        assert out.where(F.col("operation_id") == op.operation).exceptAll(alone).count() == 0 and alone.count() == out.where(F.col("operation_id") == op.operation).count()
