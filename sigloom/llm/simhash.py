@@ -11,8 +11,8 @@ The index works on distinct fingerprints (a group of equal ones is one entry wit
    band to the mask. Members meet in some child by the same argument, so nothing is lost, at any depth.
 2. Leaves: members in Gray order (neighbours differ in few bits) under a tree whose inner nodes hold the bits that all
    below share. A search carries the differences counted so far down the tree and drops a whole group as soon as they
-   exceed the distance. What it finds is joined by union-find, and each member gives one link to the smallest
-   fingerprint it reaches: links grow with the members, not with their pairs.
+   exceed the distance. What it finds is joined there, and each member gives one link to the first of its part: links
+   grow with the members, not with their pairs.
 3. The links of all leaves are joined to components over the cluster (see components()).
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and is linked like any other; a
@@ -118,28 +118,29 @@ class GrayTree:
             yield who, node
 
 
+def least_labels(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest place of n that each place reaches over the pairs (i, j), given in blocks."""
+    label = np.arange(n)
+    for i, j in found:
+        while len(i):
+            a, b = label[i], label[j]
+            low = np.minimum(a, b)
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            while (label != label[label]).any():
+                label = label[label]
+            open_ = label[i] != label[j]
+            i, j = i[open_], j[open_]
+    return label
+
+
 def leaf_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """(member, smallest member of its part) for the parts of one leaf that have two members or more."""
+    """(member, the first of its part) for the parts of one leaf that have two members or more."""
     tree = GrayTree(fps)
-    parent = list(range(len(fps)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in tree.pairs(distance):
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    low: dict[int, int] = {}
-    values = tree.fps.view(np.int64).tolist()
-    for x in range(len(fps)):
-        r = find(x)
-        low[r] = min(low.get(r, values[x]), values[x])
-    return [(values[x], low[r]) for x in range(len(fps)) if values[x] != low[r := find(x)]]
+    label = least_labels(len(fps), tree.pairs(distance))
+    values = tree.fps.view(np.int64)
+    rest = np.flatnonzero(label != np.arange(len(label)))
+    return list(zip(values[rest].tolist(), values[label[rest]].tolist(), strict=True))
 
 
 def _leaf_task(distance: int):
