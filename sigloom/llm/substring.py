@@ -14,7 +14,7 @@ once, in blobs by hash range; one task a range compares all chunks and answers e
 passage found in a third of all rows costs one entry a chunk, and no task sees the rows of a document twice. Ranges
 are as many as keep them near `bucket_entries` entries; at 100 TB raise chunk_bytes (64 MB) and bucket_entries (32 M).
 
-Windows are compared by 64-bit hashes (128-bit where that risk matters is a change of one line in _mixed).
+Windows are compared by 64-bit hashes of their words' 64-bit hashes.
 
 Defined results: a null text has no words; a document shorter than a window loses nothing; a null id counts as larger
 than all others; rows with the same id never remove each other's words; an empty table gives an empty result.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from sigloom.llm._common import materialize, read_table, text_batches
 
 LENGTH = 13
-CHUNK_BYTES = 4 << 20
-BUCKET_ENTRIES = 1_500_000
+CHUNK_BYTES = 2 << 20
+BUCKET_ENTRIES = 750_000
 _NO_ID = np.iinfo(np.int64).max
 _REPLY = "chunk long, level int, bucket int, bits binary"
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
