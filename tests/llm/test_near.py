@@ -26,3 +26,19 @@ def test_mass_of_varied_copies_is_joined_whole(spark):
             copy[at] = fresh(rng, 1)[0]
         copies.append(copy)
     assert kept(spark, [base, *copies]) == [0]
+
+
+def on_template(rng, template, own, shared=()):
+    """A text of a template, a tail that it shares with some, and words of its own."""
+    return [*template, *shared, *fresh(rng, own - len(shared))]
+
+
+def test_pair_among_many_that_are_nearly_similar(spark):
+    """Texts of one template (similarity 0.755 to each other) hide pairs that have 0.82: those are found, no others."""
+    rng = random.Random(6)
+    template = fresh(rng, 404)
+    texts = [on_template(rng, template, 65) for _ in range(900)]
+    for _ in range(50):
+        tail = fresh(rng, 20)
+        texts += [on_template(rng, template, 65, tail) for _ in range(2)]
+    assert kept(spark, texts) == sorted([*range(900), *range(900, 1000, 2)])
