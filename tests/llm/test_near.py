@@ -42,3 +42,12 @@ def test_pair_among_many_that_are_nearly_similar(spark):
         tail = fresh(rng, 20)
         texts += [on_template(rng, template, 65, tail) for _ in range(2)]
     assert kept(spark, texts) == sorted([*range(900), *range(900, 1000, 2)])
+
+
+def test_pairs_within_a_common_passage(spark):
+    """Near copies are found in nodes that are large since all texts share one passage."""
+    rng = random.Random(7)
+    passage = fresh(rng, 304)
+    texts = [on_template(rng, passage, 200) for _ in range(600)]
+    copies = [[*t[:460], *fresh(rng, 44)] for t in texts[:60]]  # 456 / 544
+    assert kept(spark, [*texts, *copies], leaf=16) == list(range(600))
