@@ -51,3 +51,11 @@ def test_pairs_within_a_common_passage(spark):
     texts = [on_template(rng, passage, 200) for _ in range(600)]
     copies = [[*t[:460], *fresh(rng, 44)] for t in texts[:60]]  # 456 / 544
     assert kept(spark, [*texts, *copies], leaf=16) == list(range(600))
+
+
+def test_no_link_rests_on_fingerprints_alone(spark):
+    """2,000 texts of one template, of similarity 0.787 at most: by fingerprints some would pass, but all stay."""
+    rng = random.Random(8)
+    template = fresh(rng, 404)
+    texts = [on_template(rng, template, 54) for _ in range(2000)]  # 400 / 508
+    assert kept(spark, texts) == list(range(2000))
