@@ -4,7 +4,9 @@ Entities are e-mail and IP addresses, phone and card numbers, IBANs, long hexade
 Each is brought to a canonical form (case, separators and titles do not count), and each canonical form gets a surrogate
 of its type from a keyed hash: digits for digits with the same grouping (a card's ends in a valid check digit, an
 address keeps to octets, private ones stay private), letters for letters in the same script and case, given names from
-a list of the same gender and script. Equal entities get equal surrogates wherever they stand (coreference).
+a list of the same gender and script. Equal entities get equal surrogates wherever they stand (coreference). A letter of
+a script without a pool here becomes a Latin one of its case. In a document that names a person with a title, the name
+and each of its words are replaced without the title too.
 
 Different entities get different surrogates: in rounds, a surrogate that two entities share, or that is itself an entity
 of the corpus, stays with one of them at most and the others are hashed anew with a higher attempt number.
@@ -94,6 +96,9 @@ def _numbers(seed: Column) -> Column:
 def _like(text: Column, numbers: Column) -> Column:
     """text with each letter and digit replaced by one of its own class: case, script and all else stay."""
     pools = ((r"\d", "0123456789"), (r"[a-zß-öø-ÿ]", "abcdefghijklmnopqrstuvwxyz"), (r"[A-ZÀ-ÖØ-Þ]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"[а-яё]", "абвгдежзийклмнопрстуфхцчшщэюя"), (r"[А-ЯЁ]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"), (r"[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"[Α-Ω]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"))
+    # all other letters and digits, by script and case; the last ones take what has no pool
+    pools += ((r"[\p{Lu}&&\p{IsCyrillic}]", pools[4][1]), (r"[\p{L}&&\p{IsCyrillic}]", pools[3][1]), (r"[\p{Lu}&&\p{IsGreek}]", pools[6][1]), (r"[\p{L}&&\p{IsGreek}]", pools[5][1]))
+    pools += ((r"[\p{Lu}&&\p{IsArmenian}]", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՓՔՕՖ"), (r"[\p{L}&&\p{IsArmenian}]", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"), (r"[\p{Lu}\p{Lt}]", pools[2][1]), (r"\p{L}", pools[1][1]), (r"\p{N}", pools[0][1]))
 
     def one(c: Column, i: Column) -> Column:
         n = F.element_at(numbers, (i % 64 + 1).cast("int"))
@@ -107,10 +112,10 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form of the surrogate."""
     seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
     # worked out once: in the expressions below it is a variable
-    return F.element_at(F.transform(F.array(F.struct(seed.alias("seed"), _numbers(seed).alias("num"))), lambda x: _made(kind, canon, x.seed, x.num)), 1)
+    return F.element_at(F.transform(F.array(F.struct(seed.alias("seed"), _numbers(seed).alias("num"))), lambda x: _made(kind, canon, attempt, x.seed, x.num)), 1)
 
 
-def _made(kind: Column, canon: Column, seed: Column, num: Column) -> Column:
+def _made(kind: Column, canon: Column, attempt: Column, seed: Column, num: Column) -> Column:
     at = lambda k: F.element_at(num, k)
     email = F.concat(_like(F.substring_index(canon, "@", 1), num), F.lit("@"), F.concat(F.lower(F.substring(F.sha2(seed, 256), 1, 6)), F.lit(".example."), F.element_at(F.split(canon, r"\."), -1)))
     private = canon.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)")
@@ -126,7 +131,8 @@ def _made(kind: Column, canon: Column, seed: Column, num: Column) -> Column:
     cyr = name.rlike(r"\p{IsCyrillic}")
     lists = F.when(cyr & (gender == "f"), F.array(*map(F.lit, NAMES["f", "cyrillic"]))).when(cyr, F.array(*map(F.lit, NAMES["m", "cyrillic"]))).when(gender == "f", F.array(*map(F.lit, NAMES["f", "latin"]))).otherwise(F.array(*map(F.lit, NAMES["m", "latin"])))
     given = F.element_at(lists, (at(64) % F.size(lists) + 1).cast("int"))
-    last = _like(F.element_at(F.split(name, " "), -1), num)
+    # from the eighth attempt on names grow by letters, so that there is always one left
+    last = F.concat(_like(F.element_at(F.split(name, " "), -1), num), _like(F.repeat(F.when(cyr, "а").otherwise("a"), F.floor(attempt / 8).cast("int")), F.reverse(num)))
     person = F.concat(gender, F.lit(":"), F.when(name.contains(" "), F.concat(given, F.lit(" "), last)).otherwise(last))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "phone", phone).otherwise(person)
 
@@ -175,6 +181,29 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
             return materialize(done, "surrogates")
 
 
+def _names(new: Column) -> Column:
+    """(old, new) of the persons in a document's map of surrogates: whole names, then their last and first words."""
+    people = F.filter(F.sort_array(F.map_entries(new)), lambda e: e.key.startswith("person|"))
+    whole = F.transform(people, lambda e: F.struct(F.substring(e.key, F.lit(10), F.length(e.key)).alias("old"), F.substring(e.value, F.lit(3), F.length(e.value)).alias("new")))
+    two = F.filter(whole, lambda x: x.old.contains(" "))
+    part = lambda k: F.transform(two, lambda x: F.struct(F.substring_index(x.old, " ", k).alias("old"), F.substring_index(x.new, " ", k).alias("new")))
+    return F.concat(whole, part(-1), part(1))
+
+
+def _any_of(names: Column) -> Column:
+    """The pattern of these names, longer ones first; null if there is none. Names have no signs that patterns use."""
+    sizes = F.sort_array(F.array_distinct(F.transform(names, lambda x: F.struct((-F.length(x.old)).alias("n"), x.old.alias("old")))))
+    return F.when(F.size(names) > 0, F.concat(F.lit(rf"(?<![{_W}])(?:"), F.array_join(F.transform(sizes, lambda x: x.old), "|"), F.lit(rf")(?![{_W}])")))
+
+
+def _untitled(piece: Column, names: Column, pattern: Column) -> Column:
+    """(s, n): a piece of text with n names replaced."""
+    hits = F.regexp_extract_all(piece, pattern, F.lit(0))
+    put = F.transform(hits, lambda m: F.element_at(F.filter(names, lambda x: x.old == m), 1).new)
+    woven = F.array_join(F.transform(F.split(piece, pattern, -1), lambda q, i: F.concat(q, F.coalesce(F.get(put, i), F.lit("")))), "")
+    return F.when(pattern.isNull(), F.struct(piece.alias("s"), F.lit(0).alias("n"))).otherwise(F.struct(woven.alias("s"), F.size(hits).alias("n")))
+
+
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with surrogates in text, and n_pii: how many mentions were replaced."""
     found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
@@ -193,8 +222,11 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     rows = rows.withColumn("_put", F.transform("_spots", replaced))
     pieces = F.split("_row.text", F.lit(ANY), -1)
-    woven = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("_put", i), F.lit(""))))
-    rows = rows.select(*[F.array_join(woven, "").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], F.size(F.filter("_spots", lambda x: x.kind.isNotNull())).cast("long").alias("n_pii"))
+    rows = rows.withColumn("_names", _names(F.col("_new")))
+    rows = rows.withColumn("_pattern", _any_of(F.col("_names"))).withColumn("_pieces", F.transform(pieces, lambda p: _untitled(p, F.col("_names"), F.col("_pattern"))))
+    woven = F.transform("_pieces", lambda p, i: F.concat(p.s, F.coalesce(F.get("_put", i), F.lit(""))))
+    n = F.size(F.filter("_spots", lambda x: x.kind.isNotNull())) + F.aggregate("_pieces", F.lit(0), lambda a, p: a + p.n)
+    rows = rows.select(*[F.array_join(woven, "").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], n.cast("long").alias("n_pii"))
     rest = docs.where(~F.coalesce(has, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("n_pii"))
     return rows.unionByName(rest)
 
