@@ -92,6 +92,20 @@ def find_keepers(keys: DataFrame, index: DigestIndex, *more: str) -> DataFrame:
     )
 
 
+def find_in_batches(keys: DataFrame, index: DigestIndex) -> DataFrame:
+    """find_keepers() for keys (_rid, _id, digest, len) in two batches, longer texts first, with group_size over both.
+
+    The longest of equal texts stays, so what the index has from the first batch is what stays in the second.
+    """
+    middle = keys.agg(F.percentile_approx("len", 0.5)).first()[0] or 0
+    sizes = materialize(keys.groupBy("digest").agg(F.count("*").alias("copies")), "copies")
+    out = None
+    for batch in (keys.where(F.col("len") >= middle), keys.where(F.col("len") < middle)):
+        got = find_keepers(batch, index)
+        out = got if out is None else out.unionByName(got)
+    return out.join(sizes, "digest").withColumn("group_size", F.col("copies")).drop("copies")
+
+
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns kept."""
     rows, ids = identified(docs, "exact")
@@ -112,7 +126,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     keys = docs.select(F.col("doc_id").alias("_id"), digest().alias("digest"), F.length(text_or_empty()).cast("long").alias("len"))
     keys = with_row_id(keys, "digests")
-    out = find_keepers(keys, query_index(spark, "op8", sf_dir))
+    out = find_in_batches(keys, query_index(spark, "op8", sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
