@@ -7,7 +7,9 @@ best row of labels is found by Viterbi. Pages are independent: the operator is o
 
 Defined results: a null or empty page, and one without text, give an empty text; broken markup is read as far as it
 makes sense; a line break ends a block; scripts, styles and hidden parts never count as text; repeated rows give equal
-results; an empty table gives an empty result.
+results, however many there are; a very long or deeply nested page is read whole, as one value of one row; columns named
+text and n_chars are replaced, all others pass through; ties between labels go to "not the article"; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from sigloom.llm._common import read_table, text_batches
 from sigloom.llm.html_blocks import Block, blocks, features
 from sigloom.llm.html_training import labelled_pages
 
-TRAIN_PAGES = 600
-EPOCHS = 8
+TRAIN_PAGES = 800
+EPOCHS = 5
 SEED = 11
 
 
@@ -50,18 +52,23 @@ class ChainModel:
     def marginals(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(label) of each block, and P(pair of labels) summed over neighbours."""
         n = len(s)
-        e, t = np.exp(s - s.max(1, keepdims=True)), np.exp(self.pair)
-        fwd, bwd = np.empty((n, 2)), np.ones((n, 2))
-        fwd[0] = e[0] / e[0].sum()
-        for k in range(1, n):
-            x = (fwd[k - 1] @ t) * e[k]
-            fwd[k] = x / x.sum()
-        for k in range(n - 2, -1, -1):
-            x = t @ (e[k + 1] * bwd[k + 1])
-            bwd[k] = x / x.sum()
-        one = fwd * bwd
+        e = np.exp(s - s.max(1, keepdims=True)).tolist()
+        (t00, t01), (t10, t11) = np.exp(self.pair).tolist()
+        x, y = e[0]  # plain numbers: two labels are too few for arrays
+        fwd = [(x / (x + y), y / (x + y))]
+        for a, b in e[1:]:
+            x, y = fwd[-1]
+            x, y = (x * t00 + y * t10) * a, (x * t01 + y * t11) * b
+            fwd.append((x / (x + y), y / (x + y)))
+        bwd = [(0.5, 0.5)]
+        for a, b in e[:0:-1]:
+            x, y = bwd[-1]
+            x, y = t00 * a * x + t01 * b * y, t10 * a * x + t11 * b * y
+            bwd.append((x / (x + y), y / (x + y)))
+        f, g = np.array(fwd), np.array(bwd[::-1])
+        one = f * g
         one /= one.sum(1, keepdims=True)
-        two = fwd[:-1, :, None] * t * (e[1:] * bwd[1:])[:, None, :]
+        two = f[:-1, :, None] * np.exp(self.pair) * (np.array(e)[1:] * g[1:])[:, None, :]
         return one, (two / two.sum((1, 2), keepdims=True)).sum(0) if n > 1 else np.zeros((2, 2))
 
     def fit(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int, rate: float = 0.25, l2: float = 1e-5) -> ChainModel:
@@ -74,9 +81,7 @@ class ChainModel:
                 d = -one
                 d[np.arange(len(y)), y] += 1
                 step = np.repeat(d, np.diff(np.r_[starts, len(ids)]), axis=0)
-                grad = np.zeros_like(self.w)
-                np.add.at(grad, ids, step)
-                grad -= l2 * self.w
+                grad = np.stack([np.bincount(ids, c, len(self.w)) for c in step.T], axis=1) - l2 * self.w
                 g_w += grad**2
                 self.w += rate * grad / np.sqrt(g_w)
                 seen = np.zeros((2, 2))

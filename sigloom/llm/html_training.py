@@ -21,12 +21,14 @@ class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.mark = ""
+        self.vocabulary = ["".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 4))) for _ in range(3000)]
 
     def word(self) -> str:
-        return "".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 4))) + self.mark
+        return self.r.choice(self.vocabulary) + self.mark
 
     def words(self, lo: int, hi: int) -> str:
-        return " ".join(self.word() for _ in range(self.r.randint(lo, hi)))
+        some = self.r.choices(self.vocabulary, k=self.r.randint(lo, hi))
+        return f"{self.mark} ".join(some) + self.mark
 
     def sentence(self) -> str:
         s = self.words(1, 18).capitalize()
@@ -123,36 +125,64 @@ class Maker:
         if kind == "talk":
             tag, a = r.choice(["div", "section", "ol"]), self.sure("comments", "comment-list", "discussion", "replies", "respond")
             each = [f"<div{self.sure('comment', 'reply')}><p>{self.prose()}</p></div>", f"<li>{self.prose()}</li>", f"<article{self.sure('comment')}><b>{self.word()}</b><p>{self.prose()}</p></article>", f"<p>{self.prose()}</p>"]
-            form = r.randrange(4)
+            each += [f"<article><div>{self.words(1, 3)}</div><p>{self.prose()}</p></article>", f"<div><b>{self.word()}</b><div{self.sure('content', 'text', 'body')}>{self.prose()}</div></div>"]
+            form = r.randrange(6)
             return f"<{tag}{a}>{'<h3>' + self.words(1, 3) + '</h3>' if r.random() < 0.6 else ''}{''.join(each[form] for _ in range(r.randint(1, 5)))}</{tag}>"
         if kind == "form":
             return f"<form{self.attr('search', 'login', 'contact', '')}><label>{self.words(1, 4)}</label><input name='q'>{'<p>' + self.line() + '</p>' if r.random() < 0.4 else ''}<button>{self.word()}</button></form>"
         return f"<div{self.sure('share', 'social', 'byline', 'tags', 'post-meta')}>{r.choice([self.items(1, 4), self.words(1, 5)])}</div>"
 
+    def layout(self) -> str:
+        """Attributes of an element around the article and more, whose names tell about the whole page."""
+        r, names = self.r, "has-sidebar no-sidebar layout-with-sidebar with-comments content-sidebar-wrap page comments-open cookie-bar-on menu-open header-fixed sticky-footer single-post nav-open widget-area-on site wrapper container row l-main social-on modal-ready ad-layout blog-sidebar form-page comment-status-open".split()
+        return r.choice(["", ' class="%s"', ' id="%s"', ' class="%s"']).replace("%s", " ".join(r.sample(names, r.choice([1, 1, 2, 3]))))
+
+    def core(self, body: str) -> str:
+        r, form = self.r, self.r.random()
+        if r.random() < 0.12:  # a title of its own element
+            head, cut, rest = body.partition("</h1>")
+            body = f"<header{self.attr('entry-header', 'post-header', '')}>{head}{cut}</header>{rest}" if cut else body
+        if r.random() < 0.15:
+            body = f"<div{self.attr('inner', 'body', 'text', 'post-body')}>{body}</div>"
+        if form < 0.4:
+            return f"<article{self.attr('post', 'article', '')}>{body}</article>"
+        if form < 0.55:
+            return f"<main>{body}</main>"
+        if form < 0.75:
+            return f"<div{self.sure('content', 'post', 'article-body', 'entry-content', 'story', 'main')}>{body}</div>"
+        if form < 0.82:
+            beside = f"<td>{self.boilerplate(r.choice(['menu', 'side', 'ad']))}</td>" if r.random() < 0.7 else ""
+            return f"<table><tr>{beside}<td>{body}</td></tr></table>"
+        return body if form < 0.87 else f"<div>{body}</div>" if form < 0.96 else f"<section>{body}</section>"
+
     def page(self) -> str:
         r = self.r
         body = self.article()
-        form = r.random()
-        if form < 0.6:
-            core = f"<article{self.attr('post', 'article', '')}>{body}</article>"
-        elif form < 0.75:
-            core = f"<main>{body}</main>"
-        elif form < 0.95:
-            core = f"<div{self.sure('content', 'post', 'article-body', 'entry-content', 'story', 'main')}>{body}</div>"
-        else:
-            core = f"<div>{body}</div>"
+        if r.random() < 0.1:  # comments inside the article's element
+            body += self.boilerplate(r.choice(["talk", "share", "form", "side"]))
+        core = self.core(body)
         inside = [self.boilerplate(k) for k in r.sample(["side", "share", "talk", "ad", "form"], r.choice([0, 0, 1, 2]))]
+        if r.random() < 0.08:
+            inside += [self.boilerplate("talk") for _ in range(4)]  # more is said by readers than by the article
         if inside and r.random() < 0.3:
             core = f"<main>{core}{''.join(inside)}</main>"
             inside = []
+        if r.random() < 0.25:  # around the article alone
+            core = f"<div{self.layout()}>{core}</div>"
+        if r.random() < 0.06:
+            core = f"<form{self.attr('aspnetForm', 'form1', 'main-form')} method='post'><input type='hidden' name='s'>{core}</form>"
         first = [self.boilerplate(k) for k in ("head", "menu", "note", "ad", "form", "side") if r.random() < 0.35]
         after = [self.boilerplate(k) for k in ("share", "ad", "side", "talk", "form", "note") if r.random() < 0.3]
         r.shuffle(after)
         foot = self.boilerplate("foot") if r.random() < 0.8 else ""
+        if r.random() < 0.12:  # a page of little else
+            first, after, foot = [], [], ""
         whole = "".join(first) + core + "".join(inside + after) + foot
-        if r.random() < 0.2:
-            whole = f"<div id='page'>{whole}</div>"
-        return f"<!DOCTYPE html><html><head><title>{self.words(1, 6)}</title><style>p{{margin:0}}</style></head><body>{whole}" + ("</body></html>" if r.random() < 0.9 else "")
+        if r.random() < 0.15:
+            whole = f"<form{self.attr('aspnetForm', 'form1', 'contact', '')} method='post' action='./'>{whole}</form>"
+        for _ in range(r.choice([0, 0, 1, 2])):
+            whole = f"<div{self.layout()}>{whole}</div>"
+        return f"<!DOCTYPE html><html{self.layout() if r.random() < 0.2 else ''}><head><title>{self.words(1, 6)}</title><style>p{{margin:0}}</style></head><body{self.layout()}>{whole}" + ("</body></html>" if r.random() < 0.9 else "")
 
 
 def labelled_pages(pages: int, seed: int) -> list[tuple[list[Block], list[int]]]:

@@ -63,3 +63,66 @@ def test_odd_pages(spark, tmp_path):
     assert len(out) == 7 and out[1].text == "" and out[2].n_chars == 0 and out[6].text == "" and out[None].text == "Fine words, in a row."
     spark.createDataFrame([], "page_id long, url string, html string").write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
     assert op3_html(spark, str(tmp_path)).count() == 0
+
+
+ARTICLE = "<h1>A title</h1><p>The first paragraph tells a story, at some length, of what was.</p><p>It went on for a while. Then it ended.</p>"
+ARTICLE_TEXT = "A title\nThe first paragraph tells a story, at some length, of what was.\nIt went on for a while. Then it ended."
+
+
+@pytest.mark.parametrize("part", ["", "footer", "comments", "aside", "cookie"])
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "<body class='has-sidebar'><article>{}</article>{}", "<body class='page comments-open cookie-bar-on'><article>{}</article>{}", "<body class='has-sidebar'><div class='content'>{}</div>{}", "<body class='no-sidebar menu-open'><div>{}</div>{}",
+        "<div class='layout-with-sidebar'><div class='post'>{}</div></div>{}", "<form id='aspnetForm'><div class='content'>{}</div>{}</form>", "<form method='post'><div>{}</div>{}</form>", "<div class='sidebar-layout'><div>{}</div>{}</div>",
+        "<div class='widget widget-article'><article>{}</article></div>{}", "<body class='modal-open'>{}{}", "<table><tr><td>{}</td></tr></table>{}", "<div class='promo-page'><div class='story'>{}</div></div>{}",
+    ],
+)
+def test_wrappers_named_for_a_layout_are_no_boilerplate(model, wrapper, part):
+    assert text(wrapper.format(ARTICLE, PARTS[part] if part else ""), model) == ARTICLE_TEXT
+
+
+def test_comments_longer_than_the_article(model):
+    talk = "<section class='comments'>" + "".join(f"<article><b>Ann {k}</b><p>I do not agree with a word of this, and I shall say so at length, once more.</p></article>" for k in range(12)) + "</section>"
+    assert text(f"<body><article>{ARTICLE}</article>{talk}</body>", model) == ARTICLE_TEXT
+
+
+def test_broken_quotes_and_signs_without_width(model):
+    assert text('<article><p>See <a href="foo>the link</a> here, at length of words.</p></article>', model) == "See the link here, at length of words."
+    assert text("<article><p title=it's>A <b don't>bold</b> word, and more of them.</p></article>", model) == "A bold word, and more of them."
+    assert text("<article><p>zero​width holds, and <math><mi>x</mi><mo>=</mo><mn>2</mn></math> too.</p></article>", model) == "zero​width holds, and x=2 too."
+
+
+def test_long_and_deep_pages(model):
+    long = "<article>" + "".join(f"<p>Paragraph {k} of a long story, which goes on and on.</p>" for k in range(20000)) + "</article>"
+    assert text(long, model).count("\n") == 19999
+    deep = "<div>" * 20000 + ARTICLE
+    assert text(deep, model) == ARTICLE_TEXT
+
+
+def test_viterbi_and_marginals_agree_with_enumeration(model):
+    import itertools
+
+    import numpy as np
+
+    row = blocks("<body><nav><a href='/'>Home</a></nav><article>" + ARTICLE + "</article><footer>&copy; us</footer></body>")
+    s = model.scores(*model._ids(features(row)))
+    n = len(s)
+    every = list(itertools.product((0, 1), repeat=n))
+    total = np.array([sum(s[k, y] for k, y in enumerate(ys)) + sum(model.pair[a, b] for a, b in zip(ys, ys[1:], strict=False)) for ys in every])
+    assert tuple(model.decode(features(row))) == every[int(total.argmax())]
+    p = np.exp(total - total.max())
+    p /= p.sum()
+    one, two = model.marginals(s)
+    assert np.allclose(one[:, 1], [sum(q for q, ys in zip(p, every, strict=True) if ys[k]) for k in range(n)])
+    pairs = [[sum(q * sum(z == (a, b) for z in zip(ys, ys[1:], strict=False)) for q, ys in zip(p, every, strict=True)) for b in (0, 1)] for a in (0, 1)]
+    assert np.allclose(two, pairs)
+
+
+def test_repeated_rows_and_columns_of_any_name(spark):
+    from sigloom.llm.html_extract import extract
+
+    rows = [(k % 3, "u", f"<article>{ARTICLE}</article>", "mine", 7) for k in range(9)]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long"))
+    assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
+    assert {(r.text, r.n_chars) for r in out.collect()} == {(ARTICLE_TEXT, len(ARTICLE_TEXT))} and out.count() == 9
