@@ -26,7 +26,7 @@ from sigloom.llm._common import read_table, text_batches
 from sigloom.llm.html_blocks import Block, blocks, features
 from sigloom.llm.html_training import labelled_pages
 
-TRAIN_PAGES = 800
+TRAIN_PAGES = 1600
 EPOCHS = 5
 SEED = 11
 
