@@ -1,21 +1,25 @@
 """Surrogates for personal data (operator 7). DataFrame functions only.
 
-Entities are e-mail and IP addresses, phone and card numbers, IBANs, long hexadecimal secrets and titled person names.
-Each is brought to a canonical form (case, separators and titles do not count), and each canonical form gets a surrogate
-of its type from a keyed hash: digits for digits with the same grouping (a card's ends in a valid check digit, an
-address keeps to octets, private ones stay private), letters for letters in the same script and case, given names from
-a list of the same gender and script. Equal entities get equal surrogates wherever they stand (coreference). A letter of
-a script without a pool here becomes a Latin one of its case. In a document that names a person with a title, the name
-and each of its words are replaced without the title too.
-
-Different entities get different surrogates: in rounds, a surrogate that two entities share, or that is itself an entity
-of the corpus, stays with one of them at most and the others are hashed anew with a higher attempt number.
+Entities are e-mail and IP addresses (4 and 6), phone, card and social security numbers, IBANs, secrets (long hexadecimal
+strings, keys of common services, what follows password= and the like) and person names behind a title. Each is brought
+to a canonical form (case, separators and titles do not count), and each canonical form gets a surrogate of its type
+from a keyed hash: digits for digits with the same grouping (a card, an IBAN and a social security number stay valid, an
+address keeps to octets, private ones stay private), letters for letters in the same script and case, given names from a
+list of the same gender and script. Equal entities get equal surrogates wherever they stand (coreference). A person is
+two entities, the given name and the surname, so "Mr Smith", "Mr JOHN SMITH" and "John Smith" stay one person, and a
+family keeps one name. A letter of a script without a pool here becomes a Latin one of its case. In a document that names
+a person with a title, the name and each of its words are replaced without the title too.
+
+Different entities get different surrogates: in rounds, a surrogate that two entities of any type share, or that is
+itself an entity of the corpus, stays with one of them at most and the others are hashed anew with a higher attempt
+number. From some attempt on surrogates grow (an IP address becomes one of version 6), so rounds end however full a form is.
 
 Only documents with entities are shuffled; the text of the others passes through. An entity in a third of all rows is
-one row of the table of entities (pre-aggregated), and its join with the mentions may be split.
+one row of the table of entities (pre-aggregated), and its join with the mentions may be split. A very long text is one
+row; its mentions are looked up by joins, not within the row.
 
-Defined results: a null text stays null, an empty one empty; equal rows get equal texts; a null id is kept as it is; an
-empty table gives an empty result.
+Defined results: a null text stays null, an empty one empty; equal rows get equal texts, so ties cannot differ; a null id
+is kept as it is; a column n_pii is replaced, all other names pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,62 +29,127 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import as_row, materialize, read_table, with_row_id
+from sigloom.llm._common import as_row, discard, materialize, read_table, with_row_id
 
 KEY = "surrogate-key"
 
-#: Titles by gender, and given names by gender and script.
-TITLES = {"m": ["Mr", "Herr", "Sr", "Señor", "Monsieur", "Г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Madame", "Mme", "Г-жа"]}
+#: Titles by gender (n: either), and given names by gender and script.
+TITLES = {
+    "m": ["Mr", "Mister", "Sir", "Herr", "Sr", "Señor", "Monsieur", "Г-н", "Господин"],
+    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Sra", "Señora", "Madame", "Mme", "Mlle", "Г-жа", "Госпожа"],
+    "n": ["Dr", "Doctor", "Doktor", "Prof", "Professor"],
+}
 NAMES = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Noah Oscar Paul Robert Simon Thomas Victor".split(),
     ("f", "latin"): "Alice Bertha Clara Diana Emma Flora Grace Helena Irene Julia Karla Laura Maria Nora Olga Paula Rosa Sofia Teresa Vera".split(),
+    ("n", "latin"): "Alex Andrea Ariel Ashley Casey Charlie Dana Devin Eden Jamie Jordan Kim Lee Morgan Noel Quinn Robin Sam Sascha Toni".split(),
     ("m", "cyrillic"): "Алексей Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Сергей Тимур".split(),
     ("f", "cyrillic"): "Алиса Белла Вера Галина Дарья Елена Жанна Ирина Ксения Лидия Мария Нина Ольга Полина Раиса Софья".split(),
+    ("n", "cyrillic"): "Валя Женя Саша Слава Шура".split(),
 }
 
 _W = r"\p{L}\p{N}"
-_TITLE = "(?:" + "|".join(t for row in TITLES.values() for t in sorted(row, key=len, reverse=True)) + r")"
+
+
+def _one_of(titles: list[str]) -> str:
+    # in capitals too, but for "MS", which is more often something else
+    return "(?:" + "|".join(sorted({x for t in titles for x in (t, t if t == "Ms" else t.upper())}, key=lambda t: (-len(t), t))) + ")"
+
+
+_TITLE = _one_of([t for row in TITLES.values() for t in row])
+_BEFORE = rf"(?:{_TITLE}\.? ){{1,3}}(?:\p{{Lu}}\. ?){{0,3}}"
+_NAME = r"(?:\p{Lu}\p{L}{1,30}+|\p{Lu}(?=['’]))(?:['’\-](?!s(?![\p{L}\p{N}]))\p{L}{1,30}+){0,2}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_H = r"[0-9A-Fa-f]{1,4}"
+_LABEL = r"(?:(?i:password|passwd|pwd)[\"']?\s{0,2}(?:=|:(?=\s{0,2}[\"']?[^\s\"']{0,64}[\d!@#$%^&*_\-]))|(?i:secret|api[_\-]?key|access[_\-]?key|auth[_\-]?token|token)[\"']?\s{0,2}[=:](?=\s{0,2}[\"']?[^\s\"']{0,64}\d))\s{0,2}[\"']?"
+_HEX = r"(?=[a-zA-Z]{0,127}+\d)(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)"
 #: In the order in which they are tried at one place. All start where no letter or digit is before them; possessive
 #: runs and bounded repeats keep the scan linear.
 PATTERNS = {
     "email": rf"(?<![._%+\-])[{_W}_][{_W}._%+\-]{{0,63}}+@(?:[{_W}\-]{{1,63}}+\.)+\p{{L}}{{2,24}}(?![{_W}])",
+    "password": rf"{_LABEL}(?![<{{$])[^\s\"'<>,;]{{4,128}}+",
+    "key": rf"(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,80}}+|sk-[A-Za-z0-9_\-]{{20,100}}+|xox[abprs]-[A-Za-z0-9\-]{{10,80}}+|AIza[0-9A-Za-z_\-]{{35}})(?![{_W}])",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![{_W}]|\.\d)",
+    "ipv6": rf"(?<!:)(?=[0-9A-Fa-f:]{{0,38}}\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}})(?![{_W}:])",
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_W}])",
-    "secret": rf"(?=[a-zA-Z]{{0,127}}+\d)(?:[0-9a-f]{{32,128}}+|[0-9A-F]{{32,128}}+)(?![{_W}])",
+    "secret": rf"{_HEX}(?![{_W}])",
     "card": rf"(?<![.+])\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?![{_W}])",
+    "ssn": rf"(?<![.+\-])(?!000|666|9\d\d)\d{{3}}-(?!00)\d{{2}}-(?!0000)\d{{4}}(?![{_W}]|-\d)",
     "phone": rf"(?:\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ .\-]?\d{{3}}[ .\-]\d{{4}}|\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}})(?![{_W}])",
-    "person": rf"{_TITLE}\.? \p{{Lu}}[\p{{L}}'\-]{{1,30}}+(?: \p{{Lu}}[\p{{L}}'\-]{{1,30}}+)?",
+    "person": rf"{_BEFORE}{_NAME}(?: {_NAME})?",
 }
 #: One look back for all, so most places of a text cost one step.
 ANY = rf"(?<![{_W}])(?:" + "|".join(PATTERNS.values()) + ")"
+#: A secret key's first letters tell whose it is.
+_ISSUER = r"^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza)"
 
 
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, r"\D", "")
 
 
+def _chars(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
 def _luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a string of digits, the last one counted once."""
-    chars = F.reverse(F.filter(F.split(digits, ""), lambda c: c != ""))
-    each = F.transform(chars, lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.element_at(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), c.cast("int") + 1)))
+    each = F.transform(F.reverse(_chars(digits)), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.element_at(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), c.cast("int") + 1)))
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(iban: Column) -> Column:
+    """The remainder of an IBAN without blanks, as its check digits are made: 1 if they are right."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))
+    step = lambda a, c: F.when(c.rlike(r"^\d$"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(_chars(turned), F.lit(0), step)
+
+
 def kind_of(mention: Column) -> Column:
     """The type of a mention; null if it is no entity after all (a long number that is no card)."""
-    whole = [(k, mention.rlike(f"^(?:{p})$")) for k, p in PATTERNS.items()]
-    card = mention.rlike(f"^(?:{PATTERNS['card']})$") & (F.length(_digits(mention)).between(13, 19))
-    out = F.when(mention.contains("@"), F.lit("email"))
-    for k, hit in whole[1:]:
-        out = out.when(card & (_luhn_sum(_digits(mention)) % 10 == 0) if k == "card" else hit & ~card if k == "phone" else hit, F.lit(k))
-    return out
+    digits, whole = _digits(mention), {k: mention.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
+    card = whole["card"] & F.length(digits).between(13, 19)
+    whole["card"] = card & (_luhn_sum(digits) % 10 == 0)
+    whole["phone"] &= ~card
+    whole["iban"] &= _mod97(F.regexp_replace(mention, " ", "")) == 1
+    return reduce(lambda w, k: w.when(whole[k], F.lit(k)), list(whole)[1:], F.when(whole["email"], F.lit("email")))
+
+
+def _value(mention: Column) -> Column:
+    """What a label stands for."""
+    return F.regexp_replace(mention, rf"^{_LABEL}", "")
+
 
+def _expanded(ip: Column) -> Column:
+    """An address of version 6 as eight groups of four digits."""
+    side = lambda part: F.transform(F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0"))
+    left = side(F.substring_index(ip, "::", 1))
+    right = F.when(ip.contains("::"), side(F.substring_index(ip, "::", -1))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right), ":")
 
-def canonical(kind: Column, mention: Column) -> Column:
-    name = F.regexp_replace(mention, rf"^{_TITLE}\.? ", "")
-    gender = F.when(mention.rlike("^(?:" + "|".join(TITLES["f"]) + r")\.? "), "f").otherwise("m")
-    return F.when(kind.isin("phone", "card"), _digits(mention)).when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind == "person", F.concat(gender, F.lit(":"), name)).otherwise(F.lower(mention))
+
+def _name_words(mention: Column) -> Column:
+    return F.split(F.regexp_replace(mention, f"^{_BEFORE}", ""), " ")
+
+
+def _gender(mention: Column, given: Column) -> Column:
+    listed = lambda g: F.array(*[F.lit(n.lower()) for (k, _), row in NAMES.items() if k == g for n in row])
+    titled = lambda g: mention.rlike(rf"^(?:{_TITLE}\.? )*{_one_of(TITLES[g])}\.? ")
+    return F.when(titled("f"), "f").when(titled("m"), "m").when(F.array_contains(listed("f"), given), "f").when(F.array_contains(listed("m"), given), "m").otherwise("n")
+
+
+def entities_of(kind: Column, mention: Column) -> Column:
+    """(kind, canon) of the entities of a mention, in order: two for a person of two names, none if it is no entity."""
+    ref = lambda k, canon: F.struct(k.alias("kind"), canon.alias("canon"))
+    words = F.transform(_name_words(mention), lambda w: F.lower(w))
+    given = F.concat(_gender(mention, words[0]), F.lit(":"), words[0])
+    person = F.when(F.size(words) > 1, F.array(ref(F.lit("given"), given), ref(F.lit("surname"), words[1]))).otherwise(F.array(ref(F.lit("surname"), words[0])))
+    value = _value(mention)
+    hexed = value.rlike(f"^{_HEX}$")
+    canon = F.when(kind.isin("phone", "card", "ssn"), _digits(mention)).when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind == "ipv6", _expanded(mention)).when(kind == "key", mention)
+    canon = canon.when(kind == "password", F.when(hexed, F.lower(value)).otherwise(value)).otherwise(F.lower(mention))
+    one = F.array(ref(F.when((kind == "password") & hexed, F.lit("secret")).otherwise(kind), canon))
+    return F.when(kind.isNull(), F.array().cast("array<struct<kind:string,canon:string>>")).when(kind == "person", person).otherwise(one)
 
 
 def _stream(seed: Column, n: int) -> list[Column]:
@@ -105,7 +174,7 @@ def _like(text: Column, numbers: Column) -> Column:
         pick = lambda pool: F.substring(F.lit(pool), n % len(pool) + 1, F.lit(1))
         return reduce(lambda w, p: w.when(c.rlike(f"^{p[0]}$"), pick(p[1])), pools[1:], F.when(c.rlike(f"^{pools[0][0]}$"), pick(pools[0][1]))).otherwise(c)
 
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+    return F.array_join(F.transform(_chars(text), one), "")
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -117,117 +186,163 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 
 def _made(kind: Column, canon: Column, attempt: Column, seed: Column, num: Column) -> Column:
     at = lambda k: F.element_at(num, k)
-    email = F.concat(_like(F.substring_index(canon, "@", 1), num), F.lit("@"), F.concat(F.lower(F.substring(F.sha2(seed, 256), 1, 6)), F.lit(".example."), F.element_at(F.split(canon, r"\."), -1)))
+    tail = lambda k: F.substring(canon, F.lit(k), F.length(canon))
+    # what a form is longer by, so that there is always a surrogate left
+    more = lambda sign, per, after=0: _like(F.repeat(F.lit(sign) if isinstance(sign, str) else sign, F.greatest(F.lit(0), F.floor((attempt - after) / per)).cast("int")), F.reverse(num))
+    digest = F.sha2(seed, 256)
+    email = F.concat(_like(F.substring_index(canon, "@", 1), num), F.lit("@"), F.substring(digest, F.lit(1), F.least(F.lit(40), 6 + attempt)), F.lit(".example."), F.element_at(F.split(canon, r"\."), -1))
     private = canon.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)")
     first = F.when(private, F.lit(10)).otherwise(F.lit(11) + at(1) % 90)
-    ip = F.concat_ws(".", first.cast("string"), *[at(k).cast("string") for k in (2, 3, 4)])
+    ipv6 = F.concat(F.lit("2001:0db8"), F.array_join(F.transform(F.regexp_extract_all(F.substring(digest, 1, 24), F.lit("...."), F.lit(0)), lambda g: F.concat(F.lit(":"), g)), ""))
+    ip = F.when(attempt < 8, F.concat_ws(".", first.cast("string"), *[at(k).cast("string") for k in (2, 3, 4)])).otherwise(ipv6)
     body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), _like(F.substring(canon, F.lit(2), F.length(canon) - 2), num))
     card = F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    iban = F.concat(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(3), F.length(canon)), num))
+    account = _like(tail(5), num)
+    iban = F.concat(F.substring(canon, 1, 2), F.lpad((98 - _mod97(F.concat(F.substring(canon, 1, 2), F.lit("00"), account))).cast("string"), 2, "0"), account)
+    ssn = F.concat((at(1) % 5 + 1).cast("string"), _like(F.lit("00"), num), (at(4) % 9 + 1).cast("string"), (at(5) % 10).cast("string"), (at(6) % 9 + 1).cast("string"), _like(F.lit("000"), F.reverse(num)))
     secret = F.substring(F.concat(*_stream(seed, 2)), F.lit(1), F.length(canon))
+    issuer = F.regexp_extract(canon, _ISSUER, 0)
+    token = F.concat(issuer, _like(F.regexp_replace(canon, _ISSUER, ""), num))
     # country code and the first digit of a number stay; the rest changes
-    phone = F.concat(F.substring(canon, 1, 1), _like(F.substring(canon, F.lit(2), F.length(canon)), num))
-    gender, name = F.substring(canon, 1, 1), F.substring(canon, F.lit(3), F.length(canon))
-    cyr = name.rlike(r"\p{IsCyrillic}")
-    lists = F.when(cyr & (gender == "f"), F.array(*map(F.lit, NAMES["f", "cyrillic"]))).when(cyr, F.array(*map(F.lit, NAMES["m", "cyrillic"]))).when(gender == "f", F.array(*map(F.lit, NAMES["f", "latin"]))).otherwise(F.array(*map(F.lit, NAMES["m", "latin"])))
-    given = F.element_at(lists, (at(64) % F.size(lists) + 1).cast("int"))
-    # from the eighth attempt on names grow by letters, so that there is always one left
-    last = F.concat(_like(F.element_at(F.split(name, " "), -1), num), _like(F.repeat(F.when(cyr, "а").otherwise("a"), F.floor(attempt / 8).cast("int")), F.reverse(num)))
-    person = F.concat(gender, F.lit(":"), F.when(name.contains(" "), F.concat(given, F.lit(" "), last)).otherwise(last))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "phone", phone).otherwise(person)
+    phone = F.concat(F.substring(canon, 1, 1), _like(tail(2), num), more("0", 8))
+    gender, cyr = F.substring(canon, 1, 1), canon.rlike(r"\p{IsCyrillic}")
+    names = {k: F.array(*[F.lit(n.lower()) for n in row]) for k, row in NAMES.items()}
+    lists = reduce(lambda w, k: w.when((gender == k[0]) & (cyr if k[1] == "cyrillic" else ~cyr), names[k]), names, F.when(F.lit(False), names["n", "latin"])).otherwise(names["n", "latin"])
+    letter = F.when(cyr, "а").otherwise("a")
+    given = F.concat(gender, F.lit(":"), F.element_at(lists, (at(64) % F.size(lists) + 1).cast("int")), more(letter, 1, 2))
+    forms = {"email": email, "ip": ip, "ipv6": ipv6, "card": card, "iban": iban, "ssn": ssn, "secret": secret, "key": token, "password": F.concat(_like(canon, num), more("0", 8)), "phone": phone, "given": given}
+    return reduce(lambda w, k: w.when(kind == k, forms[k]), list(forms)[1:], F.when(kind == "email", email)).otherwise(F.concat(_like(canon, num), more(letter, 4)))
 
 
 def _fill(mention: Column, digits: Column) -> Column:
-    """mention with its digits replaced by the given ones, in order."""
-    chars = F.filter(F.split(mention, ""), lambda c: c != "")
+    """mention with its digits replaced by the given ones, in order; more digits go to the end."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
 
     def step(a: Column, c: Column) -> Column:
         d = c.rlike(r"^\d$")
         return F.struct(F.concat(a.s, F.when(d, F.substring(digits, a.k, F.lit(1))).otherwise(c)).alias("s"), (a.k + d.cast("int")).alias("k"))
 
-    return F.aggregate(chars, start, step, lambda a: a.s)
+    return F.aggregate(_chars(mention), start, step, lambda a: F.concat(a.s, F.substring(digits, a.k, F.length(digits))))
 
 
 def _grouped(mention: Column, flat: Column) -> Column:
     """flat with the blanks of mention."""
-    chars = F.filter(F.split(mention, ""), lambda c: c != "")
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
     step = lambda a, c: F.struct(F.concat(a.s, F.when(c == " ", c).otherwise(F.substring(flat, a.k, F.lit(1)))).alias("s"), (a.k + (c != " ").cast("int")).alias("k"))
-    return F.aggregate(chars, start, step, lambda a: a.s)
+    return F.aggregate(_chars(mention), start, step, lambda a: a.s)
+
+
+def _upper(s: Column) -> Column:
+    return (s == F.upper(s)) & (s != F.lower(s))
 
 
-def written(kind: Column, mention: Column, canon: Column) -> Column:
-    """A surrogate's canonical form in the format of the mention."""
-    title = F.regexp_extract(mention, rf"^{_TITLE}\.? ", 0)
-    upper = (mention == F.upper(mention)) & (mention != F.lower(mention))
-    return F.when(kind.isin("phone", "card"), _fill(mention, canon)).when(kind == "iban", _grouped(mention, canon)).when(kind == "person", F.concat(title, F.substring(canon, F.lit(3), F.length(canon)))).when(upper, F.upper(canon)).otherwise(canon)
+def _cased(word: Column, new: Column) -> Column:
+    """new in the case of word: capitals where it has them, all over if it has nothing else."""
+    high = lambda i: F.substring(word, i + 1, F.lit(1)).rlike(r"^\p{Lu}$")
+    return F.when(_upper(word) & (F.length(word) > 1), F.upper(new)).otherwise(F.array_join(F.transform(_chars(new), lambda c, i: F.when(high(i), F.upper(c)).otherwise(c)), ""))
+
+
+def written(kind: Column, mention: Column, new: Column) -> Column:
+    """The canonical forms of a mention's surrogates in the format of the mention."""
+    one = new[0]
+    words = _name_words(mention)
+    # a given name is one word with one capital, whatever the old one looked like
+    name = F.when(F.size(words) > 1, F.concat(_cased(words[0], F.when(_upper(words[0]) & (F.length(words[0]) > 1), F.substring(one, F.lit(3), F.length(one))).otherwise(F.initcap(F.substring(one, F.lit(3), F.length(one))))), F.lit(" "), _cased(words[1], new[1]))).otherwise(_cased(words[0], one))
+    person = F.concat(F.regexp_extract(mention, f"^{_BEFORE}", 0), name)
+    value = _value(mention)
+    password = F.concat(F.substring(mention, F.lit(1), F.length(mention) - F.length(value)), F.when(_upper(value) & value.rlike(f"^{_HEX}$"), F.upper(one)).otherwise(one))
+    shown = F.when(kind.isin("phone", "card", "ssn"), _fill(mention, one)).when(kind == "iban", _grouped(mention, one)).when(kind == "person", person).when(kind == "password", password)
+    return shown.when(kind == "key", one).when(_upper(mention), F.upper(one)).otherwise(one)
+
+
+def _shown(kind: Column, canon: Column) -> Column:
+    """What of a canonical form can be seen in a text."""
+    return F.when(kind == "given", F.substring(canon, F.lit(3), F.length(canon))).otherwise(canon)
 
 
 def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """entities (kind, canon: distinct) with new: distinct within a kind, and no entity itself."""
-    real = entities.select("kind", F.col("canon").alias("new"), F.lit(True).alias("real"))
-    todo, done = entities.withColumn("attempt", F.lit(0)), None
+    """entities (kind, canon: distinct) with new: no two look alike, and none like an entity itself."""
+    real = entities.select(_shown(F.col("kind"), F.col("canon")).alias("seen")).distinct().withColumn("real", F.lit(True))
+    todo, done = entities.select("kind", "canon").withColumn("attempt", F.lit(0)), None
     while True:
-        tried = materialize(todo.select("kind", "canon", "attempt", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("new")), "tried")
-        best = tried.groupBy("kind", "new").agg(F.min("canon").alias("first"))
+        made = todo.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
+        tried = materialize(made.withColumn("seen", _shown(F.col("kind"), F.col("new"))), "tried")
+        best = tried.groupBy("seen").agg(F.min(F.struct("kind", "canon")).alias("first"))
         if done is not None:
-            best = best.join(done.select("kind", "new"), ["kind", "new"], "left_anti")
-        best = best.join(real, ["kind", "new"], "left").where("real IS NULL").drop("real")
-        won = materialize(tried.join(best, ["kind", "new"]).where("canon = first").select("kind", "canon", "new"), "won")
+            best = best.join(done.select("seen"), "seen", "left_anti")
+        best = best.join(real, "seen", "left").where("real IS NULL").select("seen", "first")
+        won = materialize(tried.join(best, "seen").where("kind = first.kind AND canon = first.canon").select("kind", "canon", "new", "seen"), "won")
         done = won if done is None else done.unionByName(won)
+        last = todo
         todo = materialize(tried.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "again")
+        discard(tried)
+        discard(last)
         if todo.isEmpty():
-            return materialize(done, "surrogates")
+            discard(todo)
+            return materialize(done.select("kind", "canon", "new"), "surrogates")
 
 
-def _names(new: Column) -> Column:
-    """(old, new) of the persons in a document's map of surrogates: whole names, then their last and first words."""
-    people = F.filter(F.sort_array(F.map_entries(new)), lambda e: e.key.startswith("person|"))
-    whole = F.transform(people, lambda e: F.struct(F.substring(e.key, F.lit(10), F.length(e.key)).alias("old"), F.substring(e.value, F.lit(3), F.length(e.value)).alias("new")))
-    two = F.filter(whole, lambda x: x.old.contains(" "))
-    part = lambda k: F.transform(two, lambda x: F.struct(F.substring_index(x.old, " ", k).alias("old"), F.substring_index(x.new, " ", k).alias("new")))
-    return F.concat(whole, part(-1), part(1))
+def _any_of(forms: Column) -> Column:
+    """The pattern of these words, longer ones first; null if there is none. Names have no signs that patterns use."""
+    sizes = F.sort_array(F.array_distinct(F.transform(forms, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("old")))))
+    return F.when(F.size(forms) > 0, F.concat(F.lit(rf"(?<![{_W}])(?:"), F.array_join(F.transform(sizes, lambda x: x.old), "|"), F.lit(rf")(?![{_W}])")))
 
 
-def _any_of(names: Column) -> Column:
-    """The pattern of these names, longer ones first; null if there is none. Names have no signs that patterns use."""
-    sizes = F.sort_array(F.array_distinct(F.transform(names, lambda x: F.struct((-F.length(x.old)).alias("n"), x.old.alias("old")))))
-    return F.when(F.size(names) > 0, F.concat(F.lit(rf"(?<![{_W}])(?:"), F.array_join(F.transform(sizes, lambda x: x.old), "|"), F.lit(rf")(?![{_W}])")))
+def _forms(spots: Column) -> Column:
+    """How the persons of a document may be written without a title: whole names and their words, in three cases."""
+    people = F.transform(F.filter(spots, lambda x: x.kind == "person"), lambda x: _name_words(x.m))
+    every = F.flatten(F.transform(people, lambda w: F.concat(F.array(F.array_join(w, " ")), w)))
+    return F.array_distinct(F.flatten(F.transform(every, lambda w: F.array(w, F.upper(w), F.initcap(w)))))
 
 
 def _untitled(piece: Column, names: Column, pattern: Column) -> Column:
-    """(s, n): a piece of text with n names replaced."""
+    """(s, n): a piece of text with n names replaced. names: (given, old, new) of the document."""
+
+    def renamed(word: Column, given: Column) -> Column:
+        same = F.filter(names, lambda x: x.old == F.lower(word))
+        fit = F.coalesce(F.try_element_at(F.filter(same, lambda x: x.given == given), F.lit(1)), F.try_element_at(same, F.lit(1)))
+        plain = fit.given & ~(_upper(word) & (F.length(word) > 1))
+        return F.coalesce(_cased(word, F.when(plain, F.initcap(fit.new)).otherwise(fit.new)), word)
+
     hits = F.regexp_extract_all(piece, pattern, F.lit(0))
-    put = F.transform(hits, lambda m: F.element_at(F.filter(names, lambda x: x.old == m), 1).new)
+    put = F.transform(hits, lambda m: F.array_join(F.transform(F.split(m, " "), lambda w, i: renamed(w, (i == 0) & m.contains(" "))), " "))
     woven = F.array_join(F.transform(F.split(piece, pattern, -1), lambda q, i: F.concat(q, F.coalesce(F.get(put, i), F.lit("")))), "")
     return F.when(pattern.isNull(), F.struct(piece.alias("s"), F.lit(0).alias("n"))).otherwise(F.struct(woven.alias("s"), F.size(hits).alias("n")))
 
 
 def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with surrogates in text, and n_pii: how many mentions were replaced."""
-    found = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    spots = F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     has = F.col("text").rlike(ANY)
-    spots = F.transform(found, lambda x: F.struct(x.m.alias("m"), x.kind.alias("kind"), canonical(x.kind, x.m).alias("canon")))
     rows = with_row_id(docs.where(has).select(as_row(docs), spots.alias("_spots")), "pii")
-    own = rows.select("_rid", F.explode(F.array_distinct(F.transform("_spots", lambda x: F.struct(x.kind.alias("kind"), x.canon.alias("canon"))))).alias("e")).select("_rid", "e.kind", "e.canon").where("kind IS NOT NULL")
-    own = materialize(own, "mentions")
-    table = surrogate_table(materialize(own.select("kind", "canon").distinct(), "entities"), key)
-    told = own.join(table, ["kind", "canon"]).groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "canon"), "new"))).alias("_new"))
-    rows = rows.join(materialize(told, "told"), "_rid", "left")
-
-    def replaced(x: Column) -> Column:
-        new = F.try_element_at("_new", F.concat(x.kind, F.lit("|"), x.canon))
+    each = rows.select("_rid", F.posexplode("_spots").alias("pos", "x")).select("_rid", "pos", F.posexplode_outer(entities_of(F.col("x.kind"), F.col("x.m"))).alias("part", "e"))
+    own = materialize(each.select("_rid", "pos", "part", "e.kind", "e.canon"), "mentions")
+    real = own.where("kind IS NOT NULL")
+    table = surrogate_table(materialize(real.select("kind", "canon").distinct(), "entities"), key)
+    told = materialize(real.join(table, ["kind", "canon"]), "told")
+    given = F.col("kind") == "given"
+    names = told.where(F.col("kind").isin("given", "surname")).groupBy("_rid").agg(F.collect_set(F.struct(given.alias("given"), _shown(F.col("kind"), F.col("canon")).alias("old"), _shown(F.col("kind"), F.col("new")).alias("new"))).alias("_names"))
+    put = told.select("_rid", "pos", "part", "new").unionByName(own.where("kind IS NULL").select("_rid", "pos", "part", F.lit(None).cast("string").alias("new")))
+    put = put.groupBy("_rid", "pos").agg(F.sort_array(F.collect_list(F.struct("part", "new"))).alias("news"))
+    put = put.groupBy("_rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "news"))), lambda x: x.news.new).alias("_new"))
+    rows = rows.join(put, "_rid").join(names, "_rid", "left")
+    # a title with one word that the document has as a given name elsewhere: "Frau Maria" beside "Frau Maria Klein"
+    known = F.coalesce("_names", F.array().cast("array<struct<given:boolean,old:string,new:string>>"))
+    rows = rows.withColumn("_names", F.sort_array(known)).withColumn("_pattern", _any_of(_forms(F.col("_spots"))))
+
+    def replaced(x: Column, i: Column) -> Column:
+        word = _name_words(x.m)
+        first = F.try_element_at(F.filter("_names", lambda n: n.given & (x.kind == "person") & (F.size(word) == 1) & (n.old == F.lower(word[0]))), F.lit(1)).new
+        new = F.when(first.isNotNull(), F.array(first)).otherwise(F.element_at("_new", (i + 1).cast("int")))
         return F.coalesce(written(x.kind, x.m, new), x.m)
 
     rows = rows.withColumn("_put", F.transform("_spots", replaced))
-    pieces = F.split("_row.text", F.lit(ANY), -1)
-    rows = rows.withColumn("_names", _names(F.col("_new")))
-    rows = rows.withColumn("_pattern", _any_of(F.col("_names"))).withColumn("_pieces", F.transform(pieces, lambda p: _untitled(p, F.col("_names"), F.col("_pattern"))))
+    rows = rows.withColumn("_pieces", F.transform(F.split("_row.text", F.lit(ANY), -1), lambda p: _untitled(p, F.col("_names"), F.col("_pattern"))))
     woven = F.transform("_pieces", lambda p, i: F.concat(p.s, F.coalesce(F.get("_put", i), F.lit(""))))
     n = F.size(F.filter("_spots", lambda x: x.kind.isNotNull())) + F.aggregate("_pieces", F.lit(0), lambda a, p: a + p.n)
-    rows = rows.select(*[F.array_join(woven, "").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns], n.cast("long").alias("n_pii"))
-    rest = docs.where(~F.coalesce(has, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("n_pii"))
+    names = [c for c in docs.columns if c.lower() != "n_pii"]
+    rows = rows.select(*[F.array_join(woven, "").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in names], n.cast("long").alias("n_pii"))
+    rest = docs.where(~F.coalesce(has, F.lit(False))).select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("long").alias("n_pii"))
     return rows.unionByName(rest)
 
 

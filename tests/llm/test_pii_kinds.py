@@ -1,0 +1,134 @@
+"""Recall and precision of the entity types on labelled texts, coreference and distinctness by brute force, and ends."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from sigloom.llm import pii
+
+
+def _luhn(rng, n=16):
+    d = [rng.randint(1, 9)] + [rng.randint(0, 9) for _ in range(n - 2)]
+    total = sum(x if k % 2 else sum(divmod(2 * x, 10)) for k, x in enumerate(d[::-1]))
+    return "".join(map(str, d)) + str(-total % 10)
+
+
+def _mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _iban(rng):
+    body = "".join(rng.choices("0123456789", k=18))
+    return f"DE{98 - _mod97('DE00' + body):02d}{body}"
+
+
+def _word(rng):
+    return "".join(rng.choices("bcdfghklmnprstvz", k=1) + rng.choices("aeiou", k=1) + rng.choices("bcdfghklmnprstvz", k=1) + rng.choices("aeiou", k=1) + rng.choices("xqj", k=1))
+
+
+def _hex(rng, n):
+    return rng.choice("0123456789") + "".join(rng.choices("0123456789abcdef", k=n - 1))
+
+
+MAKERS = {
+    "email": lambda r: f"{_word(r)}.{r.randint(1, 99)}@{_word(r)}.example.com", "ip": lambda r: ".".join(str(r.randint(1, 254)) for _ in range(4)), "ipv6": lambda r: ":".join(f"{r.randint(4096, 65535):x}" for _ in range(8)),
+    "iban": _iban, "secret": lambda r: _hex(r, 40), "card": lambda r: _luhn(r), "ssn": lambda r: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", "phone": lambda r: f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}",
+    "key": lambda r: "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)), "password": lambda r: f"password={_word(r)}{r.randint(100, 999)}!", "person": lambda r: f"{r.choice(['Mr', 'Mrs.', 'Dr', 'Prof. Dr.', 'Frau'])} {_word(r).title()} {_word(r).title()}",
+}
+CLEAN = [
+    "version 1.2.3.4.5 of 2024-01-02 at 12:30:45, order 123-456 and 4111111111111112", "a password: please choose one; the token is gone, the secret = unknown", "std::vector and abc::def, 3.14159, 1,000,000 rows and 99.5 %", "GB00 1234 5678 9012 3456 78 fails its check digits",
+    "000-12-3456 and 900-12-3456 are none", "The doctor saw the professor, and Smith saw both", "deadbeefdeadbeefdeadbeefdeadbeef has no digit", "commit 1a2b3c4 by nobody at all",
+]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(3)
+    rows, planted = [], []
+    for k in range(220):
+        kind = list(MAKERS)[k % len(MAKERS)]
+        value = MAKERS[kind](rng)
+        rows.append((k, f"some words here {value}, and then more words"))
+        planted.append((k, kind, value))
+    rows += [(1000 + k, t) for k, t in enumerate(CLEAN)]
+    out = {r.doc_id: (r.text, r.n_pii) for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return planted, dict(rows), out
+
+
+def test_recall_and_precision(labelled):
+    planted, texts, out = labelled
+    for k, kind, value in planted:
+        secret = re.sub(r"^(password=|(Mrs?\.?|Prof\. Dr\.|Dr|Frau) |AKIA)", "", value)
+        text, n = out[k]
+        assert n == 1 and not any(part in text for part in secret.split(" ") if len(part) > 3), (kind, value, text)
+        assert text.startswith("some words here ") and text.endswith(", and then more words")
+    for k, t in enumerate(CLEAN):
+        assert out[1000 + k] == (t, 0)
+
+
+def test_surrogates_keep_their_form(labelled):
+    planted, _, out = labelled
+    for k, kind, _ in planted:
+        got = out[k][0][len("some words here ") : -len(", and then more words")]
+        if kind == "iban":
+            assert _mod97(got) == 1 and got.startswith("DE")
+        elif kind == "card":
+            assert re.fullmatch(r"\d{16}", got) and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(map(int, got[::-1]))) % 10 == 0
+        elif kind == "ssn":
+            assert re.fullmatch(r"[1-5]\d\d-[1-9]\d-[1-9]\d{3}", got)
+        elif kind == "ipv6":
+            assert re.fullmatch(r"2001:0db8(:[0-9a-f]{4}){6}", got)
+        elif kind == "key":
+            assert re.fullmatch(r"AKIA[A-Z0-9]{16}", got)
+        elif kind == "person":
+            assert re.fullmatch(r"(Mrs?\.?|Prof\. Dr\.|Dr|Frau) [A-Z][a-z]+ [A-Z][a-z]{4}", got)
+
+
+def test_distinct_and_coreferent(labelled):
+    """The same entity has one surrogate, no two share one, and none is an entity of the corpus: by brute force."""
+    planted, texts, out = labelled
+    seen, old = {}, set()
+    for k, kind, value in planted:
+        mark = out[k][0][len("some words here ") : -len(", and then more words")]
+        assert seen.setdefault(mark, value) == value
+        old.add(value)
+    assert not old & set(seen)
+
+
+def test_case_and_family(spark):
+    texts = ["Mr John Smith, Mr JOHN SMITH and Mrs Anna Smith; Mr Smith too. SMITH said so", "Dr. John O'Brien's talk; Mr O'Brien left", "Frau Maria Klein kam; Frau Maria ging", "Mr. J. Smith"]
+    out = [r.text for r in sorted(pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+    a, b, c, d, last, loud = re.match(r"Mr (\w+) (\w+), Mr (\w+ \w+) and Mrs (\w+) (\w+); Mr (\w+) too", out[0]).groups()
+    assert (f"{a} {b}".upper(), last, loud) == (c, b, b) and d != a and out[0].endswith(f"{b.upper()} said so") and "Smith" not in out[0] and b != "Smith"
+    x, y = re.match(r"Dr\. (\w+) ([A-Z]'[A-Z][a-z]{4})'s talk; Mr", out[1]).groups()
+    assert out[1] == f"Dr. {x} {y}'s talk; Mr {y} left" and y != "O'Brien"
+    m, k = re.match(r"Frau (\w+) (\w+) kam", out[2]).groups()
+    assert out[2] == f"Frau {m} {k} kam; Frau {m} ging"
+    assert out[3] == f"Mr. J. {b}"
+
+
+def test_full_forms_end(spark):
+    """Spaces that are full: all two-letter names, and all phone numbers of five digits with one beginning."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    ents = [("surname", a + b) for a in letters for b in letters] + [("phone", f"1{k:04d}") for k in range(10000)]
+    got = pii.surrogate_table(spark.createDataFrame(ents, "kind string, canon string")).collect()
+    assert len(got) == len(ents) == len({r.new for r in got}) and not {r.new for r in got} & {c for _, c in ents}
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "at 8.8.4.4", "mine", 5, "x"), (1, "at 8.8.4.4", "mine", 5, "x"), (None, None, None, None, None), (2, "", "mine", 5, "x")]
+    out = pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string, _rid string, n_pii long, _spots string"))
+    assert out.columns == ["doc_id", "text", "_rid", "_spots", "n_pii"]
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == 4 and (None, None, None, None, 0) in got and (2, "", "mine", "x", 0) in got
+    same = [r for r in got if r[0] == 1]
+    assert same[0] == same[1] and same[0][4] == 1 and "8.8.4.4" not in same[0][1]
+
+
+def test_long_text(spark):
+    text = " ".join(f"row {k} from 10.{k % 250}.{k // 250}.7" for k in range(20000))
+    out = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out.n_pii == 20000 and len(set(re.findall(r"10\.\d+\.\d+\.\d+", out.text))) == 20000
