@@ -1,23 +1,31 @@
 """Exact dedup over a persistent digest index (operator 8).
 
-The index is a table with one row per text seen so far: (digest, keep_id, keep_len), bucketed and sorted by digest.
+The index is a table with one row per text seen so far: (digest, keep_id, keep_len, batch), bucketed and sorted by digest.
 A batch is first reduced to one winner per digest (pre-aggregated before the shuffle, so a text with a third of all rows
 costs one row per task), then anti-joined to the index by sort-merge, bucket by bucket, and what is new is appended.
 
-Defined results: a null text counts as empty; texts are equal when they are so without ASCII white space; of equal texts
-in a batch the row with the most code points stays, then the smallest id (null first), then the first row as read; a
-text already in the index drops all rows of the batch that hold it. An empty table gives an empty result.
+A batch has a name. What it appended itself is not known to it, and is not appended again, so a batch that is run again
+after a lost job gives the same rows; what to keep is written to the shared folder before the index changes. Unless one
+is given, the name is a checksum of the batch's rows: the same rows given again are the same batch.
+
+Defined results: a null text counts as empty; texts are equal when they are so without ASCII white space, however long;
+of equal texts in a batch the row with the most code points stays, then the smallest id (null first), then the first row
+as read; a text that the index has from another batch drops all rows of the batch that hold it. Columns of any name pass
+through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm._common import SPACE_RUN, identified, keep_rows, materialize, read_table, text_or_empty, with_row_id
 
 
-def digest(text: str = "text"):
+def digest(text: str | Column = "text") -> Column:
     return F.unhex(F.sha2(F.regexp_replace(text_or_empty(text), SPACE_RUN, ""), 256))
 
 
@@ -59,74 +67,90 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         self.fs.delete(self._path(self.home), True)
 
-    def append(self, winners: DataFrame) -> DataFrame:
-        """Add the winners (digest, win_rid, win_id, win_len, group_size) that are new; give all, with the old keeper if any."""
-        known = self.exists()
-        fresh = winners
-        if known:
-            old = self.spark.table(self.table)
-            fresh = winners.repartition(self.buckets, "digest").hint("merge").join(old.select("digest").hint("merge"), "digest", "left_anti")
-            winners = materialize(
-                winners.join(old.select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old")).hint("merge"), "digest", "left"), "resolved"
-            )
-        else:
-            winners = winners.withColumns({"old_id": F.col("win_id"), "old": F.lit(None).cast("boolean")})
-        rows = fresh.select("digest", F.col("win_id").alias("keep_id"), F.col("win_len").alias("keep_len"))
-        (rows.repartition(self.buckets, "digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.location).saveAsTable(self.table))
-        return winners
-
-
-def find_keepers(keys: DataFrame, index: DigestIndex, *more: str) -> DataFrame:
-    """keys (_rid, _id, digest, len, more) with keep_id, group_size and kept; appends to the index."""
+    def create(self, id_type: str) -> None:
+        """An empty index, if there is none."""
+        if not self.exists():
+            self.spark.sql(f"CREATE TABLE {self.table} (digest binary, keep_id {id_type}, keep_len bigint, batch string) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.location}'")
+
+    def unseen(self, winners: DataFrame) -> DataFrame:
+        """The winners that the index has not: a sort-merge anti-join, bucket by bucket."""
+        return winners.repartition(self.buckets, "digest").hint("merge").join(self.spark.table(self.table).select("digest").hint("merge"), "digest", "left_anti")
+
+    def append(self, winners: DataFrame, batch: str) -> DataFrame:
+        """Add the winners (digest, win_rid, win_id, win_len, group_size) that are new; give all, with the keeper that
+        other batches have left, if any (old, old_id)."""
+        self.create(winners.schema["win_id"].dataType.simpleString())
+        others = self.spark.table(self.table).where(F.col("batch") != batch).select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old"))
+        told = materialize(winners.repartition(self.buckets, "digest").hint("merge").join(others.hint("merge"), "digest", "left"), "resolved")
+        rows = self.unseen(winners).select("digest", F.col("win_id").alias("keep_id"), F.col("win_len").alias("keep_len"), F.lit(batch).alias("batch"))
+        rows.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.location).saveAsTable(self.table)
+        return told
+
+
+def batch_name(keys: DataFrame) -> str:
+    """The name of a batch without one: a checksum of its rows, in whatever order."""
+    n, total = keys.agg(F.count("*"), F.sum(F.xxhash64("digest", "_id", "len").cast("decimal(38,0)"))).first()
+    return f"{n}-{total or 0}"
+
+
+def decide(keys: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """One row per digest of keys (_rid, _id, digest, len): keep_id, win_rid (null if nothing of it stays), group_size."""
     best = F.min(F.struct((-F.col("len")).alias("neg"), F.col("_id").alias("id"), F.col("_rid").alias("rid"))).alias("best")
     winners = keys.groupBy("digest").agg(best, F.count("*").alias("group_size"))
-    winners = materialize(
-        winners.select("digest", F.col("best.rid").alias("win_rid"), F.col("best.id").alias("win_id"), (-F.col("best.neg")).alias("win_len"), "group_size"), "winners"
-    )
-    told = index.append(winners)
-    # both sides are scans: a hot digest is split over tasks by the skew join
-    out = keys.join(told.drop("win_len"), "digest")
+    winners = winners.select("digest", F.col("best.rid").alias("win_rid"), F.col("best.id").alias("win_id"), (-F.col("best.neg")).alias("win_len"), "group_size")
+    told = index.append(materialize(winners, "winners"), batch)
     old = F.coalesce("old", F.lit(False))
-    return out.select(
-        "_rid", F.col("_id").alias("doc_id"), F.when(old, F.col("old_id")).otherwise(F.col("win_id")).alias("keep_id"), "group_size", (~old & (F.col("_rid") == F.col("win_rid"))).alias("kept"), "digest", *more
-    )
+    return told.select("digest", F.when(old, F.col("old_id")).otherwise(F.col("win_id")).alias("keep_id"), F.when(~old, F.col("win_rid")).alias("win_rid"), "group_size")
 
 
-def find_in_batches(keys: DataFrame, index: DigestIndex) -> DataFrame:
-    """find_keepers() for keys (_rid, _id, digest, len) in two batches, longer texts first, with group_size over both.
+def _with_keepers(keys: DataFrame, told: DataFrame, *more: str) -> DataFrame:
+    # both sides are scans or nearly: a hot digest is split over tasks by the skew join
+    out = keys.join(told, "digest")
+    return out.select("_rid", F.col("_id").alias("doc_id"), "keep_id", "group_size", F.coalesce(F.col("_rid") == F.col("win_rid"), F.lit(False)).alias("kept"), "digest", *more)
 
-    The longest of equal texts stays, so what the index has from the first batch is what stays in the second.
+
+def find_keepers(keys: DataFrame, index: DigestIndex, *more: str, batch: str | None = None) -> DataFrame:
+    """keys (_rid, _id, digest, len, more) with keep_id, group_size and kept; appends to the index."""
+    return _with_keepers(keys, decide(keys, index, batch or batch_name(keys)), *more)
+
+
+def find_in_batches(keys: DataFrame, index: DigestIndex, *more: str, batches: int = 2) -> DataFrame:
+    """find_keepers() for keys in batches, longer texts first, with group_size over all.
+
+    The longest of equal texts stays, so what the index has from the batches before is what stays in the next.
     """
-    middle = keys.agg(F.percentile_approx("len", 0.5)).first()[0] or 0
-    sizes = materialize(keys.groupBy("digest").agg(F.count("*").alias("copies")), "copies")
-    out = None
-    for batch in (keys.where(F.col("len") >= middle), keys.where(F.col("len") < middle)):
-        got = find_keepers(batch, index)
-        out = got if out is None else out.unionByName(got)
-    return out.join(sizes, "digest").withColumn("group_size", F.col("copies")).drop("copies")
+    cuts = keys.agg(F.percentile_approx("len", [k / batches for k in range(batches - 1, 0, -1)])).first()[0] or []
+    edges = sorted(set(cuts), reverse=True)
+    name, length = batch_name(keys), F.col("len")
+    parts = [(length >= lo) & (length < hi if hi is not None else F.lit(True)) for hi, lo in zip([None, *edges], [*edges, 0], strict=True)]
+    told = reduce(DataFrame.unionByName, [decide(keys.where(part), index, f"{name}/{k}") for k, part in enumerate(parts)])
+    one = told.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.min("win_rid").alias("win_rid"), F.sum("group_size").alias("group_size"))
+    return _with_keepers(keys, materialize(one, "keepers"), *more)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all columns kept."""
-    rows, ids = identified(docs, "exact")
-    keys = rows.select(*ids, F.col(id_col).alias("_id"), digest(text_col).alias("digest"), F.length(text_or_empty(text_col)).cast("long").alias("len"))
-    return keep_rows(rows, ids, find_keepers(with_row_id(keys, "digests"), index, *ids).where("kept"))
+def keys_of(docs: DataFrame, *ids: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One narrow row per row of docs: (_rid, _id, digest, len, ids)."""
+    length = F.length(text_or_empty(F.col(f"`{text_col}`"))).cast("long").alias("len")
+    return with_row_id(docs.select(*ids, F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("digest"), length), "digests")
 
 
-def query_index(spark: SparkSession, use: str, sf_dir: str) -> DigestIndex:
-    """An empty index for one run over sf_dir; the one of an earlier run over it is dropped."""
-    import zlib
+def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None, batches: int = 1) -> DataFrame:
+    """The rows of docs that stay, all columns kept. batches: how many docs are dealt into (find_in_batches)."""
+    rows, ids = identified(docs, "exact")
+    keys = keys_of(rows, *ids, id_col=id_col, text_col=text_col)
+    found = find_keepers(keys, index, *ids, batch=batch) if batches < 2 else find_in_batches(keys, index, *ids, batches=batches)
+    return keep_rows(rows, ids, found.where("kept"))
+
 
-    table = f"llm_digests_{use}_{zlib.crc32(sf_dir.encode()):08x}"
-    DigestIndex(spark, table).drop()
-    return DigestIndex(spark, table)
+def query_index(spark: SparkSession, use: str) -> DigestIndex:
+    """An empty index of its own for one run of a query, which drops it when its rows are decided."""
+    return DigestIndex(spark, f"llm_digests_{use}_{uuid.uuid4().hex}")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    keys = docs.select(F.col("doc_id").alias("_id"), digest().alias("digest"), F.length(text_or_empty()).cast("long").alias("len"))
-    keys = with_row_id(keys, "digests")
-    out = find_in_batches(keys, query_index(spark, "op8", sf_dir))
+    index = query_index(spark, "op8")
+    out = find_in_batches(keys_of(read_table(spark, sf_dir, "documents")), index)
+    index.drop()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -67,8 +67,8 @@ _HEX = r"(?=[a-zA-Z]{0,127}+\d)(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)"
 #: runs and bounded repeats keep the scan linear.
 PATTERNS = {
     "email": rf"(?<![._%+\-])[{_W}_][{_W}._%+\-]{{0,63}}+@(?:[{_W}\-]{{1,63}}+\.)+\p{{L}}{{2,24}}(?![{_W}])",
-    "password": rf"{_LABEL}(?![<{{$])[^\s\"'<>,;]{{4,128}}+",
-    "key": rf"(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,80}}+|sk-[A-Za-z0-9_\-]{{20,100}}+|xox[abprs]-[A-Za-z0-9\-]{{10,80}}+|AIza[0-9A-Za-z_\-]{{35}})(?![{_W}])",
+    "password": rf"(?=[pPsSaAtT]){_LABEL}(?![<{{$])[^\s\"'<>,;]{{4,128}}+",
+    "key": rf"(?=[Agsx])(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,80}}+|sk-[A-Za-z0-9_\-]{{20,100}}+|xox[abprs]-[A-Za-z0-9\-]{{10,80}}+|AIza[0-9A-Za-z_\-]{{35}})(?![{_W}])",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![{_W}]|\.\d)",
     "ipv6": rf"(?<!:)(?=[0-9A-Fa-f:]{{0,38}}\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}})(?![{_W}:])",
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_W}])",
@@ -76,7 +76,7 @@ PATTERNS = {
     "card": rf"(?<![.+])\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?![{_W}])",
     "ssn": rf"(?<![.+\-])(?!000|666|9\d\d)\d{{3}}-(?!00)\d{{2}}-(?!0000)\d{{4}}(?![{_W}]|-\d)",
     "phone": rf"(?:\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ .\-]?\d{{3}}[ .\-]\d{{4}}|\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}})(?![{_W}])",
-    "person": rf"{_BEFORE}{_NAME}(?: {_NAME})?",
+    "person": rf"(?=\p{{Lu}}){_BEFORE}{_NAME}(?: {_NAME})?",
 }
 #: One look back for all, so most places of a text cost one step.
 ANY = rf"(?<![{_W}])(?:" + "|".join(PATTERNS.values()) + ")"
