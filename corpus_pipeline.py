@@ -20,7 +20,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup(docs, query_index(spark, "pipeline", sf_dir))
+    index = query_index(spark, "pipeline")
+    kept = exact_dedup(docs, index, batches=2)
+    index.drop()
+    return kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
