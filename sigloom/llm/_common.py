@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.ship import ship
@@ -118,6 +118,23 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def told_apart(rows: DataFrame, keys: list[str], rid: str) -> DataFrame:
+    """rows with `_nth`: 0, 1, ... among the rows with equal keys, the same numbers in each run; which row of them gets
+    which is open. rid: the row id of with_row_id().
+
+    Only keys that repeat are numbered. Their rows are numbered side by side in each part of the table (a part is what a
+    task wrote), and the parts' counts are summed up, so a key in a third of all rows never comes together in one task.
+    """
+    again = materialize(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys), "again")
+    alike = rows.join(again, keys, "left_semi").select(*keys, rid, F.shiftright(rid, 33).alias("_part"))
+    parts = alike.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    parts = materialize(parts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")), "parts")
+    there = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(rid)) - F.lit(1)
+    numbers = alike.withColumn("_at", there).join(parts, [*keys, "_part"]).select(rid, (F.col("_first") + F.col("_at")).alias("_nth"))
+    return rows.join(materialize(numbers, "numbers"), rid, "left").select(*rows.columns, F.coalesce("_nth", F.lit(0)).alias("_nth"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node that it reaches.
 

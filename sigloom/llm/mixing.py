@@ -5,13 +5,16 @@ are rounded together: two documents meet, word mass moves at random from one to
 not for certain, and the other goes on to meet the next. A move keeps the expected words of the pair and each
 document's own expectation. Chunks of about CHUNK documents do this side by side; each leaves one undecided document at
 most, and these residuals meet again in chunks of chunks, up a reduction tree, until one per source is left, which is
-rounded to the nearer side. So a source misses its target by half of one document at most, however large it is, and no
-group larger than a chunk comes together in one task.
+rounded to the nearer side. So a source misses its target by half of one document at most, however large it is. Rows that
+are alike are numbered, and a row's chunk is a hash of its key and number: about CHUNK rows come together in one task,
+also where a third of all rows are the same row.
 
 The random numbers are hashes of the row keys and the seed: reruns agree.
 
 Defined results: a null text has no words and is never taken; a null source is a source of its own, last in the order;
-repeated rows are mixed each on its own; without any words all targets are 0; an empty table gives an empty result.
+repeated rows are mixed each on its own, and may stand for one another; a very long text is one document, taken whole;
+ties in size are met in the order of the keys; columns of any name pass through; without any words all targets are 0; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import identified, materialize, read_table, uniform, with_row_id, word_count
+from sigloom.llm._common import identified, materialize, read_table, told_apart, uniform, with_row_id, word_count
 
 CHUNK = 64
 WEIGHTS = (5, 2, 1)
@@ -118,7 +121,7 @@ def pivotal_round(rows: DataFrame, seed: int, n_max: int) -> DataFrame:
 
 
 def mix(rows: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """rows (rid: unique, key: the same in each run, source, size) with source_size, target and copies."""
+    """rows (rid: of with_row_id(), key: the same in each run, source, size) with source_size, target and copies."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
     table = materialize(targets(sizes, weights, share, cap).drop("rank", "weight"), "targets")
     n_max = table.agg(F.max("n")).first()[0] or 0
@@ -127,7 +130,9 @@ def mix(rows: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, sh
     whole = F.floor(times + 1e-9)
     told = told.withColumn("whole", whole.cast("int")).withColumn("p", F.greatest(times - whole, F.lit(0.0)))
     told = materialize(told.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p"))), "told")
-    taken = materialize(pivotal_round(told.where("p > 0").select("rid", "key", "source", F.col("size").alias("w"), "p", "n"), seed, n_max), "taken")
+    apart = told_apart(told.where("p > 0").select("rid", "key", "source", "size", "p", "n"), ["key"], "rid")
+    apart = apart.withColumn("key", F.when(F.col("_nth") > 0, F.xxhash64("key", "_nth")).otherwise(F.col("key")))
+    taken = materialize(pivotal_round(apart.select("rid", "key", "source", F.col("size").alias("w"), "p", "n"), seed, n_max), "taken")
     return told.join(taken, "rid", "left").select(*rows.columns, "source_size", "target", (F.col("whole") + F.coalesce("taken", F.lit(0))).alias("copies"))
 
 

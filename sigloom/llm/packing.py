@@ -6,12 +6,14 @@ taken (a source has `per_source` places in a bin). A piece goes to the tightest
 its cluster nor, for its source, all places; where that bin conflicts, the search goes on to its successor, and a new
 bin is opened only when none is left. Largest pieces come first.
 
-Rows are dealt by hash to packs of about PACK rows, so each task's memory is bounded and no group meets in one task; a
-document's cluster (equal texts) matters only within a bin, so packs need nothing from one another.
+Rows are dealt by hash to packs of about PACK rows, so each task's memory is bounded and no group meets in one task: rows
+that are alike are numbered, and the number is part of the hash. A document's cluster (equal texts) matters only within a
+bin, so packs need nothing from one another.
 
 Defined results: a document without words takes no room and gets one row with no bin; a null source counts as a source;
-repeated rows are cluster mates and never share a bin; pieces of one document lie in bins of their own; an empty table
-gives an empty result.
+repeated rows are cluster mates and never share a bin; a text longer than a bin is cut into pieces, which lie in bins of
+their own; ties in size go by doc_id (null last) and cluster; only the digest columns are returned, so columns of any
+name may be there; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import SPACE_RUN, read_table, text_batches, text_or_empty, word_count
+from sigloom.llm._common import SPACE_RUN, read_table, text_batches, text_or_empty, told_apart, with_row_id, word_count
 
 PACK = 8192
 CAPACITY = 2048
@@ -121,10 +123,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     """One row per piece: doc_id, piece, first_word, n_words, bin_id, bin_offset."""
     text_batches(docs.sparkSession)
     cluster = F.xxhash64(F.regexp_replace(text_or_empty(), SPACE_RUN, ""))
-    packs = max(1, docs.count() // pack_size)
-    items = docs.select("doc_id", "source", cluster.alias("cluster"), word_count().alias("n"))
-    # dealt by id and text, not by source or cluster: a hot one is spread over all packs
-    items = items.withColumn("pack", F.pmod(F.xxhash64("doc_id", "cluster", "n"), F.lit(packs)))
+    items = with_row_id(docs.select("doc_id", "source", cluster.alias("cluster"), word_count().alias("n")), "items")
+    packs = max(1, items.count() // pack_size)
+    items = told_apart(items.withColumn("key", F.xxhash64("doc_id", "source", "cluster", "n")), ["key"], "_rid")
+    # dealt by row, not by source or cluster: a hot one is spread over all packs
+    items = items.withColumn("pack", F.pmod(F.xxhash64("key", "_nth"), F.lit(packs)))
     items = items.select("pack", "doc_id", "source", "cluster", "n").repartition("pack").sortWithinPartitions("pack")
     return items.mapInArrow(_task(capacity, per_source), _OUT)
 
