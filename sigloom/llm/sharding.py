@@ -114,18 +114,14 @@ def place_on_ring(rows: DataFrame, id_col: str, shards: int, vnodes: int, epsilo
     return out.select(*rows.columns, "shard", (F.col("_slot0") + F.col("_rank") - F.col("_from")).alias("slot"))
 
 
-def _others(columns: list[str], *ours: str) -> list[Column]:
-    return [F.col(f"`{c}`") for c in columns if c.lower() not in ours]
-
-
 def shard_bounded(rows: DataFrame, id_col: str, shards: int, vnodes: int = 128, epsilon: float = 0.0, order: tuple[str, ...] = ()) -> DataFrame:
     """rows with shard and slot (gapless from 0 in each shard). order: columns that tell rows with one id apart."""
     whole, ids = identified(rows, "shard")
     few = whole.select(*ids, F.col(f"`{id_col}`").alias("_key"), *[F.col(f"`{c}`").alias(f"_order{k}") for k, c in enumerate(order)])
     told = place_on_ring(few, "_key", shards, vnodes, epsilon, tuple(f"_order{k}" for k in range(len(order))), ids).select(*ids, F.struct("shard", "slot").alias("_told"))
     keep = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
-    out = whole.select(*ids, F.struct(*_others(keep)).alias("_row")).join(told, ids)
-    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], "_told.shard", "_told.slot")
+    out = whole.select(*ids, F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_whole")).join(told, ids)
+    return out.select(*[F.col(f"_whole.`{c}`").alias(c) for c in keep], "_told.shard", "_told.slot")
 
 
 def cell_of(id_col: str) -> Column:
