@@ -65,6 +65,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """df written as a table bucketed by key, in as many buckets as the session has shuffle partitions.
+
+    Grouping by key, and cogrouping with other tables, then deals out the others alone.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{tag}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by materialize() that nothing needs any more."""
     path = getattr(df, "_sigloom_path", None)

@@ -1,23 +1,30 @@
 """Removal of word windows that repeat across documents, by level-wise doubling (operator 5).
 
 A window is `length` consecutive words of one document; a word is removed where a window over it also starts in a
-document with a smaller id. Windows double in length from one level to the next, and only those that repeat in other
-documents go on:
-
-* level 1 has windows of half the length (rounded up). Of the half windows inside a full window only the one with the
-  smallest hash stands for it, so equal full windows name the same half window and about a quarter of all are sent;
-* level 2 has full windows, and of these only those whose half window was found in two documents or more. What
-  survives here is removed; longer windows consist of these, so the answer is complete and the doubling ends.
-
-A level is a round trip. Documents lie in chunks (compressed, in the shared folder). A chunk sends each distinct hash
-once, in blobs by hash range; one task a range compares all chunks and answers each blob with one bit a hash. So a
-passage found in a third of all rows costs one entry a chunk, and no task sees the rows of a document twice. Ranges
-are as many as keep them near `bucket_entries` entries; at 100 TB raise chunk_bytes (64 MB) and bucket_entries (32 M).
-
-Windows are compared by 64-bit hashes of their words' 64-bit hashes.
+document with a smaller id. Windows of `first` words are looked at first, and only those that repeat in other documents
+are extended to twice as many words, level by level (4, 8, then 13, as no more than `length` are asked for):
+
+* at a level of fewer words, of the short windows inside a window of `length` words only the one with the smallest hash
+  stands for it, so equal long windows name the same short one and a part of all short windows is sent. A long window
+  goes on to the next level if its short one was found in two documents or more;
+* the last level has the long windows that are left. What survives here is removed; longer windows consist of these, so
+  the answer is complete and the doubling ends. It also ends when no candidates survive a level.
+
+A level is a round trip. Documents lie in chunks (compressed), bucketed by chunk, so they are dealt out once and no level
+sends them again. A chunk sends each distinct hash once, in blobs by hash range; one task a range compares all chunks and
+answers each blob with one bit a hash. So a passage found in a third of all rows costs one entry a chunk, and no task sees
+the rows of a document twice. A range has about `bucket_entries` entries, and never fewer than there are chunks, so the
+entries of a few very common windows do not make it larger than others; at 100 TB raise chunk_bytes (64 MB, which makes
+1.6 million chunks) and bucket_entries (32 M).
+
+Short windows are compared by 64-bit hashes, where a false match only lets a candidate pass. Windows of the last level are
+compared by 128 bits, made of 128-bit hashes of their words: among the 10^13 windows of 100 TB a false match has a
+probability of about 10^-13.
 
 Defined results: a null text has no words; a document shorter than a window loses nothing; a null id counts as larger
-than all others; rows with the same id never remove each other's words; an empty table gives an empty result.
+than all others; rows with the same id never remove each other's words, so repeated rows and ties lose the same; a very
+long text is one chunk of its own, read whole; only the digest columns are returned, so columns of any name may be there;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,9 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import materialize, read_table, text_batches
+from sigloom.llm._common import bucketed, materialize, read_table, text_batches
 
 LENGTH = 13
+FIRST = 4
 CHUNK_BYTES = 2 << 20
 BUCKET_ENTRIES = 750_000
 _NO_ID = np.iinfo(np.int64).max
@@ -43,6 +51,15 @@ _REPLY = "chunk long, level int, bucket int, bits binary"
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def levels(length: int, first: int) -> list[int]:
+    """The sizes of windows, doubled until the length is reached."""
+    sizes = []
+    while first < length:
+        sizes.append(first)
+        first *= 2
+    return [*sizes, length]
+
+
 def _chunked(limit: int):
     def blob(rows: list[tuple], k: int) -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.large_binary())], names=["id", "text"])
@@ -85,41 +102,66 @@ def _window_hash(words: np.ndarray, length: int) -> np.ndarray:
 
 
 class Chunk:
-    """The documents of a chunk as one row of words, and its windows at both levels."""
+    """The documents of a chunk as one row of words, and its windows."""
 
-    def __init__(self, docs: bytes, length: int):
+    def __init__(self, docs: bytes, sizes: list[int]):
         batch = pa.ipc.open_stream(docs).read_next_batch()
         ids = batch.column(0)
-        self.ids = ids.to_pylist()
+        self.ids, self.sizes = ids.to_pylist(), sizes
         self.order = np.array([_NO_ID if i is None else i for i in self.ids], np.int64)
-        self.length = length
-        vocab: dict[bytes, int] = {}
         self.docs = [t.as_buffer().to_pybytes().split() for t in batch.column(1)]  # bytes: ASCII white space alone
+        vocab: dict[bytes, int] = {}
         codes = np.fromiter((vocab.setdefault(w, len(vocab)) for d in self.docs for w in d), np.int64)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab), np.uint64, len(vocab))
+        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocab)), np.uint64).reshape(-1, 2)
+        self.words = halves[codes, 0], halves[codes, 1]
         self.counts = np.array([len(d) for d in self.docs], np.int64)
         self.doc = np.repeat(np.arange(len(self.docs)), self.counts)
-        words = hashes[codes] if len(codes) else np.zeros(0, np.uint64)
-        half, n = -(-length // 2), max(len(words) - length + 1, 0)
-        self.at = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :]) if n else np.zeros(0, np.int64)
-        if len(self.at):
-            small = _window_hash(words, half)
-            low = small[:n].copy()
-            for j in range(1, length - half + 1):
-                np.minimum(low, small[j : j + n], out=low)
-            self.half, self.full = low[self.at], _window_hash(words, length)[self.at]
-        else:
-            self.half = self.full = np.zeros(0, np.uint64)
-
-    def level(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct hashes, each window's place in them, smallest id with each, whether a second id has it)."""
-        keys, place = np.unique(hashes, return_inverse=True)
-        ids = self.order[self.doc[at]]
-        low, high = np.full(len(keys), _NO_ID), np.full(len(keys), np.iinfo(np.int64).min)
+        n = max(len(codes) - sizes[-1] + 1, 0)
+        #: Where a window begins, of those that are still candidates.
+        self.at = np.flatnonzero(self.doc[:n] == self.doc[sizes[-1] - 1 :]) if n else np.zeros(0, np.int64)
+
+    def hashes(self, level: int) -> tuple[np.ndarray, ...]:
+        """What stands for each candidate at a level: one number, or two at the last."""
+        length, size = self.sizes[-1], self.sizes[level]
+        if not len(self.at):
+            return tuple(np.zeros(0, np.uint64) for _ in range(1 + (size == length)))
+        if size == length:
+            return tuple(_window_hash(w, length)[self.at] for w in self.words)
+        short, n = _window_hash(self.words[0], size), len(self.doc) - length + 1
+        low = short[:n].copy()
+        for j in range(1, length - size + 1):
+            np.minimum(low, short[j : j + n], out=low)
+        return (low[self.at],)
+
+    def level(self, level: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct hashes, each candidate's place in them, smallest id with each, whether a second id has it)."""
+        keys, place = _distinct(self.hashes(level))
+        ids = self.order[self.doc[self.at]]
+        low, high = np.full(len(keys[0]), _NO_ID), np.full(len(keys[0]), np.iinfo(np.int64).min)
         np.minimum.at(low, place, ids)
         np.maximum.at(high, place, ids)
         return keys, place, low, high > low
 
+    def narrow(self, replies: pa.Table, up_to: int, buckets: int) -> None:
+        """Keep the candidates that the levels before up_to have left."""
+        for level in range(up_to):
+            if not len(self.at):
+                return
+            keys, place = _distinct(self.hashes(level))
+            self.at = self.at[_bits(replies, level, keys[0], buckets)[place]]
+
+
+def _distinct(columns: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The distinct rows, sorted, and each row's place in them."""
+    order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
+    rows = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in rows])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return tuple(c[new] for c in rows), place
+
 
 def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each range of the sorted keys begins, and the end."""
@@ -141,41 +183,50 @@ _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.bi
 _SENT_DDL = "bucket int, chunk long, keys binary, with binary"
 
 
-def _sent(chunk: int, keys: np.ndarray, buckets: int, more) -> pa.RecordBatch:
-    """One row a range that has keys; more(lo, hi): what goes with the keys."""
-    cut = _ranges(keys, buckets)
+def _sent(c: Chunk, chunk: int, level: int, buckets: int) -> pa.RecordBatch:
+    """One row a range that has hashes; with them their smallest ids at the last level, else whether two ids have them."""
+    keys, _, low, twice = c.level(level)
+    last = level + 1 == len(c.sizes)
+    cut = _ranges(keys[0], buckets)
     full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([more(cut[b], cut[b + 1]) for b in full], pa.binary())], schema=_SENT
-    )
+    part = [slice(cut[b], cut[b + 1]) for b in full]
+    more = [low[p].tobytes() if last else np.packbits(twice[p]).tobytes() for p in part]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([b"".join(k[p].tobytes() for k in keys) for p in part], pa.binary()), pa.array(more, pa.binary())], schema=_SENT)
 
 
-def _send_half(length: int, buckets: int):
+def _send_first(sizes: list[int], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, docs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                c = Chunk(docs.as_py(), length)
-                keys, _, _, twice = c.level(c.half, c.at)
-                yield _sent(chunk, keys, buckets, lambda lo, hi, t=twice: np.packbits(t[lo:hi]).tobytes())
+                yield _sent(Chunk(docs.as_py(), sizes), chunk, 0, buckets)
+
+    return run
+
+
+def _send(sizes: list[int], level: int, buckets: int):
+    def run(key, docs, replies):
+        c = Chunk(docs["docs"][0].as_py(), sizes)
+        c.narrow(replies, level, buckets)
+        return pa.Table.from_batches([_sent(c, docs["chunk"][0].as_py(), level, buckets)])
 
     return run
 
 
-def _answer(level: int):
-    """Level 1: is the hash in two documents or more? Level 2: does a smaller id than the chunk's own have it?"""
+def _answer(level: int, last: bool):
+    """Is the hash in two documents or more? At the last level: does a smaller id than the chunk's own have it?"""
 
     def run(key, sent):
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in sent["keys"]]
-        sizes = [len(k) for k in keys]
-        place = np.unique(np.concatenate(keys), return_inverse=True)[1]
-        if level == 1:
-            twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(sent["with"], sizes, strict=True)])
-            yes = (np.bincount(place, weights=1 + twice) > 1)[place]
-        else:
+        both = [np.frombuffer(x.as_py(), np.uint64).reshape(1 + last, -1) for x in sent["keys"]]
+        sizes = [k.shape[1] for k in both]
+        keys, place = _distinct(tuple(np.concatenate([k[i] for k in both]) for i in range(1 + last)))
+        if last:
             ids = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in sent["with"]])
-            low = np.full(place.max() + 1, _NO_ID)
+            low = np.full(len(keys[0]), _NO_ID)
             np.minimum.at(low, place, ids)
             yes = low[place] < ids
+        else:
+            twice = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(sent["with"], sizes, strict=True)])
+            yes = (np.bincount(place, weights=1 + twice) > 1)[place]
         parts = np.split(yes, np.cumsum(sizes)[:-1])
         n = len(sizes)
         return pa.table({"chunk": sent["chunk"], "level": pa.array([level] * n, pa.int32()), "bucket": sent["bucket"], "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())})
@@ -183,31 +234,17 @@ def _answer(level: int):
     return run
 
 
-def _survivors(c: Chunk, replies: pa.Table, buckets: int) -> np.ndarray:
-    keys, place = np.unique(c.half, return_inverse=True)
-    return _bits(replies, 1, keys, buckets)[place] if len(keys) else np.zeros(0, bool)
+def _remove(sizes: list[int], buckets: int):
+    last, length = len(sizes) - 1, sizes[-1]
 
-
-def _send_full(length: int, buckets: int):
     def run(key, docs, replies):
-        c = Chunk(docs["docs"][0].as_py(), length)
-        go = _survivors(c, replies, buckets)
-        keys, _, low, _ = c.level(c.full[go], c.at[go])
-        return pa.Table.from_batches([_sent(docs["chunk"][0].as_py(), keys, buckets, lambda lo, hi: low[lo:hi].tobytes())])
-
-    return run
-
-
-def _remove(length: int, buckets: int):
-    def run(key, docs, replies):
-        c = Chunk(docs["docs"][0].as_py(), length)
-        go = _survivors(c, replies, buckets)
-        at = c.at[go]
-        keys, place, low, _ = c.level(c.full[go], at)
-        smaller = _bits(replies, 2, keys, buckets)[place] | (low[place] < c.order[c.doc[at]]) if len(keys) else np.zeros(0, bool)
+        c = Chunk(docs["docs"][0].as_py(), sizes)
+        c.narrow(replies, last, buckets)
+        keys, place, low, _ = c.level(last)
+        smaller = _bits(replies, last, keys[0], buckets)[place] | (low[place] < c.order[c.doc[c.at]]) if len(place) else np.zeros(0, bool)
         edge = np.zeros(len(c.doc) + 1, np.int64)
-        np.add.at(edge, at[smaller], 1)
-        np.add.at(edge, at[smaller] + length, -1)
+        np.add.at(edge, c.at[smaller], 1)
+        np.add.at(edge, c.at[smaller] + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         ends = np.cumsum(c.counts)
         removed, shas = [], []
@@ -222,17 +259,25 @@ def _remove(length: int, buckets: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, bucket_entries: int = BUCKET_ENTRIES, first: int = FIRST) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
     text_batches(docs.sparkSession)
-    chunks = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_chunked(chunk_bytes), "chunk long, docs binary"), "chunks")
-    total = chunks.agg(F.coalesce(F.sum(F.length("docs")), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(total / 12 / bucket_entries))  # about an entry for twelve compressed bytes
-    sent = chunks.mapInArrow(_send_half(length, buckets), _SENT_DDL)
-    first = materialize(sent.groupBy("bucket").applyInArrow(_answer(1), _REPLY), "half")
-    sent = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(_send_full(length, buckets), _SENT_DDL)
-    second = materialize(sent.groupBy("bucket").applyInArrow(_answer(2), _REPLY), "full")
-    return chunks.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(_remove(length, buckets), _OUT)
+    sizes = levels(length, first)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    chunks = bucketed(texts.mapInArrow(_chunked(chunk_bytes), "chunk long, docs binary"), "chunk", "chunks")
+    total, n = chunks.agg(F.coalesce(F.sum(F.length("docs")), F.lit(0)), F.count("*")).first()
+    buckets = max(1, math.ceil(total / 12 / max(bucket_entries, n)))  # about an entry for twelve compressed bytes
+    replies = None
+    for level in range(len(sizes)):
+        if replies is None:
+            sent = chunks.mapInArrow(_send_first(sizes, buckets), _SENT_DDL)
+        else:
+            sent = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_send(sizes, level, buckets), _SENT_DDL)
+        got = materialize(sent.groupBy("bucket").applyInArrow(_answer(level, level + 1 == len(sizes)), _REPLY), "replies")
+        replies = got if replies is None else replies.unionByName(got)
+        if got.isEmpty():
+            break
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_remove(sizes, buckets), _OUT)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

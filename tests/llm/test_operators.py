@@ -223,10 +223,10 @@ def test_mixing_is_fair(spark):
 # ---------------------------------------------------------------- 5
 
 
-@pytest.mark.parametrize("chunk_bytes, entries", [(1 << 20, 1_000_000), (700, 40)])
-def test_substring(spark, rows, folder, chunk_bytes, entries):
+@pytest.mark.parametrize("chunk_bytes, entries, start", [(1 << 20, 1_000_000, 4), (700, 40, 4), (700, 40, 1), (5000, 300, 13)])
+def test_substring(spark, rows, folder, chunk_bytes, entries, start):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    out = by_id(substring.repeated_windows(docs, 13, chunk_bytes, entries))
+    out = by_id(substring.repeated_windows(docs, 13, chunk_bytes, entries, start))
     first = {}
     texts = [(r[0], WORD.findall(r[1] or "")) for r in rows]
     for i, w in texts:
@@ -238,6 +238,21 @@ def test_substring(spark, rows, folder, chunk_bytes, entries):
         assert (out[i].n_words, out[i].n_removed, out[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_windows_double_until_none_survive(spark, tmp_path):
+    assert substring.levels(13, 4) == [4, 8, 13] and substring.levels(13, 1) == [1, 2, 4, 8, 13] and substring.levels(8, 4) == [4, 8] and substring.levels(3, 4) == [3]
+    alone = [(k, " ".join(f"w{k}_{j}" for j in range(40)), "aa", "s0", 0) for k in range(6)]
+    docs = spark.read.parquet(f"{fixtures.write(spark, tmp_path, alone)}/documents.parquet")
+    assert {(r.n_words, r.n_removed) for r in substring.repeated_windows(docs).collect()} == {(40, 0)}
+
+
+def test_documents_are_dealt_out_once(spark, rows, folder):
+    """No exchange over the chunks in the last cogroup: the bucketed table is read as it lies."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = substring.repeated_windows(docs)._jdf.queryExecution().executedPlan().toString()
+    cogroup = plan[plan.index("FlatMapCoGroups") :]
+    assert "Bucketed: true" in cogroup and cogroup.count("Exchange hashpartitioning(chunk") == 1
+
+
 # ---------------------------------------------------------------- 6
 
 
