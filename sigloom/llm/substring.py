@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -110,13 +111,12 @@ class Chunk:
         self.ids, self.sizes = ids.to_pylist(), sizes
         self.order = np.array([_NO_ID if i is None else i for i in self.ids], np.int64)
         self.docs = [t.as_buffer().to_pybytes().split() for t in batch.column(1)]  # bytes: ASCII white space alone
-        vocab: dict[bytes, int] = {}
-        codes = np.fromiter((vocab.setdefault(w, len(vocab)) for d in self.docs for w in d), np.int64)
-        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, vocab)), np.uint64).reshape(-1, 2)
-        self.words = halves[codes, 0], halves[codes, 1]
+        # hashing each word anew is faster than looking it up
+        halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(self.docs))), np.uint64).reshape(-1, 2)
+        self.words = halves[:, 0].copy(), halves[:, 1].copy()
         self.counts = np.array([len(d) for d in self.docs], np.int64)
         self.doc = np.repeat(np.arange(len(self.docs)), self.counts)
-        n = max(len(codes) - sizes[-1] + 1, 0)
+        n = max(len(halves) - sizes[-1] + 1, 0)
         #: Where a window begins, of those that are still candidates.
         self.at = np.flatnonzero(self.doc[:n] == self.doc[sizes[-1] - 1 :]) if n else np.zeros(0, np.int64)
 
