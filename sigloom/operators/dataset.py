@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from string import Formatter
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,23 @@ from sigloom.plans.protocol import Source
 from sigloom.schema import ORD, with_order
 
 SEPARATOR = "__"
+#: How columns are named.
+TEMPLATES = {
+    "raw_ecg_template": "{prefix}__{phase}__{recording}__{segment}__{feature}",
+    "ecg_derived_template": "{prefix}__{operation_id}__{formula_key}__{feature}",
+    "context_computed_template": "{prefix}__{feature}",
+    "context_derived_template": "{prefix}__{operation_id}__{formula_key}__{feature}",
+    "target_template": "{prefix}__{id}",
+    "covariate_template": "{prefix}__{id}",
+}
+
+
+def templated(template: str, parts: Mapping[str, Column]) -> Column:
+    """A naming template over columns, as str.format has it over texts."""
+    out = []
+    for text, name, _, _ in Formatter().parse(template):
+        out += ([F.lit(text)] if text else []) + ([F.coalesce(parts[name].cast("string"), F.lit("None"))] if name else [])
+    return F.concat(*out)
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -58,7 +76,7 @@ def source_mask(source: Source) -> Column:
     return reduce(lambda a, b: a & b, asked, F.lit(True))
 
 
-def wide_raw(raw: DataFrame, sources: list[Source], features: list[str], keys: list[str], prefix: str = "raw_ecg", valid_only: bool = True) -> tuple[DataFrame, list[dict]]:
+def wide_raw(raw: DataFrame, sources: list[Source], features: list[str], keys: list[str], prefix: str = "raw_ecg", valid_only: bool = True, template: str = TEMPLATES["raw_ecg_template"]) -> tuple[DataFrame, list[dict]]:
     """One column per source and feature, and the catalog of them: one aggregation, with conditions, for all."""
     raw = _ordered(raw)
     columns, catalog = [], []
@@ -69,13 +87,13 @@ def wide_raw(raw: DataFrame, sources: list[Source], features: list[str], keys: l
             ok = source_mask(s)
             if valid_only and (name := feature_flag(f, raw.columns)):
                 ok = ok & flag(F.col(name))
-            column = SEPARATOR.join((prefix, str(s.phase), str(s.recording), str(s.segment), f))
+            column = template.format(prefix=prefix, phase=s.phase, recording=s.recording, segment=s.segment, feature=f)
             columns.append(first_value(to_number(F.col(f"`{f}`")), ok).alias(column))
             catalog.append({"column": column, "role": "input", "source_table": "raw_ecg_features", "feature_family": family(f), "source_id": s.id, "feature": f})
     return raw.where(F.col("date").isNotNull()).groupBy(*keys, "date").agg(F.lit(1).alias("_n"), *columns).drop("_n"), catalog
 
 
-def wide_derived(derived: DataFrame, keys: list[str], prefix: str, operations: list[str] | None = None, valid_only: bool = True, table: str = "derived") -> tuple[DataFrame, list[dict]]:
+def wide_derived(derived: DataFrame, keys: list[str], prefix: str, operations: list[str] | None = None, valid_only: bool = True, table: str = "derived", template: str = TEMPLATES["ecg_derived_template"]) -> tuple[DataFrame, list[dict]]:
     """One column per operation, formula and feature that has a value on any date, and the catalog of them.
 
     The names come from one pass over the distinct operations; there are as many as the protocol has features.
@@ -87,29 +105,32 @@ def wide_derived(derived: DataFrame, keys: list[str], prefix: str, operations: l
     rows = rows.withColumn("formula_key", formula_key(F.col("formula"), F.col("base_formula")))
     names = ["operation_id", "operation_type", "formula", "base_formula", "formula_key", "feature"]
     found = sorted(rows.where(ok & F.col("value").isNotNull()).select(*names).distinct().collect(), key=lambda r: tuple(map(str, r)))
-    catalog = [{"column": SEPARATOR.join((prefix, r.operation_id, r.formula_key, r.feature)), "role": "input", "source_table": table, "feature_family": family(r.feature), **r.asDict()} for r in found]
-    rows = rows.withColumn("_column", F.concat_ws(SEPARATOR, F.lit(prefix), "operation_id", "formula_key", "feature"))
-    grouped = rows.where(ok).groupBy(*keys, "date").pivot("_column", [c["column"] for c in catalog]).agg(first_value(F.col("value")))
+    catalog = [{"column": template.format(prefix=prefix, operation_id=r.operation_id, formula_key=r.formula_key, feature=r.feature), "role": "input", "source_table": table, "feature_family": family(r.feature), **r.asDict()} for r in found]
+    rows = rows.withColumn("_column", templated(template, {"prefix": F.lit(prefix)} | {c: F.col(c) for c in ("operation_id", "formula_key", "feature")}))
+    grouped = rows.where(ok).groupBy(*keys, "date").pivot("_column", list(dict.fromkeys(c["column"] for c in catalog))).agg(first_value(F.col("value")))
     return grouped, catalog
 
 
-def wide_context(context: DataFrame, features: list[str], keys: list[str], prefix: str = "ctx") -> tuple[DataFrame, list[dict]]:
+def wide_context(context: DataFrame, features: list[str], keys: list[str], prefix: str = "ctx", template: str = TEMPLATES["context_computed_template"]) -> tuple[DataFrame, list[dict]]:
     rows = _ordered(context)
     known = [f for f in features if f in rows.columns]
-    out = rows.groupBy(*keys, "date").agg(F.lit(1).alias("_n"), *[first_value(F.col(f"`{f}`")).alias(f"{prefix}{SEPARATOR}{f}") for f in known]).drop("_n")
-    return out, [{"column": f"{prefix}{SEPARATOR}{f}", "role": "input", "source_table": "context_computed", "feature_family": "context", "feature": f} for f in known]
+    name = {f: template.format(prefix=prefix, feature=f) for f in known}
+    out = rows.groupBy(*keys, "date").agg(F.lit(1).alias("_n"), *[first_value(F.col(f"`{f}`")).alias(name[f]) for f in known]).drop("_n")
+    return out, [{"column": name[f], "role": "input", "source_table": "context_computed", "feature_family": "context", "feature": f} for f in known]
 
 
-def named_items(items: list[Mapping[str, Any]], tables: Mapping[str, DataFrame], keys: list[str], prefix: str) -> list[tuple[DataFrame, dict]]:
-    """For each target or covariate (keys, date, its column) and its entry in the catalog."""
-    out = []
+def named_items(items: list[Mapping[str, Any]], tables: Mapping[str, DataFrame], keys: list[str], prefix: str, template: str = TEMPLATES["target_template"]) -> list[tuple[DataFrame, list[dict]]]:
+    """(keys, date, a column for each target or covariate) and their entries in the catalog, for each source table: one
+    aggregation with conditions makes all columns of a table."""
+    made: dict[str, tuple[list[Column], list[dict]]] = {}
+    ordered: dict[str, DataFrame] = {}
     for item in items:
-        column, source = f"{prefix}{SEPARATOR}{item['id']}", item["source"]
+        column, source = template.format(prefix=prefix, id=item["id"]), item["source"]
         entry = {"column": column, "role": prefix, "source_table": source, "feature_family": prefix, "feature": item.get("feature") or item.get("column")} | {k: item.get(k) for k in ("operation_id", "formula", "base_formula")}
         df = tables.get(source)
         if df is None:
             continue
-        rows = _ordered(df)
+        rows = ordered.setdefault(source, _ordered(df))
         if "column" in item:
             if item["column"] not in rows.columns:
                 continue
@@ -120,8 +141,10 @@ def named_items(items: list[Mapping[str, Any]], tables: Mapping[str, DataFrame],
                 if item.get(k) is not None:
                     ok = ok & (F.col(k).cast("string") == str(item[k]))
             value = F.col("value")
-        out.append((rows.groupBy(*keys, "date").agg(first_value(value, ok).alias(column)), entry))
-    return out
+        columns, entries = made.setdefault(source, ([], []))
+        columns.append(first_value(value, ok).alias(column))
+        entries.append(entry)
+    return [(ordered[source].groupBy(*keys, "date").agg(*columns), entries) for source, (columns, entries) in made.items()]
 
 
 def qc_summary(raw: DataFrame, sources: list[Source], keys: list[str], context: DataFrame | None = None, required: list[str] | None = None, need_hrv: bool = True, need_morphology: bool = False) -> DataFrame:

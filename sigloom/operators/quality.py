@@ -114,10 +114,11 @@ def clipping_ratio(x: Column, low: float = 0, high: float = 675) -> Column:
     return F.avg((x <= low + 2).cast("double")) + F.avg((x >= high - 2).cast("double"))
 
 
-def suspicious_beats(beats: DataFrame, keys: list[str], order: list[str], rr: str = "rr", low: float = 0.35, high: float = 2.0, ratio_low: float = 0.70, ratio_high: float = 1.50) -> DataFrame:
+def suspicious_beats(beats: DataFrame, keys: list[str], order: list[str], rr: str = "rr", low: float = 0.35, high: float = 2.0, ratio_low: float = 0.70, ratio_high: float = 1.50, edge: Column | None = None) -> DataFrame:
     """beats with local_median, bad_rr, rr_outlier and suspicious.
 
-    An interval is judged against the median of the five around it; both beats of a bad interval are suspicious.
+    An interval is judged against the median of the five around it; both beats of a bad interval are suspicious, and so
+    are beats near an edge of their record, if a condition for that is given (near_edge()).
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     x = F.col(rr)
@@ -128,7 +129,13 @@ def suspicious_beats(beats: DataFrame, keys: list[str], order: list[str], rr: st
         "rr_outlier": F.coalesce((m > 1e-9) & ((x < ratio_low * m) | (x > ratio_high * m)), F.lit(False)),
     })
     own = F.col("bad_rr") | F.col("rr_outlier")
-    return seen.withColumn("suspicious", own | F.coalesce(F.lead(own).over(w), F.lit(False)))
+    bad = own | F.coalesce(F.lead(own).over(w), F.lit(False))
+    return seen.withColumn("suspicious", bad if edge is None else bad | F.coalesce(edge, F.lit(False)))
+
+
+def near_edge(at: Column, total: Column, guard_sec: float = 0.5) -> Column:
+    """Is a beat within guard_sec of the start or the end of its record?"""
+    return (at < guard_sec) | (at >= total - guard_sec)
 
 
 def hrv_validated(status: str = "hrv_review_status", gate: str = "hrv_qc_passed") -> Column:

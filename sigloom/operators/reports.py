@@ -17,6 +17,24 @@ OVERLAP_RULES = {"min_overlap_n": 10, "min_overlap_ratio": 0.5}
 READINESS_RULES = {"min_samples_regression": 15, "max_features_to_samples_ratio": 0.5}
 
 
+#: What each report is sorted by where it is written.
+ORDER = {
+    "coverage_by_day": ["date"], "ecg_quality": ["phase", "record_type", "segment_label"], "context_completeness": ["column"], "derived_operations": ["table", "operation_id", "formula"], "targets": ["target"],
+    "feature_availability": ["feature"], "feature_target_overlap": ["target", "feature"], "ml_readiness": ["target"],
+}
+
+
+def order_of(name: str, df: DataFrame) -> list[str]:
+    """The columns that a report is sorted by; the others follow, so that ties have one order too."""
+    first = [c for c in ORDER.get(name, []) if c in df.columns]
+    return first + [c for c in df.columns if c not in first]
+
+
+def top(df: DataFrame, name: str = "", n: int = 20) -> DataFrame:
+    """The first n rows of a report in its order."""
+    return df.orderBy(*[F.col(f"`{c}`") for c in order_of(name, df)]).limit(n)
+
+
 def unpivot(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """(keep, column, v): one row per row and column."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
@@ -148,19 +166,19 @@ def summary(df: DataFrame, target_report: DataFrame, feature_report: DataFrame)
     return rows.crossJoin(t).crossJoin(f)  # three single rows
 
 
-def markdown(title: str, facts: Mapping[str, Any], warnings: list[str], reports: Mapping[str, DataFrame], top: int = 20) -> str:
+def markdown(title: str, facts: Mapping[str, Any], warnings: list[str], reports: Mapping[str, DataFrame], limit: int = 20) -> str:
     """A report as text: facts, warnings, and the first rows of each table."""
     out = [f"# {title}", "", "## Summary", *[f"- **{k}**: {v}" for k, v in facts.items()]]
     if warnings:
         out += ["", "## Warnings", *[f"- {w}" for w in warnings]]
     for name, df in reports.items():
-        rows = df.limit(top + 1).collect()
+        rows = top(df, name, limit + 1).collect()
         out += ["", f"## {name.replace('_', ' ').title()}"]
         if not rows:
             out.append("No rows.")
             continue
         line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|") for x in xs) + " |"
-        out += [line(df.columns), line(["---"] * len(df.columns)), *map(line, rows[:top])]
-        if len(rows) > top:
-            out += ["", f"The first {top} rows."]
+        out += [line(df.columns), line(["---"] * len(df.columns)), *map(line, rows[:limit])]
+        if len(rows) > limit:
+            out += ["", f"The first {limit} rows."]
     return "\n".join(out) + "\n"

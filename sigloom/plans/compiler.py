@@ -18,18 +18,40 @@ from sigloom.operators import analysis, dataset, derived, reports
 from sigloom.operators.quality import flag_reason
 from sigloom.plans import feature_sets
 from sigloom.plans.protocol import Protocol, deep_merge
-from sigloom.schema import nan_to_null
+from sigloom.schema import ORD, nan_to_null, with_order
 from sigloom.sources.tables import normal_raw, select_source, write_csv
 
 #: The defaults of the dataset section.
 DATASET_DEFAULTS: dict[str, Any] = {
-    "include": {"raw_ecg": {"quality_policy": "valid_only"}, "ecg_derived": {"quality_policy": "valid_only"}, "context_computed": {}, "context_derived": {"quality_policy": "valid_only"}},
-    "column_naming": {"prefixes": {"raw_ecg": "raw_ecg", "ecg_derived": "ecg_der", "context_computed": "ctx", "context_derived": "ctx_der", "target": "target", "covariate": "covar"}},
+    "include": {
+        "qc_summary": {"enabled": True}, "raw_ecg": {"enabled": True, "quality_policy": "valid_only"}, "ecg_derived": {"enabled": True, "quality_policy": "valid_only"}, "context_computed": {"enabled": True},
+        "context_derived": {"enabled": True, "quality_policy": "valid_only"},
+    },
+    "column_naming": {"prefixes": {"raw_ecg": "raw_ecg", "ecg_derived": "ecg_der", "context_computed": "ctx", "context_derived": "ctx_der", "target": "target", "covariate": "covar"}, **dataset.TEMPLATES},
+    "join": {"sort_by_date": True},
+    "schemas": {},
+    "reports": {"save_csv": True, "save_markdown": True, "save_json": True, "sections": {}},
     "feature_set_resolution": {"mode": "strict"},
     "quality_rules": {"feature": reports.FEATURE_RULES, "target": reports.TARGET_RULES, "feature_target_overlap": reports.OVERLAP_RULES, "ml_readiness": reports.READINESS_RULES},
     "core_day_definition": {"require_hrv_valid": True, "require_morphology_valid": False},
     "row_filter": {"enabled": False, "mode": "none"},
-}
+}
+#: The names that tables have here for those of a schema.
+STANDARD = {"recording": "record_type", "segment": "segment_label", "hrv_valid": "hrv_validated", "morphology_valid": "morphology_validated"}
+
+
+def standard(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
+    """df with the columns that a schema names (what they are -> how they are called) under the names used here."""
+    to = {actual: STANDARD.get(what, what) for what, actual in schema.items() if actual in df.columns}
+    to = {actual: name for actual, name in to.items() if actual != name}
+    keep = [c for c in df.columns if c in to or c not in to.values()]
+    return df.select(*[F.col(f"`{c}`").alias(to.get(c, c)) for c in keep])
+
+
+def _ingested(df: DataFrame) -> DataFrame:
+    """df without NaN, and with the order in which its rows came, before any exchange."""
+    df = nan_to_null(df)
+    return df if ORD in df.columns else with_order(df)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -47,7 +69,7 @@ def derive_ecg(raw: DataFrame, protocol: Protocol, keys: list[str] | None = None
     section = protocol.section("derived_features")
     defaults, sets = section.get("defaults") or {}, section.get("feature_sets") or {}
     policy, usual = defaults.get("quality_policy", "valid_only"), defaults.get("feature_set", "full")
-    raw = normal_raw(nan_to_null(raw))
+    raw = normal_raw(_ingested(raw))
     why = flag_reason(raw.columns)
     done: dict[str, DataFrame] = {}
 
@@ -84,7 +106,7 @@ def derive_context(context: DataFrame, protocol: Protocol, keys: list[str] | Non
     section = protocol.section("context_features")
     defaults, sets = section.get("defaults") or {}, section.get("feature_sets") or {}
     current = bool(defaults.get("baseline_include_current_day", False))
-    context = nan_to_null(context)
+    context = _ingested(context)
     parts, windows = [], []
     asked = {op["id"]: tuple(feature_sets.resolve(context, sets, op["feature_set"])) if "feature_set" in op else () for op in section.get("operations") or []}
     used = {f for fs in asked.values() for f in fs}
@@ -114,6 +136,13 @@ class Dataset:
     catalog: DataFrame
     reports: dict[str, DataFrame] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    order: list[str] = field(default_factory=list)
+    settings: Mapping[str, Any] = field(default_factory=dict)
+
+    def enabled(self) -> dict[str, DataFrame]:
+        """The reports that the protocol does not switch off."""
+        sections = self.settings.get("sections") or {}
+        return {k: v for k, v in self.reports.items() if (sections.get(k) or {}).get("enabled", True)}
 
     def summary(self) -> dict[str, Any]:
         row = reports.summary(self.data, self.reports["targets"], self.reports["feature_availability"]).first()
@@ -129,46 +158,49 @@ def build_dataset(tables: Mapping[str, DataFrame | None], protocol: Protocol, ke
     cfg = deep_merge(DATASET_DEFAULTS, protocol.section("analysis_dataset"))
     include, prefix = cfg["include"], cfg["column_naming"]["prefixes"]
     strict = cfg["feature_set_resolution"].get("mode", "strict") == "strict"
-    given = {k: nan_to_null(t).withColumn("date", F.col("date").cast("date")) for k, t in tables.items() if t is not None}
+    given = {k: _ingested(standard(t, cfg["schemas"].get(k) or {})).withColumn("date", F.col("date").cast("date")) for k, t in tables.items() if t is not None}
+    on, template = (lambda name: bool(include[name].get("enabled", False))), cfg["column_naming"]
     raw, context = given.get("raw_ecg_features"), given.get("context_computed")
     spark = next(iter(given.values())).sparkSession
     parts: list[DataFrame] = []
     entries: list[dict] = [{"column": "date", "role": "meta"}]
     core = cfg["core_day_definition"]
-    if raw is not None:
+    if raw is not None and on("qc_summary"):
         sources = [protocol.sources[s] for s in core.get("required_ecg_sources") or []]
         qc = dataset.qc_summary(raw, sources, keys, context, list(core.get("required_context_columns") or []), core["require_hrv_valid"], core["require_morphology_valid"])
         parts.append(qc)
         entries += [{"column": c, "role": "qc"} for c in qc.columns if c not in (*keys, "date")]
+    if raw is not None and on("raw_ecg"):
         asked = include["raw_ecg"]
         features = feature_sets.union(list(asked.get("feature_sets") or []), protocol.section("derived_features").get("feature_sets") or {}, raw.columns, strict)
-        wide, catalog = dataset.wide_raw(raw, [protocol.sources[s] for s in asked.get("sources") or []], features, keys, prefix["raw_ecg"], asked.get("quality_policy") == "valid_only")
+        wide, catalog = dataset.wide_raw(raw, [protocol.sources[s] for s in asked.get("sources") or []], features, keys, prefix["raw_ecg"], asked.get("quality_policy") == "valid_only", template["raw_ecg_template"])
         parts.append(wide)
         entries += catalog
     for name in ("ecg_derived", "context_derived"):
-        if name in given:
-            wide, catalog = dataset.wide_derived(given[name], keys, prefix[name], list(include[name].get("operations") or []), include[name].get("quality_policy", "valid_only") == "valid_only", name)
+        if name in given and on(name):
+            wide, catalog = dataset.wide_derived(given[name], keys, prefix[name], list(include[name].get("operations") or []), include[name].get("quality_policy", "valid_only") == "valid_only", name, template[f"{name}_template"])
             parts.append(wide)
             entries += catalog
-    if context is not None:
+    if context is not None and on("context_computed"):
         features = feature_sets.union(list(include["context_computed"].get("feature_sets") or []), protocol.section("context_features").get("feature_sets") or {}, context.columns, strict)
-        wide, catalog = dataset.wide_context(context, features, keys, prefix["context_computed"])
+        wide, catalog = dataset.wide_context(context, features, keys, prefix["context_computed"], template["context_computed_template"])
         parts.append(wide)
         entries += catalog
     items = {kind: list(cfg.get(f"{kind}s") or []) for kind in ("target", "covariate")}
     columns: dict[str, str] = {}
     for kind, given_items in items.items():
-        for part, entry in dataset.named_items(given_items, given, keys, prefix[kind]):
+        for part, found in dataset.named_items(given_items, given, keys, prefix[kind], template[f"{kind}_template"]):
             parts.append(part)
-            entries.append(entry | {"role": kind})
-        columns |= {t["id"]: f"{prefix['target']}__{t['id']}" for t in given_items if kind == "target"}
-    core_only = cfg["row_filter"].get("enabled") and cfg["row_filter"].get("mode") == "complete_core_day"
+            entries += [entry | {"role": kind} for entry in found]
+        columns |= {t["id"]: template["target_template"].format(prefix=prefix["target"], id=t["id"]) for t in given_items if kind == "target"}
+    core_only = cfg["row_filter"].get("enabled") and cfg["row_filter"].get("mode") == "complete_core_day" and raw is not None and on("qc_summary")
     data = dataset.assemble(dataset.spine(list(given.values()), keys), parts, keys, bool(core_only)).cache()
-    out = Dataset(data, dataset.catalog_table(spark, entries))
+    out = Dataset(data, dataset.catalog_table(spark, entries), order=["date", *keys] if cfg["join"].get("sort_by_date", True) else [], settings=cfg["reports"])
     rules = cfg["quality_rules"]
     made = out.reports
-    if raw is not None:
+    if raw is not None and on("qc_summary"):
         made["coverage_by_day"] = reports.coverage(data, keys)
+    if raw is not None:
         made["ecg_quality"] = reports.ecg_quality(raw)
     if context is not None:
         asked_columns = dict.fromkeys([e["feature"] for e in entries if e.get("source_table") == "context_computed" and e["role"] == "input"] + [t["column"] for kind in items.values() for t in kind if "column" in t])
@@ -214,21 +246,33 @@ def analyse(built: Dataset, protocol: Protocol, row_id: list[str]) -> dict[str,
     multi = cfg.get("multi_target_validation") or {}
     across = analysis.across_targets(ranked, len(targets), multi.get("require_pass_all_targets", True), multi.get("min_cross_target_direction_consistency", 1.0))
     links = analysis.redundancy(data, row_id, names, (cfg.get("redundancy") or {}).get("threshold_abs_corr", 0.85))
-    return {"ranking": ranked, "across_targets": across, "redundancy": links}
+    out = {"ranking": ranked, "across_targets": across, "redundancy": links}
+    if (cfg.get("redundancy") or {}).get("enabled", True):
+        best = ranked.groupBy("feature").agg(F.max("score").alias("score"))
+        stand = sorted(analysis.representatives(links, best).items())  # as many as the protocol has features
+        out["representatives"] = data.sparkSession.createDataFrame(stand, "feature string, representative string")
+    return out
 
 
 def write_dataset(built: Dataset, path: str) -> None:
-    """Dataset and catalog as Parquet, reports as CSV, and a summary as JSON and Markdown, under path."""
-    built.data.write.mode("overwrite").parquet(f"{path}/dataset")
+    """Dataset and catalog as Parquet, reports as CSV, and a summary as JSON and Markdown, under path; what is sorted, and
+    which reports are written and under which names, as the protocol says."""
+    data = built.data.orderBy(*[F.col(f"`{c}`") for c in built.order]) if built.order else built.data
+    data.write.mode("overwrite").parquet(f"{path}/dataset")
     built.catalog.write.mode("overwrite").parquet(f"{path}/catalog")
-    for name, df in built.reports.items():
-        write_csv(df, f"{path}/report_{name}")
+    wanted, sections = built.enabled(), built.settings.get("sections") or {}
+    if built.settings.get("save_csv", True):
+        for name, df in wanted.items():
+            file = (sections.get(name) or {}).get("output", f"report_{name}")
+            write_csv(df, f"{path}/{file.removesuffix('.csv')}", bom=True, order=reports.order_of(name, df))
     facts = built.summary()
-    spark = built.data.sparkSession
-    text = reports.markdown("Analysis dataset", {k: v for k, v in facts.items() if k != "warnings"}, built.warnings, built.reports)
-    rows = spark.createDataFrame([(json.dumps(facts, ensure_ascii=False, default=str), text)], "facts string, text string")
-    rows.select("facts").write.mode("overwrite").text(f"{path}/summary_json")
-    rows.select("text").write.mode("overwrite").text(f"{path}/summary_markdown")
+    shown = {k: v for k, v in facts.items() if k != "warnings"} if (sections.get("summary") or {}).get("enabled", True) else {}
+    text = reports.markdown("Analysis dataset", shown, built.warnings, wanted)
+    rows = built.data.sparkSession.createDataFrame([(json.dumps(facts, ensure_ascii=False, default=str), text)], "facts string, text string")
+    if built.settings.get("save_json", True):
+        rows.select("facts").write.mode("overwrite").text(f"{path}/summary_json")
+    if built.settings.get("save_markdown", True):
+        rows.select("text").write.mode("overwrite").text(f"{path}/summary_markdown")
 
 
 def check_formulas(protocol: Protocol) -> list[str]:

@@ -14,6 +14,7 @@ from typing import Any
 
 from sigloom.operators.quality import MORPHOLOGY_LIMITS, SIGNAL_LIMITS
 
+#: Groups, modes of segmentation and of recordings, and review modes with whether they need a human.
 FEATURE_GROUPS = ("hrv_time", "hrv_extended", "morphology")
 SEGMENTATION_MODES = ("full", "fixed_windows", "named_subsegments")
 RECORD_MODES = ("static", "windowed", "breath_hold")
@@ -95,6 +96,23 @@ def deep_merge(base: Mapping[str, Any], over: Mapping[str, Any]) -> dict[str, An
     return out
 
 
+def resolve_path(path: str, base: str) -> str:
+    """A path of the protocol: as it is if absolute or with a scheme, else below base."""
+    return path if path.startswith("/") or "://" in path else f"{base.rstrip('/')}/{path}"
+
+
+def runtime_protocol(raw: Mapping[str, Any], base: str, inputs: Mapping[str, str] | None = None) -> dict[str, Any]:
+    """A copy of the protocol with the paths of all tables absolute: those of inputs where given, else below base."""
+    given = dict(inputs or {})
+    tables = {k: dict(v) for k, v in ((raw.get("analysis_dataset") or {}).get("tables") or {}).items()}
+    for name, path in given.items():
+        tables.setdefault(name, {})["path"] = path
+    for spec in tables.values():
+        if "path" in spec:
+            spec["path"] = resolve_path(spec["path"], base)
+    return deep_merge(raw, {"analysis_dataset": {"tables": tables}}) if tables else dict(raw)
+
+
 def java_date_format(text: str) -> str:
     """A strftime format as a Spark one."""
     for a, b in (("%d", "dd"), ("%m", "MM"), ("%Y", "yyyy"), ("%y", "yy"), ("%H", "HH"), ("%M", "mm"), ("%S", "ss")):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import normal_record, normal_segment, with_numbers
-from sigloom.plans.protocol import java_date_format
+from sigloom.plans.protocol import java_date_format, resolve_path
 from sigloom.schema import ORD, nan_to_null
 
 
@@ -53,7 +53,7 @@ def read_tables(spark: SparkSession, tables: Mapping[str, Mapping[str, Any]], ro
     """The tables of a dataset: CSV or Parquet by the end of the name. A missing one raises if required, else is None."""
     out: dict[str, DataFrame | None] = {}
     for name, spec in tables.items():
-        path = spec["path"] if "://" in spec["path"] or spec["path"].startswith("/") else f"{root.rstrip('/')}/{spec['path']}"
+        path = resolve_path(spec["path"], root)
         try:
             df = spark.read.parquet(path) if path.endswith(".parquet") else read_csv(spark, path, sep=(spec.get("csv") or {}).get("sep", ","))
         except Exception as e:
@@ -92,8 +92,11 @@ def select_source(df: DataFrame, phase: str | None, recording: str | None, segme
 # ---------------------------------------------------------------- sinks
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", *, sep: str = ",", bom: bool = False, order: list[str] | None = None) -> None:
+    """CSV with a header, in the order given. bom: each file begins with a byte order mark (as part of its first name)."""
+    df = df.orderBy(*[F.col(f"`{c}`") for c in order]) if order else df
+    df = df.toDF(*[("\ufeff" if bom and k == 0 else "") + c for k, c in enumerate(df.columns)])
+    df.write.mode(mode).option("header", True).option("encoding", "UTF-8").option("sep", sep).csv(path)
 
 
 def write_days(df: DataFrame, path: str) -> None:
@@ -115,5 +118,16 @@ REVIEW_SCHEMA = (
 )
 
 
-def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REVIEW_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def read_reviews(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Review records: a file each, or lines of them as write_reviews() makes them."""
+    return spark.read.schema(REVIEW_SCHEMA).option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
+
+
+def decisions(reviews: DataFrame) -> DataFrame:
+    """A row per reviewed segment: its key, the status of each part, and whether the gate passed on what was reviewed."""
+    m, gate = F.col("meta"), "qc_gate.passed"
+    return reviews.select(
+        m["date"].alias("date"), m["phase"].alias("phase"), m["record_type"].alias("record_type"), F.coalesce(m["segment_label"], F.lit("full")).alias("segment_label"), m["window_idx"].alias("window_idx"),
+        F.col("signal_review.status").alias("signal_review_status"), F.col("hrv_review.status").alias("hrv_review_status"), F.col(f"hrv_review.{gate}").alias("hrv_qc_passed"),
+        F.col("morphology_review.status").alias("morphology_review_status"), F.col(f"morphology_review.{gate}").alias("morphology_qc_passed"),
+    )
