@@ -5,20 +5,21 @@ document is a mixture of languages: expectation-maximisation finds the proportio
 likely, and languages enter the set one by one as long as each raises the log-likelihood by more than
 `penalty` * ln(number of trigrams). The language with the largest share is predicted.
 
-Learning sees at most about `train_docs` documents of a language, whole texts, chosen by a hash of their id; what it
-sends to the driver is at most BUCKETS counts a language.
-
-Defined results: a text that is null or has no letter is `und` with score 0; without any labelled document all others
-are `und` as well; a null id counts as the empty text when rows are held out; repeated rows are predicted alike; an
-empty table gives an empty result.
+Learning sees at most about `train_docs` documents of a language, whole texts, chosen by a hash of their id, and the
+`max_langs` languages that have most documents (ties by name); what it sends to the driver and to the executors is at
+most BUCKETS numbers a language, so the bound is 4 bytes * BUCKETS * max_langs (128 MB) however dirty the column is.
+
+Defined results: a text that is null or has no letter (numerals such as 2, ½ and Ⅷ are none) is `und` with score 0;
+without any labelled document all others are `und` as well; a null id counts as the empty text when rows are held out;
+repeated rows are predicted alike; ties between languages go by their names; a very long text is read whole; a column
+named as the prediction is replaced, all others pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,9 @@ from sigloom.llm._common import read_table, text_batches, uniform
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 3000
+MAX_LANGS = 512
 PENALTY = 4.0
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _OUT = "lang_pred string, score double, langs array<string>, shares array<double>"
 
 
@@ -42,19 +44,21 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(bucket.astype(np.int64), return_counts=True)
 
 
-def _em(p: np.ndarray, c: np.ndarray, enough: float = 1e-3, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Shares of the rows of p (likelihood of each gram) and the log-likelihood, until it grows by less than `enough`."""
-    n, share = c.sum(), np.full(len(p), 1 / len(p))
-    last = -np.inf
+def _em(p: np.ndarray, c: np.ndarray, goal: float = -np.inf, start: np.ndarray | None = None, gap: float = 1e-2, rounds: int = 500) -> tuple[np.ndarray, float, float]:
+    """Shares of the rows of p (likelihood of each gram), their log-likelihood, and a bound that no shares exceed.
+
+    The bound is Jensen's: with gain_k the mean of p_k over the mixture, no mixture is better by more than
+    n * ln(max gain). EM ends when it is within `gap` of the bound, or when the bound shows that `goal` is out of reach.
+    """
+    n, share = c.sum(), np.full(len(p), 1 / len(p)) if start is None else start
     for _ in range(rounds):
-        joint = share[:, None] * p
-        each = joint.sum(0)
-        now = float(c @ np.log(each))
-        share = (joint / each) @ c / n
-        if now - last < enough:
+        each = share @ p
+        now, gain = float(c @ np.log(each)), p @ (c / each) / n
+        bound = now + n * float(np.log(gain.max()))
+        if bound - now < gap or bound <= goal:
             break
-        last = now
-    return share, now
+        share = share * gain
+    return share, now, bound
 
 
 class MixtureModel:
@@ -75,13 +79,16 @@ class MixtureModel:
         best = int(alone.argmax())
         chosen, share, ll = [best], np.ones(1), float(alone[best])
         need = penalty * np.log(c.sum() + 1)
-        if len(p) > 1 and -ll > need and _em(p, c, 0.02 * need)[1] - ll > 0.9 * need:  # no mixture is likelier than 0
-            while len(chosen) < len(p):
-                tried = [(*_em(p[[*chosen, k]], c), k) for k in range(len(p)) if k not in chosen]
+        if len(p) > 1 and -ll > need:  # no mixture is likelier than 0
+            first = np.full(len(p), 0.1 / (len(p) - 1))
+            first[best] = 0.9
+            # where all languages together do not pay, none does: the bound settles most texts in a few rounds
+            while len(chosen) < len(p) and _em(p, c, ll + need, first)[2] > ll + need:
+                tried = [(*_em(p[[*chosen, k]], c, ll + need), k) for k in range(len(p)) if k not in chosen]
                 more = max(tried, key=lambda t: t[1])
                 if more[1] - ll <= need:
                     break
-                share, ll, chosen = more[0], more[1], [*chosen, more[2]]
+                share, ll, chosen = more[0], more[1], [*chosen, more[3]]
         order = np.argsort(-share, kind="stable")
         top = chosen[order[0]]
         sure = 1 / np.exp(np.minimum(alone - alone[top], 0)).sum() if len(chosen) == 1 else 1.0
@@ -92,15 +99,15 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> MixtureModel:
+def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_langs: int = MAX_LANGS) -> MixtureModel:
     """labelled: doc_id, text, lang; rows without a lang teach nothing."""
     text_batches(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull())
-    per = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    per = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not per:
         return MixtureModel([], np.zeros((0, BUCKETS)))
     langs = sorted(per)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_docs / per[k]))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_docs / per[k]))]), F.col("lang"))  # null beyond max_langs
     some = labelled.where(uniform(F.lit("train"), F.col("doc_id").cast("string")) < share).select("lang", "text")
 
     def count(batches):
