@@ -68,15 +68,42 @@ def missing(files: DataFrame, protocol: Protocol) -> DataFrame:
     return want.join(have, ["date", "phase", "recording"], "left_anti")
 
 
-def parse_signal(content: bytes) -> np.ndarray:
-    """The first column of a CSV file without a header."""
-    lines = content.decode("utf-8-sig", "replace").splitlines()
-    return np.array([float(x.split(",")[0].split(";")[0]) for x in lines if x.strip()], float)
+def _number(line: str) -> float:
+    try:
+        return float(line.replace(";", ",").split(",")[0])
+    except ValueError:
+        return np.nan
+
+
+def parse_signal(content: bytes) -> np.ndarray | None:
+    """The first column of a CSV file without a header; None if a line of it is no number, or it has none."""
+    x = np.array([_number(line) for line in content.decode("utf-8-sig", "replace").splitlines() if line.strip()], float)
+    return x if len(x) and np.isfinite(x).all() else None
+
+
+def _rate(signal: np.ndarray, plan: dict) -> float | None:
+    """Samples a second: as the plan has it, else by the duration that it expects; None if it has neither."""
+    seconds = float(plan["expected_duration_sec"] or 0)
+    return plan["sampling_rate"] or (len(signal) / seconds if seconds > 0 else None)
 
 
-def extract_features(files: DataFrame, protocol: Protocol) -> DataFrame:
+_REVIEW = ("signal_review_status", "hrv_review_status", "hrv_qc_passed", "morphology_review_status", "morphology_qc_passed", "rpeaks", "rpeaks_no_edge")
+
+
+def with_reviews(files: DataFrame, reviews: DataFrame | None) -> DataFrame:
+    """planned() files with `_reviews`: what tables.decisions() has of each, as an array with an entry a segment."""
+    if reviews is None:
+        return files.withColumn("_reviews", F.lit(None).cast("array<struct<segment_label:string>>"))
+    per = reviews.groupBy("date", "phase", F.col("record_type").alias("recording")).agg(F.sort_array(F.collect_list(F.struct("segment_label", *_REVIEW))).alias("_reviews"))
+    return files.join(per, ["date", "phase", "recording"], "left")
+
+
+def extract_features(files: DataFrame, protocol: Protocol, reviews: DataFrame | None = None) -> DataFrame:
     """The feature table of planned() files. Recordings are independent; they are small and cost much each, so they are
-    dealt to a set number of tasks by path."""
+    dealt to a set number of tasks by path. A file that is no signal, or whose rate nothing tells, gives no row.
+
+    reviews: what reviewers said (tables.decisions()); see record.process().
+    """
     ship(files.sparkSession)
     plans = {(p.phase, p.recording): p.as_dict() for p in protocol.plans}
     names = [n for n, _ in FEATURE_FIELDS]
@@ -87,32 +114,58 @@ def extract_features(files: DataFrame, protocol: Protocol) -> DataFrame:
             for f in batch.itertuples(index=False):
                 plan = plans[f.phase, f.recording]
                 signal = parse_signal(f.content)
-                fs = plan["sampling_rate"] or len(signal) / float(plan["expected_duration_sec"])
+                fs = _rate(signal, plan) if signal is not None else None
+                if fs is None:
+                    continue
+                said = {r["segment_label"]: r for r in (f.reviews if f.reviews is not None else [])}
                 more = {"date": f.date, "phase": f.phase, "record_type": f.recording, "processing_mode": plan["mode"], "processing_profile": plan["quality_profile"], "quality_profile": plan["quality_profile"]}
                 more |= {"segmentation_profile": plan["segmentation_profile"], "aggregation_role": plan["aggregation_role"]}
-                rows += [r | more for r in record.process(signal, fs, plan)]
+                rows += [r | more for r in record.process(signal, fs, plan, said)]
             yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names, dtype=object)
 
     tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
-    return files.select("date", "phase", "recording", "content", "path").repartition(tasks, "path").mapInPandas(run, FEATURE_DDL)
+    given = files if "_reviews" in files.columns else with_reviews(files, reviews)
+    return given.select("date", "phase", "recording", "content", "path", F.col("_reviews").alias("reviews")).repartition(tasks, "path").mapInPandas(run, FEATURE_DDL)
+
+
+def unreadable(files: DataFrame, protocol: Protocol) -> DataFrame:
+    """(date, phase, recording, path, reason) of the planned() files that give no row for what they hold."""
+    ship(files.sparkSession)
+    plans = {(p.phase, p.recording): p.as_dict() for p in protocol.plans}
+
+    def reason(f) -> str | None:
+        signal = parse_signal(f.content)
+        return "not_numeric" if signal is None else None if _rate(signal, plans[f.phase, f.recording]) else "no_sampling_rate"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            why = [reason(f) for f in batch.itertuples(index=False)]
+            out = batch[["date", "phase", "recording", "path"]].assign(reason=why)
+            yield out[out.reason.notna()]
+
+    return files.select("date", "phase", "recording", "path", "content").mapInPandas(run, "date string, phase string, recording string, path string, reason string")
 
 
-def stored_features(files: DataFrame, protocol: Protocol, path: str) -> DataFrame:
+def stored_features(files: DataFrame, protocol: Protocol, path: str, reviews: DataFrame | None = None) -> DataFrame:
     """The feature table of planned() files, taken from the store at path where it has them.
 
-    A stored recording counts only if it was processed under the same plan; only the others are processed and added.
+    A stored recording counts only if it was processed under the same plan and the same reviews; only the others are
+    processed and added.
     """
     spark = files.sparkSession
     key = ["date", "phase", "record_type", "plan_hash"]
     hashes = spark.createDataFrame([(p.phase, p.recording, p.hash()) for p in protocol.plans], "phase string, recording string, plan_hash string")
-    asked = files.join(F.broadcast(hashes), ["phase", "recording"])  # a row a plan of the protocol
+    asked = with_reviews(files.join(F.broadcast(hashes), ["phase", "recording"]), reviews)  # a row a plan of the protocol
+    said = F.sha2(F.to_json("_reviews"), 256)
+    asked = asked.withColumn("plan_hash", F.when(F.col("_reviews").isNull(), F.col("plan_hash")).otherwise(F.concat_ws("/", "plan_hash", said)))
     want = asked.select("date", "phase", F.col("recording").alias("record_type"), "plan_hash")
     try:
         have = spark.read.schema(f"{FEATURE_DDL}, plan_hash string").parquet(path).select(*key).distinct()
         todo = asked.join(have.withColumnRenamed("record_type", "recording"), ["date", "phase", "recording", "plan_hash"], "left_anti")
     except AnalysisException:  # nothing is stored yet
         todo = asked
-    made = extract_features(todo.drop("plan_hash"), protocol)
-    made.join(F.broadcast(hashes.withColumnRenamed("recording", "record_type")), ["phase", "record_type"]).select(*[n for n, _ in FEATURE_FIELDS], "plan_hash").write.mode("append").parquet(path)
+    made = extract_features(todo, protocol)
+    named = want.distinct()  # one a recording
+    made.join(named, ["date", "phase", "record_type"]).select(*[n for n, _ in FEATURE_FIELDS], "plan_hash").write.mode("append").parquet(path)
     stored = spark.read.schema(f"{FEATURE_DDL}, plan_hash string").parquet(path)
-    return stored.join(want.distinct(), key, "left_semi").drop("plan_hash")
+    return stored.join(named, key, "left_semi").drop("plan_hash")

@@ -124,10 +124,11 @@ def read_reviews(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 
 def decisions(reviews: DataFrame) -> DataFrame:
-    """A row per reviewed segment: its key, the status of each part, and whether the gate passed on what was reviewed."""
+    """A row per reviewed segment: its key, the status of each part, whether the gate passed on what was reviewed, and its peaks."""
     m, gate = F.col("meta"), "qc_gate.passed"
     return reviews.select(
         m["date"].alias("date"), m["phase"].alias("phase"), m["record_type"].alias("record_type"), F.coalesce(m["segment_label"], F.lit("full")).alias("segment_label"), m["window_idx"].alias("window_idx"),
         F.col("signal_review.status").alias("signal_review_status"), F.col("hrv_review.status").alias("hrv_review_status"), F.col(f"hrv_review.{gate}").alias("hrv_qc_passed"),
         F.col("morphology_review.status").alias("morphology_review_status"), F.col(f"morphology_review.{gate}").alias("morphology_qc_passed"),
+        F.col("signal_review.rpeaks").alias("rpeaks"), F.col("signal_review.rpeaks_no_edge").alias("rpeaks_no_edge"),
     )

@@ -128,6 +128,34 @@ def test_recordings_to_features(spark, recordings):
     assert all(r.hrv_validated and 70 < r.hrv_time__MeanHR_bpm < 80 for r in sit)
 
 
+def test_reviews_decide_on_recordings(spark, recordings, tmp_path):
+    """Written reviews, read again, settle what the mode leaves to people; the store follows them."""
+    p = protocol.compile_protocol(protocol.deep_merge(PROTOCOL, {"defaults": {"review_mode": "manual"}}))
+    found = signals.planned(signals.find_recordings(spark, recordings), p)
+    row = lambda date, status: {"signal_review": {"status": status}, "hrv_review": {"status": status, "qc_gate": {"passed": status == "accepted"}}, "meta": {"date": date, "phase": "before", "record_type": "sit"}}
+    folder = tmp_path / "reviews"
+    folder.mkdir()
+    for k, (date, status) in enumerate((("01.04.2026", "accepted"), ("02.04.2026", "skipped"))):
+        (folder / f"{k}.json").write_text(json.dumps(row(date, status)))
+    said = tables.decisions(tables.read_reviews(spark, str(folder)))
+    got = {(r.date, r.record_type): (r.hrv_review_status, r.hrv_validated) for r in signals.extract_features(found, p, said).collect()}
+    assert got == {("01.04.2026", "sit"): ("accepted", True), ("02.04.2026", "sit"): ("skipped", False), ("01.04.2026", "squat"): ("pending", False)}
+    store = str(tmp_path / "store")
+    n = signals.stored_features(found, p, store).count()
+    assert signals.stored_features(found, p, store, said).where("hrv_validated").count() > 0 and spark.read.parquet(store).where("record_type = 'sit'").count() == 2 * (n - 4)
+
+
+def test_files_that_are_no_signals(spark, tmp_path):
+    for date, text in (("01.04.2026", "1\n2\nx\n"), ("02.04.2026", "\n")):
+        folder = tmp_path / date / "before"
+        folder.mkdir(parents=True)
+        (folder / "sitting.csv").write_text(text)
+    p = protocol.compile_protocol(PROTOCOL)
+    found = signals.planned(signals.find_recordings(spark, str(tmp_path)), p)
+    assert signals.extract_features(found, p).count() == 0
+    assert sorted((r.date, r.reason) for r in signals.unreadable(found, p).collect()) == [("01.04.2026", "not_numeric"), ("02.04.2026", "not_numeric")]
+
+
 def test_stored_features(spark, recordings, tmp_path):
     """What is stored is not processed again, unless its plan has changed."""
     files = signals.find_recordings(spark, recordings)

@@ -109,6 +109,22 @@ def test_record_segments_and_bad_signals():
         assert not r["hrv_validated"] and r["hrv_time__MeanNN_ms"] is None and r["hrv_qc_reasons"]
 
 
+def test_review_modes():
+    """auto decides by the gates, bad_only asks where one fails, manual always; a review settles it, with its peaks."""
+    x, truth = synthetic.recording(60, 3, hr=72)
+    noise = np.random.default_rng(0).uniform(0, 675, 8000)
+    status = lambda signal, mode, said=None: [(r["hrv_review_status"], r["hrv_review_source"], r["hrv_validated"], r["hrv_time__MeanNN_ms"] is not None) for r in record.process(signal, FS, plan(review_mode=mode), said)]
+    assert status(x, "auto") == status(x, "bad_only") == status(x, "none") == [("accepted", "auto", True, True)]
+    assert status(x, "manual") == status(x, "whatever") == [("pending", "manual", False, False)]
+    assert status(noise, "auto") == [("skipped", "auto", False, False)] and status(noise, "bad_only") == [("pending", "manual", False, False)]
+    yes = {"full": {"hrv_review_status": "accepted", "hrv_qc_passed": True, "rpeaks": list(range(100, 7900, 150))}}
+    for mode in ("bad_only", "manual", "auto"):
+        assert status(noise, mode, yes) == [("accepted", "manual", True, True)]
+    (row,) = record.process(noise, FS, plan(review_mode="manual"), yes)
+    assert row["hrv_time__MeanNN_ms"] == pytest.approx(150 / FS * 1000) and row["morphology_review_status"] == "pending"
+    assert status(x, "manual", {"full": {"hrv_review_status": "skipped", "hrv_qc_passed": False}}) == [("skipped", "manual_skipped", False, False)]
+
+
 def test_suspicious():
     at = np.array([200, 400, 600, 680, 1000, 1200, 1400, 1600])
     odd = peaks.suspicious(2000, at, 200.0)
