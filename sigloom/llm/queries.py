@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from sigloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from sigloom.llm.fingerprints import op11_fingerprints
 from sigloom.llm.html_extract import op3_html
 from sigloom.llm.langid import op6_langid
 from sigloom.llm.mixing import op4_mixing
+from sigloom.llm.negatives import OP12_SQL, op12_hard_negatives
 from sigloom.llm.packing import op9_packing
+from sigloom.llm.phrases import OP13_SQL, op13_phrases
 from sigloom.llm.pii import op7_pii
 from sigloom.llm.quality import OP2_SQL, op2_quality
 from sigloom.llm.sharding import op10_sharding
@@ -26,8 +29,11 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
+        "op11_fingerprints": op11_fingerprints,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op5_substring": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_quality": OP2_SQL, "op5_substring": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op12_hard_negatives": OP12_SQL, "op13_phrases": OP13_SQL}
