@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigloom.operators.ranks import PART, ordered, ranked_pairs
 from sigloom.operators.reports import unpivot
 from sigloom.ship import ship
+from sigloom.storage import materialize
 
 
 def directed(column: Column, direction: str) -> Column:
@@ -44,71 +46,181 @@ def pairs(df: DataFrame, row_id: list[str], targets: list[str], features: list[s
     return long.where("x IS NOT NULL AND y IS NOT NULL")
 
 
-def _mean_rank(by: list[str], value: str) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    low = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    same = F.count("*").over(Window.partitionBy(*by, value))
-    return low + (same - 1) / 2.0
+def spearman(both: DataFrame, by: list[str] | None = None, part: int | None = None) -> DataFrame:
+    """(by, n, rho) for rows with x and y; NULL where one of them does not vary. Ranks of ties are their mean.
+
+    Ranks come from running sums over parts of each pair's distinct values (ranks.ordered), so no task sees a pair whole.
+    """
+    return correlations(ranked_pairs(both, by or ["target", "feature"], part), by or ["target", "feature"])
 
 
-def spearman(both: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, n, rho) for rows with x and y; NULL where one of them does not vary."""
-    by = by or ["target", "feature"]
-    ranked = both.select(*by, _mean_rank(by, "x").alias("rx"), _mean_rank(by, "y").alias("ry"))
-    rho = F.corr("rx", "ry")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.nanvl(rho, F.lit(None).cast("double")).alias("rho"))
+def correlations(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, rho) of ranked_pairs()."""
+    m, a, b = (F.col(c).cast("double") for c in ("m", "a", "b"))
+    a, b = a - 1, b - 1  # twice the distance from the mean rank
+    per = ranked.groupBy(*by).agg(F.sum("m").alias("n"), F.sum(m * a * b).alias("xy"), F.sum(m * a * a).alias("xx"), F.sum(m * b * b).alias("yy"))
+    return per.select(*by, "n", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt("xx") / F.sqrt("yy")).alias("rho"))
 
 
-def _mean_ranks(x: np.ndarray) -> np.ndarray:
-    _, place, n = np.unique(x, return_inverse=True, return_counts=True)
-    return (np.cumsum(n) - (n - 1) / 2.0)[place]
+def dominated(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each place the sum of m over all places, times 2 for a greater x and 1 for an equal one, and the same of y.
+
+    By the bits of x: two values first differ in some bit, and those that share the bits above it are looked at together
+    in the order of y, so each bit is a pass of running sums.
+    """
+    _, px = np.unique(x, return_inverse=True)
+    _, py = np.unique(y, return_inverse=True)
+    out = np.zeros(len(x), np.int64)
+    for level in range(-1, int(px.max()).bit_length() if len(px) else 0):
+        prefix, bit = (px, np.ones_like(px)) if level < 0 else (px >> (level + 1), px >> level & 1)
+        order = np.lexsort((py, prefix))
+        p, q, w = prefix[order], py[order], (m * bit)[order]
+        sums = np.r_[0, np.cumsum(w)]
+        group = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        run = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+        ends, last = np.r_[group[1:], len(p)], np.r_[run[1:], len(p)]
+        at = np.searchsorted(run, np.arange(len(p)), side="right") - 1
+        end = sums[ends[np.searchsorted(group, np.arange(len(p)), side="right") - 1]]
+        got = 2 * (end - sums[last[at]]) + sums[last[at]] - sums[run[at]]
+        out[order] += got if level < 0 else np.where(bit[order] == 0, 2 * got, 0)
+    return out
 
 
-def leave_one_out(x: np.ndarray, y: np.ndarray, rows: int = 256) -> float:
+def leave_one_out(x: np.ndarray, y: np.ndarray) -> float:
     """The share of rows without any one of which the rank correlation keeps its sign.
 
-    Taking a row out lowers each rank above its own by one and each equal one by half; so all new ranks come from the
-    old ones, a block of rows at a time.
+    Taking a row out lowers each rank above its own by one and each equal one by half. So the sum of products without it
+    is that of all rows less sums over the rows above it in x, in y and in both: running sums, n log n steps in whole numbers.
     """
     n = len(x)
-    rx, ry = _mean_ranks(x), _mean_ranks(y)
-    mean = (n + 1) / 2.0
-    sign = np.sign(((rx - mean) * (ry - mean)).sum())
-    if n < 2 or not (rx.std() and ry.std()):
+    if n < 2:
         return 0.0
-    same = 0
-    for lo in range(0, n, rows):
-        out = slice(lo, lo + rows)
-        a = rx[:, None] - (x[:, None] > x[out]) - 0.5 * (x[:, None] == x[out]) - n / 2.0
-        b = ry[:, None] - (y[:, None] > y[out]) - 0.5 * (y[:, None] == y[out]) - n / 2.0
-        own = np.arange(lo, min(n, lo + rows)), np.arange(min(n, lo + rows) - lo)
-        a[own] = b[own] = 0.0
-        varies = ((a * a).sum(0) > 0) & ((b * b).sum(0) > 0)
-        same += int((varies & (np.sign((a * b).sum(0)) == sign)).sum())
-    return same / n
-
-
-def direction_stability(both: DataFrame) -> DataFrame:
-    """(target, feature, stability): see leave_one_out(). A pair's rows are the days of a study: they fit a task; their
-    number squared is the work, done in NumPy for all pairs side by side."""
-
+    ones = np.ones(n, np.int64)
+    both = []
+    for v in (x, y):
+        values, place, count = np.unique(v, return_inverse=True, return_counts=True)
+        twice = (2 * np.cumsum(count) - count + 1)[place] - n
+        both.append((len(values), place, count, twice))
+    (dx, px, cx, a), (dy, py, cy, b) = both
+    if dx < 2 or dy < 2:
+        return 0.0
+    wide = np.int64 if n < 1_000_000 else object  # sums grow with n cubed
+
+    def above(place: np.ndarray, count: np.ndarray, w: np.ndarray) -> np.ndarray:
+        per = np.bincount(place, w.astype(np.float64), len(count)).astype(np.int64)  # below n squared: exact in doubles
+        run = np.cumsum(per[::-1])[::-1]
+        return (2 * (run - per) + per)[place]
+
+    a_, b_ = a.astype(wide), b.astype(wide)
+    total = (a_ * b_).sum()
+    left = total - a_ * b_ - (above(py, cy, a) - a) - (above(px, cx, b) - b) + (dominated(px, py, ones) - 1)
+    varies = ~((dx == 2) & (cx[px] == 1)) & ~((dy == 2) & (cy[py] == 1))
+    return float((varies & (np.sign(left) == np.sign(((a_ - 1) * (b_ - 1)).sum()))).sum()) / n
+
+
+def _left_out(ranked: DataFrame, by: list[str], part: int | None = None) -> DataFrame:
+    """(by, stability) of ranked_pairs(): what leave_one_out() gives, by running sums over the cluster."""
+    many = ranked.agg(F.max("n")).first()[0] or 1
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    sums = {}
+    for s, w in (("x", "b"), ("y", "a")):
+        per = materialize(ranked.groupBy(*by, s).agg(F.sum(F.col("m") * F.col(w)).alias("w")), "sums")
+        above = 2 * (F.col("w_all") - F.col("w_before") - F.col("w")) + F.col("w")
+        sums[s] = ordered(per, by, s, ["w"], part).select(*by, s, above.alias(f"above_{s}"))
+    levels = F.explode(F.sequence(F.lit(-1), F.lit(int(many).bit_length() - 1))).alias("level")
+    one, px = ranked.select(*by, "x", "y", "m", "px", levels), F.col("px")
+    own = F.col("level") < 0
+    prefix = F.when(own, px).otherwise(F.call_function("shiftright", px, F.greatest(F.col("level"), F.lit(0)) + 1))
+    bit = F.when(~own, F.call_function("shiftright", px, F.greatest(F.col("level"), F.lit(0))).bitwiseAND(F.lit(1).cast("long")))
+    one = one.withColumns({"prefix": prefix, "bit": bit})
+    key = [*by, "level", "prefix"]
+    per = materialize(one.groupBy(*key, "y").agg(F.sum(F.when(own | (F.col("bit") == 1), F.col("m")).otherwise(0)).alias("w")), "dominated")
+    got = 2 * (F.col("w_all") - F.col("w_before") - F.col("w")) + F.col("w")
+    counted = ordered(per, key, "y", ["w"], part).select(*key, "y", (F.when(own, 1).otherwise(2) * got).alias("got"))
+    over = one.where(own | (F.col("bit") == 0)).join(counted, [*key, "y"]).groupBy(*by, "x", "y").agg(F.sum("got").alias("over"))
+    totals = ranked.groupBy(*by).agg(F.sum(whole("a") * whole("b") * F.col("m").cast("decimal(18,0)")).alias("p"), F.sum((whole("a") - 1) * (whole("b") - 1) * F.col("m").cast("decimal(18,0)")).alias("s"))
+    rows = ranked.join(totals, by).join(sums["x"], [*by, "x"]).join(sums["y"], [*by, "y"]).join(over, [*by, "x", "y"])
+    left = F.col("p") - whole("a") * whole("b") - (F.col("above_y") - F.col("a")) - (F.col("above_x") - F.col("b")) + (F.col("over") - 1)
+    varies = (F.col("dx") > 1) & (F.col("dy") > 1) & ~((F.col("dx") == 2) & (F.col("nx") == 1)) & ~((F.col("dy") == 2) & (F.col("ny") == 1))
+    same = varies & (F.signum(left.cast("double")) == F.signum(F.col("s").cast("double")))
+    return rows.groupBy(*by).agg((F.sum(F.when(same, F.col("m")).otherwise(0)) / F.sum("m")).alias("stability"))
+
+
+def direction_stability(both: DataFrame, part: int | None = None) -> DataFrame:
+    """(target, feature, stability): see leave_one_out(). Tables of up to `part` rows are done pair by pair in NumPy, larger
+    ones by running sums over the cluster; both give the same numbers."""
     ship(both.sparkSession)
+    rows = both.select("target", "feature", "x", "y")
+    if rows.count() > (part or PART):
+        return _left_out(ranked_pairs(rows, ["target", "feature"], part), ["target", "feature"], part)
 
     def run(key, rows):
         x, y = (rows[c].to_numpy() for c in ("x", "y"))
         return pa.table({"target": [key[0].as_py()], "feature": [key[1].as_py()], "stability": [leave_one_out(x, y)]})
 
-    return both.select("target", "feature", "x", "y").groupBy("target", "feature").applyInArrow(run, "target string, feature string, stability double")
+    return rows.groupBy("target", "feature").applyInArrow(run, "target string, feature string, stability double")
+
 
+def _patterns(rows: DataFrame, names: list[str]) -> dict[str, tuple]:
+    """feature -> what is the same for features that are there on the same rows: their number and sums over their ids."""
+    found = unpivot(rows, names, ("_r",)).where("v IS NOT NULL").groupBy("column").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(k), "_r").cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)])
+    return {r["column"]: (r["n"], r["h0"], r["h1"]) for r in found.collect()}  # as many as the protocol has columns
 
-def redundancy(df: DataFrame, row_id: list[str], features: list[str], threshold: float = 0.85) -> DataFrame:
-    """(a, b, n, rho) for pairs of features whose association is at the threshold or above."""
+
+def _products(size: int):
+    """Sums of the products of all pairs of places of the vectors of a task, as (i, j, s)."""
+
+    def run(batches):
+        total = np.zeros((size, size))
+        for batch in batches:
+            v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            total += v.T @ v
+        i, j = np.triu_indices(size)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "s"])
+
+    return run
+
+
+def redundancy(df: DataFrame, row_id: list[str], features: list[str], threshold: float = 0.85, part: int | None = None) -> DataFrame:
+    """(a, b, n, rho) for pairs of features whose association is at the threshold or above.
+
+    Features that are there on the same rows are ranked once each, and all their pairs come from one product of the rows'
+    vectors of ranks: a row sends one number a feature, a task one number a pair (it holds the features squared). Only pairs
+    that are there on different rows are ranked for themselves, on the rows that have both.
+    """
+    ship(df.sparkSession)
     names = sorted(features)
-    cells = F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"`{c}`").cast("double").alias("v")) for c in names])
-    rows = df.select(*row_id, F.filter(cells, lambda s: s["v"].isNotNull()).alias("c"))
-    two = rows.select(*row_id, F.explode("c").alias("p"), "c").select(*row_id, "p", F.explode(F.filter("c", lambda s: s["f"] > F.col("p.f"))).alias("q"))
-    rho = spearman(two.select(F.col("p.f").alias("a"), F.col("q.f").alias("b"), F.col("p.v").alias("x"), F.col("q.v").alias("y")), ["a", "b"])
-    return rho.where(F.abs("rho") >= threshold)
+    rows = materialize(df.select(F.monotonically_increasing_id().alias("_r"), *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in names]), "features")
+    pattern = _patterns(rows, names)
+    classes: dict[tuple, list[str]] = {}
+    for c in names:
+        if c in pattern:
+            classes.setdefault(pattern[c], []).append(c)
+    out = []
+    for (n, *_), same in classes.items():
+        if len(same) < 2:
+            continue
+        long = unpivot(rows.where(F.col(f"`{same[0]}`").isNotNull()), same, ("_r",))
+        values = materialize(long.groupBy("column", "v").agg(F.count("*").alias("c")), "values")
+        rank = (2 * F.col("c_before") + F.col("c") - F.lit(n)).cast("double")
+        ranks = ordered(values, ["column"], "v", ["c"], part).select("column", "v", rank.alias("rank"))
+        vectors = long.join(ranks, ["column", "v"]).groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("column", "rank"))).alias("x"))
+        sums = materialize(vectors.select(F.col("x.rank").alias("x")).mapInArrow(_products(len(same)), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")), "products")
+        norm = lambda k: sums.where("i = j").select(F.col("i").alias(k), F.sqrt("s").alias(f"s{k}"))
+        name = F.array(*map(F.lit, same))
+        both = sums.where("i < j").join(norm("i"), "i").join(norm("j"), "j").where("si > 0 AND sj > 0")
+        out.append(both.select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), F.lit(n).cast("long").alias("n"), (F.col("s") / F.col("si") / F.col("sj")).alias("rho")))
+    if len(classes) > 1:
+        number = {p: k for k, p in enumerate(classes)}
+        cells = F.array(*[F.struct(F.lit(c).alias("f"), F.lit(number[pattern[c]]).alias("k"), F.col(f"`{c}`").alias("v")) for c in names if c in pattern])
+        there = rows.select(F.filter(cells, lambda s: s["v"].isNotNull()).alias("c"))
+        two = there.select(F.explode("c").alias("p"), "c").select("p", F.explode(F.filter("c", lambda s: (s["f"] > F.col("p.f")) & (s["k"] != F.col("p.k")))).alias("q"))
+        rho = spearman(two.select(F.col("p.f").alias("left"), F.col("q.f").alias("right"), F.col("p.v").alias("x"), F.col("q.v").alias("y")), ["left", "right"], part)
+        out.append(rho.withColumnsRenamed({"left": "a", "right": "b"}))
+    links = df.sparkSession.createDataFrame([], "a string, b string, n long, rho double")
+    for one in out:
+        links = links.unionByName(one)
+    return links.where(F.abs("rho") >= threshold)
 
 
 def representatives(links: DataFrame, ranked: DataFrame) -> dict[str, str]:

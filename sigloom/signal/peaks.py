@@ -13,28 +13,47 @@ def _smooth(x: np.ndarray, n: int) -> np.ndarray:
     return (total[n:] - total[:-n]) / n
 
 
-def detect_r_peaks(x: np.ndarray, fs: float, short_sec: float = 0.1, long_sec: float = 0.75, min_delay_sec: float = 0.3) -> np.ndarray:
-    """Peaks where the steepness of the signal stands out from its surroundings (filtered signal in, indices out).
+SHORT_SEC, LONG_SEC, DELAY_SEC = 0.1, 0.75, 0.3
+#: Of the mean length of steep regions, what a QRS complex has at least.
+LEAST_SHARE = 0.4
 
-    A region is a QRS complex if the smoothed gradient is above 1.5 times its average over a longer window, for at least
-    0.4 of the mean length of such regions; its greatest sample is the peak. Later peaks within min_delay are dropped.
-    """
-    if len(x) < int(fs * long_sec) + 2:
-        return np.zeros(0, int)
+
+def steep_regions(x: np.ndarray, fs: float, short_sec: float = SHORT_SEC, long_sec: float = LONG_SEC) -> tuple[np.ndarray, np.ndarray]:
+    """Where the smoothed gradient is above 1.5 times its average over a longer window: starts and ends."""
     steep = np.abs(np.gradient(x))
     fine = _smooth(steep, int(round(short_sec * fs)))
     above = fine > 1.5 * _smooth(fine, int(round(long_sec * fs)))
     edges = np.flatnonzero(np.diff(np.concatenate([[0], above.astype(np.int8), [0]])))
-    starts, ends = edges[::2], edges[1::2]
+    return edges[::2], edges[1::2]
+
+
+def peak_in(x: np.ndarray, start: int, end: int, fs: float) -> int:
+    """The greatest sample of a region over the median around it, or the least where the beats point down."""
+    part = x[start:end] - np.median(x[max(0, start - int(fs / 4)) : end + int(fs / 4)])
+    return start + int(np.argmax(part if part.max() >= 0.6 * -part.min() else -part))
+
+
+def long_enough(n: int, fs: float, long_sec: float = LONG_SEC) -> bool:
+    return n >= int(fs * long_sec) + 2
+
+
+def detect_r_peaks(x: np.ndarray, fs: float, short_sec: float = SHORT_SEC, long_sec: float = LONG_SEC, min_delay_sec: float = DELAY_SEC) -> np.ndarray:
+    """Peaks where the steepness of the signal stands out from its surroundings (filtered signal in, indices out).
+
+    A steep region is a QRS complex if it has at least 0.4 of the mean length of such regions; its greatest sample is the
+    peak. Later peaks within min_delay are dropped.
+    """
+    if not long_enough(len(x), fs, long_sec):
+        return np.zeros(0, int)
+    starts, ends = steep_regions(x, fs, short_sec, long_sec)
     if not len(starts):
         return np.zeros(0, int)
-    least = 0.4 * (ends - starts).mean()
+    least = LEAST_SHARE * (ends - starts).mean()
     out, last = [], -np.inf
     for s, e in zip(starts, ends, strict=True):
         if e - s < least:
             continue
-        part = x[s:e] - np.median(x[max(0, s - int(fs / 4)) : e + int(fs / 4)])
-        peak = s + int(np.argmax(part if part.max() >= 0.6 * -part.min() else -part))
+        peak = peak_in(x, s, e, fs)
         if peak - last > min_delay_sec * fs:
             out.append(peak)
             last = peak
