@@ -1,10 +1,12 @@
 """Surrogates for personal data (operator 7). DataFrame functions only.
 
-Entities are e-mail and IP addresses (4 and 6), phone, card and social security numbers, IBANs, secrets (long hexadecimal
-strings, keys of common services, what follows password= and the like) and person names behind a title. Each is brought
+Entities are e-mail, IP (4 and 6) and MAC addresses, phone, card and social security numbers, IBANs, secrets (long
+hexadecimal strings, keys of common services, web tokens, private keys, what follows password= and the like) and person
+names: behind a title, behind words that introduce a person (CUES) if there are two of them, or two words of which the
+first is a listed given name. Each is brought
 to a canonical form (case, separators and titles do not count), and each canonical form gets a surrogate of its type
-from a keyed hash: digits for digits with the same grouping (a card, an IBAN and a social security number stay valid, an
-address keeps to octets, private ones stay private), letters for letters in the same script and case, given names from a
+from a keyed hash: digits for digits with the same grouping (a card, an IBAN and a social security number stay valid, a
+phone number keeps its country code, an address keeps to octets, private ones stay private), letters for letters in the same script and case, given names from a
 list of the same gender and script. Equal entities get equal surrogates wherever they stand (coreference). A person is
 two entities, the given name and the surname, so "Mr Smith", "Mr JOHN SMITH" and "John Smith" stay one person, and a
 family keeps one name. A letter of a script without a pool here becomes a Latin one of its case. In a document that names
@@ -12,7 +14,8 @@ a person with a title, the name and each of its words are replaced without the t
 
 Different entities get different surrogates: in rounds, a surrogate that two entities of any type share, or that is
 itself an entity of the corpus, stays with one of them at most and the others are hashed anew with a higher attempt
-number. From some attempt on surrogates grow (an IP address becomes one of version 6), so rounds end however full a form is.
+number. From some attempt on surrogates grow (an IP address becomes one of version 6, numbers and keys get more digits),
+so rounds end however full a form is. Addresses of version 6 and private keys have more forms than a corpus has rows.
 
 Only documents with entities are shuffled; the text of the others passes through. An entity in a third of all rows is
 one row of the table of entities (pre-aggregated), and its join with the mentions may be split. A very long text is one
@@ -48,6 +51,16 @@ NAMES = {
     ("n", "cyrillic"): "Валя Женя Саша Слава Шура".split(),
 }
 
+#: What introduces a person by name.
+CUES = ["My name is", "my name is", "My name's", "my name's", "Mein Name ist", "mein Name ist", "Je m'appelle", "je m'appelle", "Me llamo", "me llamo", "Mi nombre es", "mi nombre es", "Dear", "Liebe", "Lieber", "Chère", "Cher", "Estimada", "Estimado", "Contact", "contact", "Signed,", "Regards,", "regards,"]
+#: More given names, by gender, that are seldom other words: a name of two words needs no title if it begins with one.
+GIVEN = {
+    "m": "Alexander Andrew Anthony Benjamin Brian Christopher Daniel Edward Francisco François Gustav Hans Heinrich James Javier Jean John José Joseph Juan Jürgen Kevin Klaus Luis Manuel Michael Miguel Patrick Peter Philippe Pierre Richard Stefan Stephen Timothy Wilhelm William Wolfgang".split(),
+    "f": "Amanda Anna Barbara Carmen Catherine Céline Christine Deborah Dorothy Elizabeth Emily Françoise Gabriele Ingrid Isabelle Jennifer Jessica Karen Katharina Linda Lisa Lucía Margaret Mary Michelle Monique Nancy Patricia Rebecca Sabine Sandra Sarah Stephanie Susan Ursula".split(),
+}
+#: Countries' calling codes, by their beginnings.
+_CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 _W = r"\p{L}\p{N}"
 
 
@@ -58,6 +71,10 @@ def _one_of(titles: list[str]) -> str:
 
 _TITLE = _one_of([t for row in TITLES.values() for t in row])
 _BEFORE = rf"(?:{_TITLE}\.? ){{1,3}}(?:\p{{Lu}}\. ?){{0,3}}"
+_CUE = "(?:" + "|".join(CUES) + ") "
+_LISTED = "(?:" + "|".join(sorted({n for (g, script), row in NAMES.items() if g != "n" and script == "latin" for n in row} - {"Grace", "Rosa", "Victor", "Flora"} | {n for row in GIVEN.values() for n in row})) + ")"
+#: What stands before a name in a mention.
+_LEAD = rf"(?:{_BEFORE}|{_CUE})"
 _NAME = r"(?:\p{Lu}\p{L}{1,30}+|\p{Lu}(?=['’]))(?:['’\-](?!s(?![\p{L}\p{N}]))\p{L}{1,30}+){0,2}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _H = r"[0-9A-Fa-f]{1,4}"
@@ -66,9 +83,12 @@ _HEX = r"(?=[a-zA-Z]{0,127}+\d)(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)"
 #: In the order in which they are tried at one place. All start where no letter or digit is before them; possessive
 #: runs and bounded repeats keep the scan linear.
 PATTERNS = {
-    "email": rf"(?<![._%+\-])[{_W}_][{_W}._%+\-]{{0,63}}+@(?:[{_W}\-]{{1,63}}+\.)+\p{{L}}{{2,24}}(?![{_W}])",
+    "email": rf"(?<![._%+\-])[{_W}_][{_W}._%+\-]{{0,63}}+@(?:[{_W}\-]{{1,63}}+\.){{1,126}}\p{{L}}{{2,24}}(?![{_W}])",
     "password": rf"(?=[pPsSaAtT]){_LABEL}(?![<{{$])[^\s\"'<>,;]{{4,128}}+",
     "key": rf"(?=[Agsx])(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,80}}+|sk-[A-Za-z0-9_\-]{{20,100}}+|xox[abprs]-[A-Za-z0-9\-]{{10,80}}+|AIza[0-9A-Za-z_\-]{{35}})(?![{_W}])",
+    "private": r"(?=-----B)-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\s\\:,]{16,16384}+-----END (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----",
+    "jwt": r"(?=eyJ)eyJ[A-Za-z0-9_\-]{8,4096}+\.[A-Za-z0-9_\-]{8,8192}+\.[A-Za-z0-9_\-]{8,2048}+",
+    "mac": rf"(?<![:\-])[0-9A-Fa-f]{{2}}(?:(?::[0-9A-Fa-f]{{2}}){{5}}|(?:-[0-9A-Fa-f]{{2}}){{5}})(?![{_W}:\-])",
     "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![{_W}]|\.\d)",
     "ipv6": rf"(?<!:)(?=[0-9A-Fa-f:]{{0,38}}\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}})(?![{_W}:])",
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_W}])",
@@ -76,7 +96,7 @@ PATTERNS = {
     "card": rf"(?<![.+])\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?![{_W}])",
     "ssn": rf"(?<![.+\-])(?!000|666|9\d\d)\d{{3}}-(?!00)\d{{2}}-(?!0000)\d{{4}}(?![{_W}]|-\d)",
     "phone": rf"(?:\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ .\-]?\d{{3}}[ .\-]\d{{4}}|\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}})(?![{_W}])",
-    "person": rf"(?=\p{{Lu}}){_BEFORE}{_NAME}(?: {_NAME})?",
+    "person": rf"(?=[\p{{Lu}}mjcr])(?:{_BEFORE}{_NAME}(?: {_NAME})?|{_CUE}(?:{_NAME} {_NAME}|{_LISTED}(?![\p{{L}}\p{{N}}]))|{_LISTED} {_NAME})",
 }
 #: One look back for all, so most places of a text cost one step.
 ANY = rf"(?<![{_W}])(?:" + "|".join(PATTERNS.values()) + ")"
@@ -129,11 +149,11 @@ def _expanded(ip: Column) -> Column:
 
 
 def _name_words(mention: Column) -> Column:
-    return F.split(F.regexp_replace(mention, f"^{_BEFORE}", ""), " ")
+    return F.split(F.regexp_replace(mention, f"^{_LEAD}", ""), " ")
 
 
 def _gender(mention: Column, given: Column) -> Column:
-    listed = lambda g: F.array(*[F.lit(n.lower()) for (k, _), row in NAMES.items() if k == g for n in row])
+    listed = lambda g: F.array(*[F.lit(n.lower()) for (k, _), row in [*NAMES.items(), *(((k, ""), row) for k, row in GIVEN.items())] if k == g for n in row])
     titled = lambda g: mention.rlike(rf"^(?:{_TITLE}\.? )*{_one_of(TITLES[g])}\.? ")
     return F.when(titled("f"), "f").when(titled("m"), "m").when(F.array_contains(listed("f"), given), "f").when(F.array_contains(listed("m"), given), "m").otherwise("n")
 
@@ -146,7 +166,7 @@ def entities_of(kind: Column, mention: Column) -> Column:
     person = F.when(F.size(words) > 1, F.array(ref(F.lit("given"), given), ref(F.lit("surname"), words[1]))).otherwise(F.array(ref(F.lit("surname"), words[0])))
     value = _value(mention)
     hexed = value.rlike(f"^{_HEX}$")
-    canon = F.when(kind.isin("phone", "card", "ssn"), _digits(mention)).when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind == "ipv6", _expanded(mention)).when(kind == "key", mention)
+    canon = F.when(kind.isin("card", "ssn"), _digits(mention)).when(kind == "phone", F.concat(F.regexp_extract(mention, r"^\+", 0), _digits(mention))).when(kind.isin("jwt", "private"), mention).when(kind == "mac", F.lower(F.regexp_replace(mention, "[:-]", ""))).when(kind == "iban", F.regexp_replace(mention, " ", "")).when(kind == "ipv6", _expanded(mention)).when(kind == "key", mention)
     canon = canon.when(kind == "password", F.when(hexed, F.lower(value)).otherwise(value)).otherwise(F.lower(mention))
     one = F.array(ref(F.when((kind == "password") & hexed, F.lit("secret")).otherwise(kind), canon))
     return F.when(kind.isNull(), F.array().cast("array<struct<kind:string,canon:string>>")).when(kind == "person", person).otherwise(one)
@@ -195,22 +215,28 @@ def _made(kind: Column, canon: Column, attempt: Column, seed: Column, num: Colum
     first = F.when(private, F.lit(10)).otherwise(F.lit(11) + at(1) % 90)
     ipv6 = F.concat(F.lit("2001:0db8"), F.array_join(F.transform(F.regexp_extract_all(F.substring(digest, 1, 24), F.lit("...."), F.lit(0)), lambda g: F.concat(F.lit(":"), g)), ""))
     ip = F.when(attempt < 8, F.concat_ws(".", first.cast("string"), *[at(k).cast("string") for k in (2, 3, 4)])).otherwise(ipv6)
-    body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), _like(F.substring(canon, F.lit(2), F.length(canon) - 2), num))
+    body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), _like(F.substring(canon, F.lit(2), F.length(canon) - 2), num), more("0", 8))
     card = F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    account = _like(tail(5), num)
+    account = F.concat(_like(tail(5), num), more("0", 8))
     iban = F.concat(F.substring(canon, 1, 2), F.lpad((98 - _mod97(F.concat(F.substring(canon, 1, 2), F.lit("00"), account))).cast("string"), 2, "0"), account)
-    ssn = F.concat((at(1) % 5 + 1).cast("string"), _like(F.lit("00"), num), (at(4) % 9 + 1).cast("string"), (at(5) % 10).cast("string"), (at(6) % 9 + 1).cast("string"), _like(F.lit("000"), F.reverse(num)))
-    secret = F.substring(F.concat(*_stream(seed, 2)), F.lit(1), F.length(canon))
+    ssn = F.concat((at(1) % 5 + 1).cast("string"), _like(F.lit("00"), num), (at(4) % 9 + 1).cast("string"), (at(5) % 10).cast("string"), (at(6) % 9 + 1).cast("string"), _like(F.lit("000"), F.reverse(num)), more("0", 8))
+    secret = F.concat(F.substring(F.concat(*_stream(seed, 2)), F.lit(1), F.length(canon)), more("0", 8))
     issuer = F.regexp_extract(canon, _ISSUER, 0)
-    token = F.concat(issuer, _like(F.regexp_replace(canon, _ISSUER, ""), num))
-    # country code and the first digit of a number stay; the rest changes
-    phone = F.concat(F.substring(canon, 1, 1), _like(tail(2), num), more("0", 8))
+    token = F.concat(issuer, _like(F.regexp_replace(canon, _ISSUER, ""), num), more("0", 8))
+    # a country's code stays, or the first digit of a number without one; the rest changes
+    code = F.when(canon.startswith("+"), F.regexp_extract(canon, _CALLING, 0)).otherwise(F.substring(canon, 1, 1))
+    phone = F.concat(code, _like(F.substring(canon, F.length(code) + 1, F.length(canon)), num), more("0", 8))
+    # addresses given out locally have 2 as their second digit
+    mac = F.concat(F.substring(digest, 1, 1), F.lit("2"), F.substring(digest, 3, 10), more("0", 8))
+    # 64 numbers turn round in a long text, so the seed's digits stand in it as well
+    jwt = F.concat(F.lit("eyJ"), F.substring(digest, 1, 32), F.lit("."), _like(F.element_at(F.split(canon, r"\."), 2), num), F.lit("."), F.substring(digest, 33, 32))
+    private_key = F.concat(F.regexp_extract(canon, r"^-----BEGIN [A-Z ]*PRIVATE KEY-----\s*", 0), digest, F.regexp_extract(canon, r"\s*-----END [A-Z ]*PRIVATE KEY-----$", 0))
     gender, cyr = F.substring(canon, 1, 1), canon.rlike(r"\p{IsCyrillic}")
     names = {k: F.array(*[F.lit(n.lower()) for n in row]) for k, row in NAMES.items()}
     lists = reduce(lambda w, k: w.when((gender == k[0]) & (cyr if k[1] == "cyrillic" else ~cyr), names[k]), names, F.when(F.lit(False), names["n", "latin"])).otherwise(names["n", "latin"])
     letter = F.when(cyr, "а").otherwise("a")
     given = F.concat(gender, F.lit(":"), F.element_at(lists, (at(64) % F.size(lists) + 1).cast("int")), more(letter, 1, 2))
-    forms = {"email": email, "ip": ip, "ipv6": ipv6, "card": card, "iban": iban, "ssn": ssn, "secret": secret, "key": token, "password": F.concat(_like(canon, num), more("0", 8)), "phone": phone, "given": given}
+    forms = {"email": email, "ip": ip, "ipv6": ipv6, "card": card, "iban": iban, "ssn": ssn, "secret": secret, "key": token, "password": F.concat(_like(canon, num), more("0", 8)), "phone": phone, "given": given, "mac": mac, "jwt": jwt, "private": private_key}
     return reduce(lambda w, k: w.when(kind == k, forms[k]), list(forms)[1:], F.when(kind == "email", email)).otherwise(F.concat(_like(canon, num), more(letter, 4)))
 
 
@@ -226,10 +252,15 @@ def _fill(mention: Column, digits: Column) -> Column:
 
 
 def _grouped(mention: Column, flat: Column) -> Column:
-    """flat with the blanks of mention."""
+    """flat with the blanks of mention; more characters go to the end."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
     step = lambda a, c: F.struct(F.concat(a.s, F.when(c == " ", c).otherwise(F.substring(flat, a.k, F.lit(1)))).alias("s"), (a.k + (c != " ").cast("int")).alias("k"))
-    return F.aggregate(_chars(mention), start, step, lambda a: a.s)
+    return F.aggregate(_chars(mention), start, step, lambda a: F.concat(a.s, F.substring(flat, a.k, F.length(flat))))
+
+
+def _paired(mention: Column, flat: Column) -> Column:
+    """flat with the sign of mention between pairs of digits."""
+    return F.call_function("array_join", F.regexp_extract_all(flat, F.lit("..?"), F.lit(0)), F.substring(mention, 3, 1))
 
 
 def _upper(s: Column) -> Column:
@@ -248,10 +279,10 @@ def written(kind: Column, mention: Column, new: Column) -> Column:
     words = _name_words(mention)
     # a given name is one word with one capital, whatever the old one looked like
     name = F.when(F.size(words) > 1, F.concat(_cased(words[0], F.when(_upper(words[0]) & (F.length(words[0]) > 1), F.substring(one, F.lit(3), F.length(one))).otherwise(F.initcap(F.substring(one, F.lit(3), F.length(one))))), F.lit(" "), _cased(words[1], new[1]))).otherwise(_cased(words[0], one))
-    person = F.concat(F.regexp_extract(mention, f"^{_BEFORE}", 0), name)
+    person = F.concat(F.regexp_extract(mention, f"^{_LEAD}", 0), name)
     value = _value(mention)
     password = F.concat(F.substring(mention, F.lit(1), F.length(mention) - F.length(value)), F.when(_upper(value) & value.rlike(f"^{_HEX}$"), F.upper(one)).otherwise(one))
-    shown = F.when(kind.isin("phone", "card", "ssn"), _fill(mention, one)).when(kind == "iban", _grouped(mention, one)).when(kind == "person", person).when(kind == "password", password)
+    shown = F.when(kind.isin("phone", "card", "ssn"), _fill(mention, F.ltrim(one, F.lit("+")))).when(kind.isin("jwt", "private"), one).when(kind == "mac", _paired(mention, F.when(mention.rlike("[A-F]"), F.upper(one)).otherwise(one))).when(kind == "iban", _grouped(mention, one)).when(kind == "person", person).when(kind == "password", password)
     return shown.when(kind == "key", one).when(_upper(mention), F.upper(one)).otherwise(one)
 
 

@@ -11,7 +11,7 @@ from sigloom.llm import pii
 
 @pytest.fixture(scope="module")
 def told(spark):
-    texts = ["Mrs Żądło met Herr Şimşek", "Mr Źł, Г-н Її and Mr Աբգ", "Mr John Smith came. John Smith and Smith left, John too; Smithson, smith and Johnny stay", "John Smith is not known here"]
+    texts = ["Mrs Żądło met Herr Şimşek", "Mr Źł, Г-н Її and Mr Աբգ", "Mr John Smith came. John Smith and Smith left, John too; Smithson, smith and Johnny stay", "Tell Smith that John is not known here", "John Smith wrote this"]
     rows = pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     return {r.doc_id: (r.text, r.n_pii) for r in rows}
 
@@ -32,4 +32,16 @@ def test_persons_named_again_without_title(told):
     first, last = re.match(r"Mr (\w+) (\w+) came", text).groups()
     assert (first, last) != ("John", "Smith") and last != "Smith"
     assert text == f"Mr {first} {last} came. {first} {last} and {last} left, {first} too; Smithson, smith and Johnny stay" and n == 4
-    assert told[3] == ("John Smith is not known here", 0)
+    assert told[3] == ("Tell Smith that John is not known here", 0)
+    assert told[4] == (f"{first} {last} wrote this", 1)  # a listed given name and a surname, the same person
+
+
+def test_introduced_persons(spark):
+    texts = ["My name is Anna Kowalska and I live here", "Dear Anna, hello", "Contact Zbigniew Nowak at once. Nowak knows", "Dear Customer, contact Support or Sales", "je m'appelle Zoé Dupond", "Mein Name ist Uwe Kranz"]
+    out = {r.doc_id: (r.text, r.n_pii) for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    first, last = re.fullmatch(r"My name is ([A-Z]\w+) ([A-Z]\w+) and I live here", out[0][0]).groups()
+    assert first in pii.NAMES["f", "latin"] and last != "Kowalska"
+    assert re.fullmatch(r"Dear [A-Z]\w+, hello", out[1][0]) and "Anna" not in out[1][0]
+    assert re.fullmatch(r"Contact ([A-Z]\w+) ([A-Z]\w+) at once. \2 knows", out[2][0]) and "Nowak" not in out[2][0]
+    assert out[3] == (texts[3], 0)
+    assert "Zoé" not in out[4][0] and "Dupond" not in out[4][0] and "Kranz" not in out[5][0]
