@@ -4,7 +4,7 @@ A gear hash runs over the text's UTF-8 bytes; a chunk ends where masked bits of
 few bytes before them and move with the text when something is put in or taken out elsewhere. Sizes are normalised: no
 boundary before LEAST bytes, a rare one (STRICT) up to NORMAL bytes, an easy one (LOOSE) after it, a forced one at MOST.
 The hash is the sum of the last 16 bytes' gears, each shifted by its distance, in 16 bits; it does not start anew at a
-boundary, so chunks fall in step again within two or three chunks after an edit, and all places are hashed at once.
+boundary, so chunks fall in step again soon after an edit (about 65 bytes of a text are lost to one that puts words in), and all places are hashed at once.
 
 A fingerprint is the set of the distinct chunks' digests (48 bits), each with a weight: the bytes that it covers in the
 text. As a string it is one row of 20 hexadecimal digits a chunk (12 of the digest, 8 of the weight), in order of
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from sigloom.llm._common import identified, read_table
 
-LEAST, NORMAL, MOST = 16, 32, 128
-STRICT, LOOSE = 0xFE00, 0xE000
+LEAST, NORMAL, MOST = 12, 32, 128
+STRICT, LOOSE = 0xF800, 0xF000
 WINDOW = 16
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 16) & 0xFFFF for b in range(256)], np.uint16)
 _BLOCK = 1 << 22

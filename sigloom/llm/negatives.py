@@ -39,7 +39,8 @@ SLICES = 16
 GROUP = 4096
 _STEP = 512
 _LONG = (1 << 63) - 1
-_FOUND = "rid long, nth int, id long, score long, low string"
+_FOUND = "rid long, nth int, id long, score long, exact string"
+_ZERO = 1 << 200
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -86,6 +87,9 @@ def exact(anchors: np.ndarray, vectors: np.ndarray, kind: type | None) -> np.nda
     return np.einsum("ij,ij->i", anchors.astype(np.int64), vectors.astype(np.int64))
 
 
+# `exact` is a score that may pass a long, as text of one length that sorts like it
+
+
 class Best:
     """The best `keep` (score, then smaller id) for each of n places."""
 
@@ -127,7 +131,7 @@ class Anchors:
             self.most = np.full((len(rows), self.wide), _LOWEST, object)
             for k, r in enumerate(rows):
                 for p, score in r[3]:
-                    self.most[k, p - 1] = int(score)
+                    self.most[k, p - 1] = int(score, 16) - _ZERO
             self.least = np.where(self.most == _LOWEST, 0, -(-floor * self.most // 100)).astype(object)
             self.some = self.most != _LOWEST
         else:
@@ -183,7 +187,7 @@ class Anchors:
 
     def found(self) -> Iterator[tuple]:
         for at, score, k in zip(self.best.at.tolist(), self.best.score.tolist(), self.best.id.tolist(), strict=True):
-            yield int(self.rid[at // self.wide]), at % self.wide + 1, k, min(max(score, -_LONG - 1), _LONG), str(score)
+            yield int(self.rid[at // self.wide]), at % self.wide + 1, k, min(max(score, -_LONG - 1), _LONG), f"{score + _ZERO:051x}"
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +264,7 @@ def _searched(anchors: DataFrame, blocks: DataFrame, groups: int, keep: int, flo
 
 def _merged(found: DataFrame, keep: int) -> DataFrame:
     """(rid, nth, rank, id, score) of the best over all slices."""
-    order = [F.col("low").cast("decimal(38,0)").desc(), F.col("id")]
+    order = [F.col("exact").desc(), F.col("id")]
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("rid", "nth").orderBy(*order))).where(F.col("rank") <= keep)
 
 
@@ -276,9 +280,9 @@ def hard_negatives(rows: DataFrame, positives: int = 5, negatives: int = 5, floo
     blocks = held.select("rid", "id", "label", "c").mapInArrow(_blobs, "first long, rows binary")
     anchors = held.where("anchor").select("rid", "label", "c")
     groups = max(1, -(-anchors.count() // group))
-    kind = "array<struct<nth:int,score:decimal(38,0)>>"
+    kind = "array<struct<nth:int,score:string>>"
     first = _searched(anchors.withColumn("windows", F.lit(None).cast(kind)), blocks, groups, positives, floor)
-    best = materialize(_merged(first, positives).select("rid", "rank", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"), F.col("low").cast("decimal(38,0)").alias("exact")), "positives")
+    best = materialize(_merged(first, positives).select("rid", "rank", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"), "exact"), "positives")
     windows = best.groupBy("rid").agg(F.collect_list(F.struct(F.col("rank").alias("nth"), F.col("exact").alias("score"))).alias("windows"))
     second = _searched(anchors.join(windows, "rid").select("rid", "label", "c", "windows"), blocks, groups, negatives, floor)
     found = _merged(second, negatives).select("rid", F.col("nth").alias("_nth"), F.col("rank").alias("_rank"), F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
