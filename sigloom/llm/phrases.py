@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,6 +72,7 @@ class Chunk:
         self.vocabulary: list[bytes] = coded.dictionary.to_pylist()
         self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.lang, self.hashes = lang, _word_hashes(self.vocabulary)
+        self.words = pa.array([w.decode("utf-8", "replace") for w in self.vocabulary], pa.string())
         self.word = np.array([w != _BREAK for w in self.vocabulary], bool)
 
     def places(self, k: int, bitmaps: list[np.ndarray]) -> np.ndarray:
@@ -92,23 +94,30 @@ class Chunk:
             at, h = at[go], h[go]
         return at
 
-    def counts(self, k: int, bitmaps: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
+    def counts(self, k: int, bitmaps: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
         """The phrases of k words at these places, and how often each is there."""
-        at = self.places(k, bitmaps)
-        if not len(at):
-            return [], np.zeros(0, np.int64)
-        used, code = np.unique(self.ids[at], return_inverse=True)
-        size = len(used)
+        at, many = self.places(k, bitmaps), max(1, len(self.vocabulary))
+        code, size, short = self.ids[at], many, {}
         for j in range(1, k):
-            used, last = np.unique(self.ids[at + j], return_inverse=True)
-            if size * len(used) >= 1 << 62:
-                _, code = np.unique(code, return_inverse=True)
-                size = int(code.max()) + 1
-            code, size = code * len(used) + last, size * len(used)
-        _, first, n = np.unique(code, return_index=True, return_counts=True)
-        words = self.vocabulary
-        rows = [self.ids[at[first] + j].tolist() for j in range(k)]
-        return [b" ".join(words[i] for i in row).decode("utf-8", "replace") for row in zip(*rows, strict=True)], n
+            if size > (1 << 62) // many:  # numbers get too long: the phrases so far are numbered anew
+                short[j], _ = _distinct(code)
+                code, size = np.searchsorted(short[j], code), len(short[j])
+            code, size = code * many + self.ids[at + j], size * many
+        code, n = _distinct(code)
+        words = []
+        for j in range(k - 1, 0, -1):
+            code, last = np.divmod(code, many)
+            code = short[j][code] if j in short else code
+            words.append(last)
+        each = [self.words.take(pa.array(w)) for w in (code, *reversed(words))]
+        return (pc.binary_join_element_wise(*each, " ") if k > 1 else each[0]), n
+
+
+def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each is there."""
+    code = np.sort(code)
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.diff(np.r_[first, len(code)])
 
 
 def _holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -123,12 +132,11 @@ def _counted(k: int, bitmaps: list[Broadcast], limit: int):
             chunk = Chunk(lang, texts)
             found, n = chunk.counts(k, [b.value for b in bitmaps])
             if k == 1:
-                found, n = [*found, None], np.append(n, n.sum())
-            langs.append(pa.array([lang], pa.string()).take(pa.array(np.zeros(len(found), np.int64))))
-            phrases += found
+                found, n = pa.concat_arrays([found, pa.array([None], pa.string())]), np.append(n, n.sum())
+            langs.append(pa.repeat(pa.scalar(lang, pa.string()), len(found)))
+            phrases.append(found)
             counts.append(n)
-        n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(langs) if langs else pa.array([], pa.string()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(langs), pa.concat_arrays(phrases), pa.array(np.concatenate(counts), pa.int64())], names=["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per: dict[str, list[bytes]] = {}
