@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sigloom.functions.scalars import flag, suspicious_names, to_number
 from sigloom.plans.protocol import Source
 from sigloom.schema import ORD, with_order
+from sigloom.storage import materialize
 
 SEPARATOR = "__"
 #: How columns are named.
@@ -96,18 +97,20 @@ def wide_raw(raw: DataFrame, sources: list[Source], features: list[str], keys: l
 def wide_derived(derived: DataFrame, keys: list[str], prefix: str, operations: list[str] | None = None, valid_only: bool = True, table: str = "derived", template: str = TEMPLATES["ecg_derived_template"]) -> tuple[DataFrame, list[dict]]:
     """One column per operation, formula and feature that has a value on any date, and the catalog of them.
 
-    The names come from one pass over the distinct operations; there are as many as the protocol has features.
+    The names come from one pass over the distinct operations; there are as many as the protocol has features. The rows
+    are written once, so that the plan that makes them does not run for the names and again for the values.
     """
+    names = ["operation_id", "operation_type", "formula", "base_formula", "formula_key", "feature"]
     rows = _ordered(derived)
     if operations:
         rows = rows.where(F.col("operation_id").isin(operations))
     ok = flag(F.col("valid")) if valid_only else F.lit(True)
-    rows = rows.withColumn("formula_key", formula_key(F.col("formula"), F.col("base_formula")))
-    names = ["operation_id", "operation_type", "formula", "base_formula", "formula_key", "feature"]
-    found = sorted(rows.where(ok & F.col("value").isNotNull()).select(*names).distinct().collect(), key=lambda r: tuple(map(str, r)))
+    rows = rows.withColumn("formula_key", formula_key(F.col("formula"), F.col("base_formula"))).where(ok).select(*keys, "date", *names, "value", ORD)
+    rows = materialize(rows, "derived")
+    found = sorted(rows.where(F.col("value").isNotNull()).select(*names).distinct().collect(), key=lambda r: tuple(map(str, r)))
     catalog = [{"column": template.format(prefix=prefix, operation_id=r.operation_id, formula_key=r.formula_key, feature=r.feature), "role": "input", "source_table": table, "feature_family": family(r.feature), **r.asDict()} for r in found]
     rows = rows.withColumn("_column", templated(template, {"prefix": F.lit(prefix)} | {c: F.col(c) for c in ("operation_id", "formula_key", "feature")}))
-    grouped = rows.where(ok).groupBy(*keys, "date").pivot("_column", list(dict.fromkeys(c["column"] for c in catalog))).agg(first_value(F.col("value")))
+    grouped = rows.groupBy(*keys, "date").pivot("_column", list(dict.fromkeys(c["column"] for c in catalog))).agg(first_value(F.col("value")))
     return grouped, catalog
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions.formulas import baseline_formula, pairwise_formula
-from sigloom.schema import ORD, day_number, derived_row, iso
+from sigloom.schema import ORD, day_number, derived_row, iso, with_order
 
 AGGREGATIONS = {
     "sum": F.sum,
@@ -64,8 +64,7 @@ def _with(found: DataFrame, lost: DataFrame | None) -> DataFrame:
 
 def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """The first row of each entity and date."""
-    if ORD not in df.columns:
-        df = df.withColumn(ORD, F.monotonically_increasing_id())
+    df = df if ORD in df.columns else with_order(df)
     rank = F.row_number().over(Window.partitionBy(*keys, "date").orderBy(ORD))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
@@ -314,8 +313,7 @@ def source_baseline(
     keys = keys or []
     days, least = int(profile["window_days"]), int(profile["min_periods"])
     frame = trailing(keys, days, include_current)
-    if ORD not in df.columns:
-        df = df.withColumn(ORD, F.monotonically_increasing_id())
+    df = df if ORD in df.columns else with_order(df)
     known = [f for f in features if f in df.columns]
     why = quality or (lambda feature, row: F.lit(""))
     if known:

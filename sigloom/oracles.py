@@ -393,5 +393,14 @@ def oracle_sql() -> dict[str, str]:
         "event_windows": f"SELECT event_type, {_TIME_TEXT.format('w')} AS start, {_TIME_TEXT.format('w + INTERVAL 6 HOURS')} AS \"end\", {_EVENT_AGG} FROM (SELECT *, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS w FROM events) GROUP BY event_type, w",
         "event_sessions": f"""WITH s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events))
             SELECT user_id, {_TIME_TEXT.format('min(ts)')} AS start, {_TIME_TEXT.format('max(ts) + INTERVAL 6 HOURS')} AS "end", {_EVENT_AGG} FROM s GROUP BY user_id, k""",
+        "suspicious_near_edges": f"WITH {_SUSPECT}, e AS (SELECT *, round(t - min(t) OVER w, 3) AS since, round(max(t) OVER w - min(t) OVER w, 3) AS total FROM sus WINDOW w AS (PARTITION BY user_id)) SELECT user_id, event_id, suspicious OR since < 24 OR since >= total - 24 AS suspicious FROM e",
+        "exact_quantiles": "SELECT event_type, " + ", ".join(f"{r(f'quantile_cont(value, {q})')} AS {n}" for n, q in (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p95", 0.95))) + " FROM events GROUP BY 1",
+        "redundancy_of_days": f"WITH {DAILY}, p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_Q(a)} AS x, {_Q(b)} AS y FROM daily WHERE {_Q(a)} IS NOT NULL AND {_Q(b)} IS NOT NULL" for a in TYPES for b in TYPES if a < b) + f") SELECT a, b, n, {r('rho')} AS rho FROM {_rho('p', 'a, b')} WHERE rho IS NOT NULL",
+        "feature_rules_met": f"""WITH {RAW}, x AS (SELECT hrv_mean, morph_n, CASE WHEN hrv_validated THEN hrv_max END AS hrv_max, CASE WHEN morph_n > 1 THEN hrv_mean END AS often_gone FROM raw)
+            SELECT col AS "column", {r('1 - n_valid / n_total')} AS missing_ratio, n_unique FROM {_summary('x', {c: c for c in ('hrv_mean', 'hrv_max', 'morph_n', 'often_gone')})} WHERE 1 - n_valid / n_total <= 0.5 AND n_unique >= 4""",
+        "templated_names": f"WITH {RAW} SELECT user_id, {iso()} AS date, " + ", ".join(f"{r(f'max(CASE WHEN phase = {chr(39)}{t}{chr(39)} AND coalesce(hrv_validated, FALSE) THEN hrv_mean END)')} AS hrv_mean_{t}_sit" for t in TYPES[:3]) + " FROM raw GROUP BY user_id, date",
     }
+    out["spearman_by_parts"] = out["spearman"]
+    out["stability_by_parts"] = out["direction_stability"]
+    out["report_top"] = f"SELECT * FROM ({out['report_derived_operations']}) ORDER BY \"table\", operation_id, formula LIMIT 1"
     return out

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import scalars
 from sigloom.functions.computed import with_computed
-from sigloom.operators import analysis, dataset, derived, hrv, quality, reports, segments
+from sigloom.operators import analysis, dataset, derived, hrv, quality, ranks, reports, segments
 from sigloom.plans.protocol import Source
 from sigloom.schema import DERIVED_COLUMNS
 from sigloom.ship import ship
@@ -558,9 +558,8 @@ FEATURES = ["click", "purchase", "signup"]
 ROW = ["user_id", "date"]
 
 
-def _pairs(spark, d, users=None):
-    df = daily(spark, d)
-    return analysis.pairs(df if users is None else df.where(F.col("user_id") < users), ROW, ["view", "error"], FEATURES)
+def _pairs(spark, d):
+    return analysis.pairs(daily(spark, d), ROW, ["view", "error"], FEATURES)
 
 
 @query
@@ -568,6 +567,12 @@ def spearman(spark, d):
     return rounded(analysis.spearman(_pairs(spark, d)))
 
 
+@query
+def spearman_by_parts(spark, d):
+    """The same with parts of 500 distinct values, as large tables have them: no task orders a pair."""
+    return rounded(analysis.spearman(_pairs(spark, d), part=500))
+
+
 def _by_user(spark, d):
     """One row a user: what stability and ranks are made for is tens to thousands of rows."""
     per = daily(spark, d).groupBy("user_id").agg(*[F.avg(t).alias(t) for t in TYPES])
@@ -579,6 +584,25 @@ def direction_stability(spark, d):
     return rounded(analysis.direction_stability(analysis.pairs(_by_user(spark, d), ["user_id"], ["view"], FEATURES)))
 
 
+@query
+def stability_by_parts(spark, d):
+    return rounded(analysis.direction_stability(analysis.pairs(_by_user(spark, d), ["user_id"], ["view"], FEATURES), part=10))
+
+
+@query
+def redundancy_of_days(spark, d):
+    """Features that are there on different rows each: ranked pair by pair, by parts."""
+    return rounded(analysis.redundancy(daily(spark, d), ROW, TYPES, 0.0, part=500))
+
+
+@query
+def exact_quantiles(spark, d):
+    """Quantiles of each kind of event, bracketed and then exact."""
+    e = table(spark, d, "events").select("event_type", F.col("value").cast("double").alias("v"))
+    q = ranks.exact_quantiles(e, ["event_type"], "v", [0.05, 0.25, 0.5, 0.95])
+    return rounded(q.select("event_type", *[F.col("q")[k].alias(n) for k, n in enumerate(("p05", "p25", "p50", "p95"))]))
+
+
 @query
 def redundancy(spark, d):
     return rounded(analysis.redundancy(_by_user(spark, d), ["user_id"], TYPES, 0.05))
@@ -606,6 +630,37 @@ def feature_rules(spark, d):
     return rounded(analysis.quality_rules(reports.summarize(daily(spark, d), TYPES), 0.5, 4).select("column", "missing_ratio", "n_unique"))
 
 
+@query
+def feature_rules_met(spark, d):
+    """Rules that some columns meet and one does not: the raw table's, of which one is absent half of the time."""
+    r = raw(spark, d).select("hrv_mean", "morph_n", F.when(F.col("hrv_validated"), F.col("hrv_max")).alias("hrv_max"), F.when(F.col("morph_n") > 1, F.col("hrv_mean")).alias("often_gone"))
+    return rounded(analysis.quality_rules(reports.summarize(r, ["hrv_mean", "hrv_max", "morph_n", "often_gone"]), 0.5, 4).select("column", "missing_ratio", "n_unique"))
+
+
+@query
+def suspicious_near_edges(spark, d):
+    """Beats near the start or the end of their record are suspicious as well; hours stand in for seconds."""
+    w = Window.partitionBy(*KEYS)
+    b = beats(spark, d).withColumns({"at": F.col("t") - F.min("t").over(w), "total": F.max("t").over(w) - F.min("t").over(w)})
+    edge = quality.near_edge(F.round("at", 3), F.round("total", 3), 24.0)
+    return quality.suspicious_beats(b, KEYS, BEAT_ORDER, low=1.0, high=40.0, ratio_low=0.7, ratio_high=1.5, edge=edge).select("user_id", "event_id", "suspicious")
+
+
+@query
+def templated_names(spark, d):
+    """A protocol's own templates name the columns of the dataset."""
+    template = "{feature}.{phase}.{recording}"
+    wide, catalog = dataset.wide_raw(raw(spark, d), _sources(), ["hrv_mean"], KEYS, "x", template=template)
+    return rounded(wide.select("user_id", "date", *[F.col(f"`{c['column']}`").alias(c["column"].replace(".", "_")) for c in catalog]))
+
+
+@query
+def report_top(spark, d):
+    """The first rows of a report in the order in which it is written."""
+    report = reports.derived_operations(derived.pairwise_columns(daily(spark, d), PAIRS, ["delta", "ratio"], operation="op", keys=KEYS), "context_derived")
+    return rounded(reports.top(report, "derived_operations", 1))
+
+
 # ---------------------------------------------------------------- windows of event time, recordings
 
 

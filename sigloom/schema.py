@@ -6,6 +6,7 @@ which rows came in; "first" always means the lowest `_ord`.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,22 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def with_order(df: DataFrame, *by: str) -> DataFrame:
-    """df with `_ord`: by the given columns if any, else in the order of the scan."""
+    """df with `_ord`: by the given columns if any, else by the place of each row in its file.
+
+    That is the file's path and the row's number in it (Parquet), or the place of its block and its turn there (other
+    files), so it does not depend on how the files are dealt to tasks, and stays with the row through all that follows.
+    Only tables that come from no file are numbered as they are scanned.
+    """
     if by:
         return df.withColumn(ORD, F.struct(*by))
-    return df.withColumn(ORD, F.monotonically_increasing_id())
+    turn = F.monotonically_increasing_id()  # within a block it rises row by row, whichever task reads it
+    file = F.col("_metadata.file_path").alias("file")
+    for place in (F.struct(file, F.col("_metadata.row_index").alias("row")), F.struct(file, F.col("_metadata.file_block_start").alias("block"), turn.alias("row")), turn):
+        try:
+            return df.withColumn(ORD, place)
+        except AnalysisException:
+            continue
+    raise AssertionError("numbering a table always works")
 
 
 def iso(date: str | Column) -> Column:

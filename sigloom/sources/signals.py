@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.plans.protocol import Protocol
 from sigloom.ship import ship
 from sigloom.signal import hrv, morphology, record
+from sigloom.sources.store import DayStore
 
 PATH = r"(\d{2}\.\d{2}\.\d{4})/([^/]+)/([^/]+)$"
 
@@ -150,7 +150,8 @@ def stored_features(files: DataFrame, protocol: Protocol, path: str, reviews: Da
     """The feature table of planned() files, taken from the store at path where it has them.
 
     A stored recording counts only if it was processed under the same plan and the same reviews; only the others are
-    processed and added.
+    processed and added, all in one commit (sources.store): a run that is killed leaves none of its recordings, and one that
+    meets another run over the same days gets a Conflict.
     """
     spark = files.sparkSession
     key = ["date", "phase", "record_type", "plan_hash"]
@@ -159,13 +160,17 @@ def stored_features(files: DataFrame, protocol: Protocol, path: str, reviews: Da
     said = F.sha2(F.to_json("_reviews"), 256)
     asked = asked.withColumn("plan_hash", F.when(F.col("_reviews").isNull(), F.col("plan_hash")).otherwise(F.concat_ws("/", "plan_hash", said)))
     want = asked.select("date", "phase", F.col("recording").alias("record_type"), "plan_hash")
-    try:
-        have = spark.read.schema(f"{FEATURE_DDL}, plan_hash string").parquet(path).select(*key).distinct()
-        todo = asked.join(have.withColumnRenamed("record_type", "recording"), ["date", "phase", "recording", "plan_hash"], "left_anti")
-    except AnalysisException:  # nothing is stored yet
-        todo = asked
+    store = DayStore(spark, path)
+    known = store.commits()
+    schema = f"{FEATURE_DDL}, plan_hash string"
+    have = store.read(schema, commits=known)
+    todo = asked
+    if have is not None:
+        todo = asked.join(have.select(*key).distinct().withColumnRenamed("record_type", "recording"), ["date", "phase", "recording", "plan_hash"], "left_anti")
     made = extract_features(todo, protocol)
     named = want.distinct()  # one a recording
-    made.join(named, ["date", "phase", "record_type"]).select(*[n for n, _ in FEATURE_FIELDS], "plan_hash").write.mode("append").parquet(path)
-    stored = spark.read.schema(f"{FEATURE_DDL}, plan_hash string").parquet(path)
-    return stored.join(named, key, "left_semi").drop("plan_hash")
+    store.write(made.join(named, ["date", "phase", "record_type"]).select(*[n for n, _ in FEATURE_FIELDS], "plan_hash"), add=True, known=known)
+    stored = store.read(schema)
+    if stored is None:
+        stored = spark.createDataFrame([], schema)
+    return stored.select(*[n for n, _ in FEATURE_FIELDS], "plan_hash").join(named, key, "left_semi").drop("plan_hash")

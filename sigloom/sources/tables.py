@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.scalars import normal_record, normal_segment, with_numbers
 from sigloom.plans.protocol import java_date_format, resolve_path
-from sigloom.schema import ORD, nan_to_null
+from sigloom.schema import nan_to_null, with_order
 
 
 def read_csv(spark: SparkSession, path: str, *, sep: str = ",", encoding: str = "utf-8", schema: str | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def _generated(name: str) -> bool:
 def read_diary(spark: SparkSession, path: str, *, date_column: str = "Date", date_format: str = "%d.%m.%Y", sep: str = ";", text_columns: tuple[str, ...] = ()) -> DataFrame:
     """A diary with decimal commas: numbers are found by sniffing; `date` is added, NULL where it cannot be read."""
     df = with_numbers(read_csv(spark, path, sep=sep), (date_column, *text_columns))
-    return with_date(df, date_column, date_format, "null").withColumn(ORD, F.monotonically_increasing_id())
+    return with_order(with_date(df, date_column, date_format, "null"))
 
 
 def with_date(df: DataFrame, column: str, fmt: str, policy: str = "raise") -> DataFrame:
