@@ -138,6 +138,17 @@ def near_edge(at: Column, total: Column, guard_sec: float = 0.5) -> Column:
     return (at < guard_sec) | (at >= total - guard_sec)
 
 
+def review_outcome(mode: Column, passed: Column, said: Column, gate: Column) -> dict[str, Column]:
+    """status, source and passed of a part of a record: from its gate, the mode of review, and what a reviewer said (null if
+    nothing yet). The same rule as signal.record.decided(), over rows."""
+    human = ~mode.isin("auto", "none") & ~((mode == "bad_only") & passed)
+    return {
+        "status": F.when(said.isNotNull(), said).when(human, "pending").when(passed, "accepted").otherwise("skipped"),
+        "source": F.when(said == "accepted", "manual").when(said.isNotNull(), "manual_skipped").when(human, "manual").otherwise("auto"),
+        "passed": F.when(said.isNotNull(), (said == "accepted") & F.coalesce(gate, F.lit(True))).otherwise(passed),
+    }
+
+
 def hrv_validated(status: str = "hrv_review_status", gate: str = "hrv_qc_passed") -> Column:
     """Accepted, and the gate passed if there was one."""
     return F.coalesce(F.col(status) == "accepted", F.lit(False)) & F.coalesce(F.col(gate), F.lit(True))

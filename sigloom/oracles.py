@@ -211,6 +211,22 @@ _SUSPECT = f"""{BEATS}, m AS (SELECT *, CASE WHEN rr IS NOT NULL THEN quantile_c
 o AS (SELECT *, coalesce(rr < 1.0 OR rr > 40.0, FALSE) AS bad_rr, coalesce(local_median > 1e-9 AND (rr < 0.7 * local_median OR rr > 1.5 * local_median), FALSE) AS rr_outlier FROM m),
 sus AS (SELECT *, bad_rr OR rr_outlier OR coalesce(lead(bad_rr OR rr_outlier) OVER (PARTITION BY user_id ORDER BY t, event_id), FALSE) AS suspicious FROM o)"""
 
+_WELCH = f"""WITH {BEATS}, s AS (SELECT user_id, rr, row_number() OVER w AS i, sum(rr) OVER w - first_value(rr) OVER w AS a, count(*) OVER (PARTITION BY user_id) AS n FROM beats WHERE rr IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)),
+line AS (SELECT user_id, n, a, rr AS x, lead(a) OVER w AS b, lead(rr) OVER w AS y FROM s WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+grid AS (SELECT user_id, g, x + (y - x) / (b - a) * (g / 4.0 - a) AS v FROM (SELECT *, unnest(generate_series(CAST(ceil(a * 4) AS BIGINT), CAST(ceil(b * 4) AS BIGINT) - 1)) AS g FROM line WHERE b > a AND n >= 4)),
+z AS (SELECT user_id, g, v - avg(v) OVER w AS v, count(*) OVER w AS size, least(count(*) OVER w, 256) AS m FROM grid WINDOW w AS (PARTITION BY user_id)),
+h AS (SELECT *, greatest(1, m - m // 2) AS hop FROM z WHERE size >= 16),
+part AS (SELECT user_id, m, p, g - p * hop AS j, v FROM (SELECT *, unnest(generate_series(greatest(0, CAST(ceil((g - m + 1) / hop) AS BIGINT)), least(g // hop, (size - m) // hop))) AS p FROM h)),
+c AS (SELECT user_id, m, p, j, (v - avg(v) OVER (PARTITION BY user_id, p)) * (0.5 - 0.5 * cos(2 * pi() * j / m)) AS y FROM part),
+f AS (SELECT user_id, m, p, k, sum(y * cos(2 * pi() * k * j / m)) AS re, sum(y * sin(2 * pi() * k * j / m)) AS im FROM (SELECT *, unnest(generate_series(0, least(m // 2, CAST(ceil(m / 10) AS BIGINT)))) AS k FROM c) GROUP BY 1, 2, 3, 4),
+d AS (SELECT user_id, k * 4.0 / m AS f, avg(re * re + im * im) / (4.0 * 0.375 * m) * CASE WHEN k = 0 OR 2 * k = m THEN 1 ELSE 2 END AS p FROM f GROUP BY user_id, m, k),
+band AS (SELECT * FROM (VALUES ('VLF', 0.0033, 0.04), ('LF', 0.04, 0.15), ('HF', 0.15, 0.40), ('Total', 0.0033, 0.40)) AS b(band, lo, hi)),
+inside AS (SELECT user_id, band, f, p, lead(f) OVER w AS f2, lead(p) OVER w AS p2 FROM d JOIN band ON f >= lo AND f < hi WINDOW w AS (PARTITION BY user_id, band ORDER BY f)),
+per AS (SELECT user_id, band, sum((p + p2) / 2 * (f2 - f)) AS power, arg_max(f, p) AS peak FROM inside GROUP BY 1, 2),
+wide AS (SELECT user_id, {", ".join(f"max(CASE WHEN band = '{b}' THEN {c} END) AS {b}_{c}" for b in ("VLF", "LF", "HF", "Total") for c in ("power", "peak"))} FROM per GROUP BY 1)
+SELECT u.user_id, {", ".join(f"{r(f'{b}_power')} AS {b}_power" for b in ("VLF", "LF", "HF", "Total"))}, {r("CASE WHEN HF_power > 1e-12 THEN LF_power / HF_power END")} AS LF_HF_ratio, {r("CASE WHEN LF_power + HF_power > 1e-12 THEN 100 * LF_power / (LF_power + HF_power) END")} AS LF_nu,
+{r("CASE WHEN LF_power + HF_power > 1e-12 THEN 100 * HF_power / (LF_power + HF_power) END")} AS HF_nu, {r("LF_peak")} AS LF_peak_Hz, {r("HF_peak")} AS HF_peak_Hz FROM (SELECT DISTINCT user_id FROM s) u LEFT JOIN wide USING (user_id)"""
+
 _STATS = "count(*) AS n_total, count(v) AS n_valid, count(DISTINCT v) AS n_unique, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_samp(v) AS std, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, min(v) AS min, max(v) AS max"
 _STAT_COLUMNS = f"n_total, n_valid, {r('n_valid / n_total')} AS valid_ratio, n_total - n_valid AS n_missing, {r('1 - n_valid / n_total')} AS missing_ratio, n_unique, " + ", ".join(f"{r(c)} AS {c}" for c in ("mean", "median", "std", "iqr", "min", "max"))
 
@@ -393,6 +409,11 @@ def oracle_sql() -> dict[str, str]:
         "event_windows": f"SELECT event_type, {_TIME_TEXT.format('w')} AS start, {_TIME_TEXT.format('w + INTERVAL 6 HOURS')} AS \"end\", {_EVENT_AGG} FROM (SELECT *, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS w FROM events) GROUP BY event_type, w",
         "event_sessions": f"""WITH s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events))
             SELECT user_id, {_TIME_TEXT.format('min(ts)')} AS start, {_TIME_TEXT.format('max(ts) + INTERVAL 6 HOURS')} AS "end", {_EVENT_AGG} FROM s GROUP BY user_id, k""",
+        "rr_frequency": _WELCH,
+        "review_outcomes": """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'manual' WHEN 2 THEN 'bad_only' ELSE 'none' END AS mode, value > 40 AS passed, CASE WHEN event_id % 5 = 0 THEN 'accepted' WHEN event_id % 5 = 1 THEN 'skipped' END AS said, CASE WHEN event_id % 3 <> 0 THEN event_id % 2 = 0 END AS gate FROM events),
+            o AS (SELECT *, mode NOT IN ('auto', 'none') AND NOT (mode = 'bad_only' AND passed) AS human FROM e)
+            SELECT event_id, CASE WHEN said IS NOT NULL THEN said WHEN human THEN 'pending' WHEN passed THEN 'accepted' ELSE 'skipped' END AS status, CASE WHEN said = 'accepted' OR said IS NULL AND human THEN 'manual' WHEN said IS NOT NULL THEN 'manual_skipped' ELSE 'auto' END AS source,
+            CASE WHEN said IS NOT NULL THEN said = 'accepted' AND coalesce(gate, TRUE) ELSE passed END AS passed FROM o""",
         "suspicious_near_edges": f"WITH {_SUSPECT}, e AS (SELECT *, round(t - min(t) OVER w, 3) AS since, round(max(t) OVER w - min(t) OVER w, 3) AS total FROM sus WINDOW w AS (PARTITION BY user_id)) SELECT user_id, event_id, suspicious OR since < 24 OR since >= total - 24 AS suspicious FROM e",
         "exact_quantiles": "SELECT event_type, " + ", ".join(f"{r(f'quantile_cont(value, {q})')} AS {n}" for n, q in (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p95", 0.95))) + " FROM events GROUP BY 1",
         "redundancy_of_days": f"WITH {DAILY}, p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_Q(a)} AS x, {_Q(b)} AS y FROM daily WHERE {_Q(a)} IS NOT NULL AND {_Q(b)} IS NOT NULL" for a in TYPES for b in TYPES if a < b) + f") SELECT a, b, n, {r('rho')} AS rho FROM {_rho('p', 'a, b')} WHERE rho IS NOT NULL",

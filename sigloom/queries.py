@@ -646,6 +646,15 @@ def suspicious_near_edges(spark, d):
     return quality.suspicious_beats(b, KEYS, BEAT_ORDER, low=1.0, high=40.0, ratio_low=0.7, ratio_high=1.5, edge=edge).select("user_id", "event_id", "suspicious")
 
 
+@query
+def review_outcomes(spark, d):
+    """What the modes of review make of gates and reviewers' words."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    mode = F.when(k % 4 == 0, "auto").when(k % 4 == 1, "manual").when(k % 4 == 2, "bad_only").otherwise("none")
+    said, gate = F.when(k % 5 == 0, "accepted").when(k % 5 == 1, "skipped"), F.when(k % 3 != 0, k % 2 == 0)
+    return e.select("event_id", *[c.alias(n) for n, c in quality.review_outcome(mode, F.col("value") > 40, said, gate).items()])
+
+
 @query
 def templated_names(spark, d):
     """A protocol's own templates name the columns of the dataset."""

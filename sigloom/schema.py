@@ -6,7 +6,6 @@ which rows came in; "first" always means the lowest `_ord`.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +49,21 @@ def with_order(df: DataFrame, *by: str) -> DataFrame:
     """
     if by:
         return df.withColumn(ORD, F.struct(*by))
+    known = file_metadata(df)
     turn = F.monotonically_increasing_id()  # within a block it rises row by row, whichever task reads it
-    file = F.col("_metadata.file_path").alias("file")
-    for place in (F.struct(file, F.col("_metadata.row_index").alias("row")), F.struct(file, F.col("_metadata.file_block_start").alias("block"), turn.alias("row")), turn):
-        try:
-            return df.withColumn(ORD, place)
-        except AnalysisException:
-            continue
-    raise AssertionError("numbering a table always works")
+    if "row_index" in known:
+        return df.withColumn(ORD, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    if "file_block_start" in known:
+        return df.withColumn(ORD, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), turn.alias("row")))
+    return df.withColumn(ORD, turn)
+
+
+def file_metadata(df: DataFrame) -> str:
+    """The type of what Spark knows of the files that the rows of df come from; empty where they come from none, or from
+    more tables than one."""
+    found = df._jdf.queryExecution().analyzed().metadataOutput()
+    kinds = [found.apply(k).dataType().catalogString() for k in range(found.size()) if found.apply(k).name() == "_metadata"]
+    return kinds[0] if len(kinds) == 1 else ""
 
 
 def iso(date: str | Column) -> Column:

@@ -83,3 +83,14 @@ def test_derived_rows_are_made_once(spark):
     rows = spark.createDataFrame([(f"2026-01-0{k}", "op", "t", f, "delta", None, float(k), True) for k in range(1, 6) for f in ("a", "b")], schema)
     wide, catalog = dataset.wide_derived(rows.mapInArrow(count, schema), [], "der")
     assert len(wide.collect()) == 5 and len(catalog) == 2 and seen.value == 10
+
+
+def test_review_outcomes_over_rows(spark):
+    """The rule over rows is that of one record."""
+    from sigloom.operators import quality
+    from sigloom.signal import record
+
+    rows = [(m, p, s, g) for m in ("auto", "none", "manual", "bad_only", "odd") for p in (True, False) for s in (None, "accepted", "skipped") for g in (None, True, False)]
+    df = spark.createDataFrame(rows, "m string, p boolean, s string, g boolean")
+    out = df.select("*", *[c.alias(n) for n, c in quality.review_outcome(*map(F.col, "mpsg")).items()]).collect()
+    assert all((r.status, r.source, r.passed) == record.decided(r.m, r.p, r.s, r.g) for r in out) and len(out) == len(rows)
