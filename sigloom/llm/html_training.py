@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import random
+from collections.abc import Callable, Iterator
 
 from sigloom.llm.html_blocks import Block, blocks
 
@@ -185,13 +186,70 @@ class Maker:
         return f"<!DOCTYPE html><html{self.layout() if r.random() < 0.2 else ''}><head><title>{self.words(1, 6)}</title><style>p{{margin:0}}</style></head><body{self.layout()}>{whole}" + ("</body></html>" if r.random() < 0.9 else "")
 
 
+    # pages from before there were names for parts
+
+    def bare(self) -> str:
+        """Text and line breaks in a body, without an element that would hold a block."""
+        r, cut = self.r, self.r.choice(["<br>", "<br><br>", "<br/>\n", "<hr>"])
+        self.mark = MARK
+        lines = [self.inline(self.prose()) for _ in range(r.choice([1, 1, 2, 3, 6]))]
+        if r.random() < 0.4:
+            lines.insert(0, r.choice(["<b>%s</b>", "<font size='5'>%s</font>", "%s"]) % self.words(2, 8))
+        self.mark = ""
+        if r.random() < 0.3:
+            lines.insert(0, self.links(2, 6))
+        if r.random() < 0.4:
+            lines.append(r.choice([f"&copy; {self.word()} 2004", self.links(2, 5)]))
+        head = f"<head><title>{self.words(1, 6)}</title></head>" if r.random() < 0.7 else ""
+        return f"<html>{head}<body>{cut.join(lines)}</body></html>" if r.random() < 0.8 else cut.join(lines)
+
+    def links(self, lo: int, hi: int) -> str:
+        return self.r.choice([" | ", " ", " - ", "<br>"]).join(f"<a href='/{self.word()}'>{self.words(1, 2)}</a>" for _ in range(self.r.randint(lo, hi)))
+
+    def table(self) -> str:
+        """Rows and cells lay the page out: a name on top, links beside the text, who owns it below."""
+        r, cell = self.r, lambda x: f"<td{self.r.choice(['', ' valign=top', ' width=20%'])}>{x}</td>"
+        body = self.article()
+        if r.random() < 0.5:
+            self.mark = MARK
+            body = r.choice(["<br>", "<br><br>", "<p>"]).join(self.inline(self.prose()) for _ in range(r.choice([1, 2, 3, 6])))
+            self.mark = ""
+        row = [cell(body)]
+        if r.random() < 0.8:
+            row.insert(r.choice([0, 0, 1]), cell(self.links(1, 9)))
+        if r.random() < 0.2:
+            row.append(cell(r.choice([self.line(), self.links(1, 4)])))
+        rows = ["".join(row)]
+        if r.random() < 0.5:
+            rows.insert(0, cell(r.choice([self.words(1, 4), self.links(2, 6), f"<img src='logo.gif'>{self.words(1, 3)}"])))
+        if r.random() < 0.7:
+            rows.append(cell(r.choice([f"&copy; 2003 {self.words(1, 4)}", f"Copyright {self.words(1, 4)}", self.links(2, 5), f"<small>{self.line()}</small>"])))
+        return f"<html><head><title>{self.words(1, 6)}</title></head><body><table width='100%'>" + "".join(f"<tr>{x}</tr>" for x in rows) + "</table></body></html>"
+
+
+#: Of the pages, the share of more that are bare or laid out by tables.
+OLD_SHARE = 0.15
+
+
 def labelled_pages(pages: int, seed: int) -> list[tuple[list[Block], list[int]]]:
-    """(blocks, 1 for each block of the article) of as many pages."""
-    maker, out = Maker(seed), []
-    while len(out) < pages:
-        row = [b for b in blocks(maker.page()) if not b.hidden]
-        if row:
-            labels = [int(MARK in b.text) for b in row]
-            row = [b._replace(text=b.text.replace(MARK, "") or "-", linked=b.linked - b.text.count(MARK) * (b.linked > 0)) for b in row]
-            out.append(([b._replace(linked=max(0, min(b.linked, len(b.text)))) for b in row], labels))
-    return out
+    """(blocks, 1 for each block of the article) of as many pages, and of OLD_SHARE more in old layouts."""
+    out = [x for x in map(_labelled, _made(Maker(seed), Maker.page, pages)) if x]
+    old = Maker(seed + 1)
+    many = int(pages * OLD_SHARE / 2)
+    return out + [x for make in (Maker.bare, Maker.table) for x in map(_labelled, _made(old, make, many)) if x]
+
+
+def _made(maker: Maker, make: Callable[[Maker], str], n: int) -> Iterator[str]:
+    """n pages that have a block to be seen."""
+    while n:
+        page = make(maker)
+        if any(not b.hidden for b in blocks(page)):
+            n -= 1
+            yield page
+
+
+def _labelled(page: str) -> tuple[list[Block], list[int]]:
+    row = [b for b in blocks(page) if not b.hidden]
+    labels = [int(MARK in b.text) for b in row]
+    row = [b._replace(text=b.text.replace(MARK, "") or "-", linked=b.linked - b.text.count(MARK) * (b.linked > 0)) for b in row]
+    return [b._replace(linked=max(0, min(b.linked, len(b.text)))) for b in row], labels

@@ -126,3 +126,20 @@ def test_repeated_rows_and_columns_of_any_name(spark):
     out = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long"))
     assert out.columns == ["page_id", "url", "html", "text", "n_chars"]
     assert {(r.text, r.n_chars) for r in out.collect()} == {(ARTICLE_TEXT, len(ARTICLE_TEXT))} and out.count() == 9
+
+
+OLD = {
+    "<html><head><title>T</title></head><body>This is the first line of a story, told plainly.<br>It goes on here, and has another sentence. And one more.<br><br>The end comes at last.</body></html>": "This is the first line of a story, told plainly.\nIt goes on here, and has another sentence. And one more.\nThe end comes at last.",
+    "Just a text with no tags at all, which goes on for a while. It has two sentences.": "Just a text with no tags at all, which goes on for a while. It has two sentences.",
+    "<body>One line of text, <b>bold words</b> and more of it.<br>Second line, with a stop.<br>&copy; 2004 Me</body>": "One line of text, bold words and more of it.\nSecond line, with a stop.",
+    "<table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td><p>The story begins here, and it is a good one. It has sentences.</p><p>It goes on for long, as stories do.</p></td></tr><tr><td colspan=2>&copy; 2003 Somebody</td></tr></table>": "The story begins here, and it is a good one. It has sentences.\nIt goes on for long, as stories do.",
+    "<html><body><table width=100%><tr><td>My Site</td></tr><tr><td><a href=/a>Home</a> | <a href=/b>News</a></td><td>Text in a cell, with line breaks, is the article.<br>It has a second line.</td></tr><tr><td>Copyright 2003 Someone</td></tr></table></body></html>": "Text in a cell, with line breaks, is the article.\nIt has a second line.",
+    "<article><h1>On sums</h1><p>We know that <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is the sum of both.</p></article>": "On sums\nWe know that a+b is the sum of both.",
+}
+
+
+def test_pages_in_old_layouts():
+    """No element that holds a block, and layouts by tables."""
+    model = trained()
+    for page, text in OLD.items():
+        assert "\n".join(b.text for b in article_blocks(page, model)) == text
