@@ -64,15 +64,24 @@ _CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{
 _W = r"\p{L}\p{N}"
 
 
+def _any_word(words: set[str]) -> str:
+    """One of the words, longer ones first, by their first letters: at most places one look ahead is all."""
+    first: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        first.setdefault(w[0], []).append(w[1:])
+    return f"(?=[{''.join(sorted(first))}])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(first.items())) + ")"
+
+
 def _one_of(titles: list[str]) -> str:
     # in capitals too, but for "MS", which is more often something else
-    return "(?:" + "|".join(sorted({x for t in titles for x in (t, t if t == "Ms" else t.upper())}, key=lambda t: (-len(t), t))) + ")"
+    return _any_word({x for t in titles for x in (t, t if t == "Ms" else t.upper())})
 
 
 _TITLE = _one_of([t for row in TITLES.values() for t in row])
 _BEFORE = rf"(?:{_TITLE}\.? ){{1,3}}(?:\p{{Lu}}\. ?){{0,3}}"
-_CUE = "(?:" + "|".join(CUES) + ") "
-_LISTED = "(?:" + "|".join(sorted({n for (g, script), row in NAMES.items() if g != "n" and script == "latin" for n in row} - {"Grace", "Rosa", "Victor", "Flora"} | {n for row in GIVEN.values() for n in row})) + ")"
+_CUE = _any_word(set(CUES)) + " "
+#: Given names that are common words as well need a title.
+_LISTED = _any_word({n for (g, script), row in NAMES.items() if g != "n" and script == "latin" for n in row} - {"Grace", "Rosa", "Victor", "Flora"} | {n for row in GIVEN.values() for n in row})
 #: What stands before a name in a mention.
 _LEAD = rf"(?:{_BEFORE}|{_CUE})"
 _NAME = r"(?:\p{Lu}\p{L}{1,30}+|\p{Lu}(?=['’]))(?:['’\-](?!s(?![\p{L}\p{N}]))\p{L}{1,30}+){0,2}"
@@ -96,7 +105,7 @@ PATTERNS = {
     "card": rf"(?<![.+])\d{{4}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}(?![{_W}])",
     "ssn": rf"(?<![.+\-])(?!000|666|9\d\d)\d{{3}}-(?!00)\d{{2}}-(?!0000)\d{{4}}(?![{_W}]|-\d)",
     "phone": rf"(?:\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d{{2,4}}(?:[ .\-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ .\-]?\d{{3}}[ .\-]\d{{4}}|\d{{3}}[.\-]\d{{3}}[.\-]\d{{4}})(?![{_W}])",
-    "person": rf"(?=[\p{{Lu}}mjcr])(?:{_BEFORE}{_NAME}(?: {_NAME})?|{_CUE}(?:{_NAME} {_NAME}|{_LISTED}(?![\p{{L}}\p{{N}}]))|{_LISTED} {_NAME})",
+    "person": rf"(?=\p{{Lu}}|m[eiy]|je |co|re)(?:{_BEFORE}{_NAME}(?: {_NAME})?|{_CUE}(?:{_NAME} {_NAME}|{_LISTED}(?![\p{{L}}\p{{N}}]))|{_LISTED} {_NAME})",
 }
 #: One look back for all, so most places of a text cost one step.
 ANY = rf"(?<![{_W}])(?:" + "|".join(PATTERNS.values()) + ")"
