@@ -6,8 +6,9 @@ likely, and languages enter the set one by one as long as each raises the log-li
 `penalty` * ln(number of trigrams). The language with the largest share is predicted.
 
 Learning sees at most about `train_docs` documents of a language, whole texts, chosen by a hash of their id, and the
-`max_langs` languages that have most documents (ties by name); what it sends to the driver and to the executors is at
-most BUCKETS numbers a language, so the bound is 4 bytes * BUCKETS * max_langs (128 MB) however dirty the column is.
+`max_langs` languages that have most documents (ties by name). Its counts and the model are BUCKETS numbers of 4 bytes a
+language, so each takes 128 MB at most, however dirty the column is. The driver holds both, and the counts of AT_ONCE
+languages as rows (32 MB) while it reads them; executors get the model.
 
 Defined results: a text that is null or has no letter (numerals such as 2, ½ and Ⅷ are none) is `und` with score 0;
 without any labelled document all others are `und` as well; a null id counts as the empty text when rows are held out;
@@ -23,11 +24,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm._common import read_table, text_batches, uniform
+from sigloom.llm._common import discard, materialize, read_table, text_batches, uniform
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 3000
 MAX_LANGS = 512
+AT_ONCE = 32
 PENALTY = 4.0
 _LETTERS = regex.compile(r"\p{L}+")
 _OUT = "lang_pred string, score double, langs array<string>, shares array<double>"
@@ -65,8 +67,10 @@ class MixtureModel:
     def __init__(self, langs: list[str], counts: np.ndarray, alpha: float = 0.5):
         """counts: languages x BUCKETS."""
         self.langs = langs
-        p = counts + alpha
-        self.logp = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
+        self.logp = np.empty(counts.shape, np.float32)
+        for k, row in enumerate(counts):  # one at a time: only the model itself is as large as the counts
+            p = row + alpha
+            self.logp[k] = np.log(p / p.sum())
 
     def infer(self, text: str | None, penalty: float = PENALTY) -> tuple[str, float, list[str], list[float]]:
         ids, c = grams(text)
@@ -120,9 +124,14 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_langs: int = MA
             at = np.flatnonzero(row)
             yield pd.DataFrame({"lang": lang, "gram": at, "n": row[at]})
 
-    table = some.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(langs), BUCKETS))
-    counts[table.lang.map({k: i for i, k in enumerate(langs)}).to_numpy(np.int64), table.gram.to_numpy(np.int64)] = table.n.to_numpy(np.float64)
+    place = F.element_at(F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(i))]), F.col("lang"))
+    table = some.mapInPandas(count, "lang string, gram long, n long").groupBy(place.alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    table = materialize(table, "grams")
+    counts = np.zeros((len(langs), BUCKETS), np.uint32)
+    for lo in range(0, len(langs), AT_ONCE):
+        part = table.where(F.col("lang").between(lo, lo + AT_ONCE - 1)).toArrow()
+        counts[part["lang"].to_numpy(), part["gram"].to_numpy()] = part["n"].to_numpy()
+    discard(table)
     return MixtureModel(langs, counts)
 
 
