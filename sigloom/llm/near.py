@@ -16,8 +16,9 @@ one node at least with 1 - (1 - s) ** ANCHORS (0.99994 at 0.8).
   the sets of those members, and all these candidates are settled. No link rests on fingerprints alone.
 
 Defined results: a null text counts as empty; texts without words are copies of one another; a text with fewer words
-than a shingle is one shingle; of a group the row with the smallest doc_id stays (null first, then as read); an empty
-table gives an empty result.
+than a shingle is one shingle; of a group the row with the smallest doc_id stays (null first, then as read); a very long
+text is one row, whose set of shingles a task holds; columns of any name stay with their rows; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ a host with few documents says little, one with many speaks for itself. The verd
 * a document that fails the base rules is dropped whatever its host.
 
 Defined results: a null text has no words and fails; a null source is no host, so its documents are judged by the base
-rules alone; repeated rows count each; an empty table gives an empty result.
+rules alone; repeated rows count each; rates that are equal to a limit do not exceed it; a very long text is read whole, as
+one row; columns of any name pass through quality_filter() unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
