@@ -16,7 +16,7 @@ The index works on distinct fingerprints (a group of equal ones is one entry wit
 3. The links of all leaves are joined to components over the cluster (see components()).
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0 and is linked like any other; a
-text with fewer words than a shingle is one shingle; equal rows share a component; a null id counts as smaller than all others;
+text with fewer words than a shingle is one shingle; equal rows share a component; a null id names a component only where all ids are null;
 a very long text is read whole, its shingles hashed a block at a time; only the named columns are read, so columns of any
 name may be there; an empty table gives an empty result.
 """
