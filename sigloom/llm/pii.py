@@ -213,40 +213,56 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     return F.element_at(F.transform(F.array(F.struct(seed.alias("seed"), _numbers(seed).alias("num"))), lambda x: _made(kind, canon, attempt, x.seed, x.num)), 1)
 
 
+def _cases(kind: Column, of: dict[str, Column], other: Column) -> Column:
+    """By kind, one of these."""
+    return reduce(lambda w, k: w.when(kind == k, of[k]), list(of)[1:], F.when(kind == next(iter(of)), next(iter(of.values())))).otherwise(other)
+
+
 def _made(kind: Column, canon: Column, attempt: Column, seed: Column, num: Column) -> Column:
-    at = lambda k: F.element_at(num, k)
+    """The surrogate of an entity: the part whose characters change in their classes, and what a form is longer by (so that
+    there is always a surrogate left), are made first; they are variables in the expression of the form."""
     tail = lambda k: F.substring(canon, F.lit(k), F.length(canon))
-    # what a form is longer by, so that there is always a surrogate left
-    more = lambda sign, per, after=0: _like(F.repeat(F.lit(sign) if isinstance(sign, str) else sign, F.greatest(F.lit(0), F.floor((attempt - after) / per)).cast("int")), F.reverse(num))
+    # a country's code stays, or the first digit of a number without one
+    code = F.when(canon.startswith("+"), F.regexp_extract(canon, _CALLING, 0)).otherwise(F.substring(canon, 1, 1))
+    text = {
+        "email": F.substring_index(canon, "@", 1), "card": F.substring(canon, F.lit(2), F.length(canon) - 2), "iban": tail(5), "key": F.regexp_replace(canon, _ISSUER, ""), "phone": F.substring(canon, F.length(code) + 1, F.length(canon)),
+        "jwt": F.element_at(F.split(canon, r"\."), 2), **dict.fromkeys(("ip", "ipv6", "ssn", "secret", "mac", "private", "given"), F.lit("")),
+    }
+    letter = F.when(canon.rlike(r"\p{IsCyrillic}"), "а").otherwise("a")
+    longer = lambda sign, per, after=0: F.repeat(F.lit(sign) if isinstance(sign, str) else sign, F.greatest(F.lit(0), F.floor((attempt - after) / per)).cast("int"))
+    more = {**dict.fromkeys(("card", "iban", "ssn", "secret", "key", "password", "phone", "mac"), longer("0", 8)), "given": longer(letter, 1, 2), **dict.fromkeys(("email", "ip", "ipv6", "jwt", "private"), F.lit(""))}
+    parts = F.struct(_like(_cases(kind, text, canon), num).alias("main"), _like(_cases(kind, more, longer(letter, 4)), F.reverse(num)).alias("more"), code.alias("code"))
+    return F.element_at(F.transform(F.array(parts), lambda p: _form(kind, canon, attempt, seed, num, p)), 1)
+
+
+def _form(kind: Column, canon: Column, attempt: Column, seed: Column, num: Column, part: Column) -> Column:
+    at = lambda k: F.element_at(num, k)
+    digit = lambda k, n=10, low=0: (at(k) % n + low).cast("string")
+    main, more = part.main, part.more
     digest = F.sha2(seed, 256)
-    email = F.concat(_like(F.substring_index(canon, "@", 1), num), F.lit("@"), F.substring(digest, F.lit(1), F.least(F.lit(40), 6 + attempt)), F.lit(".example."), F.element_at(F.split(canon, r"\."), -1))
+    email = F.concat(main, F.lit("@"), F.substring(digest, F.lit(1), F.least(F.lit(40), 6 + attempt)), F.lit(".example."), F.element_at(F.split(canon, r"\."), -1))
     private = canon.rlike(r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)")
     first = F.when(private, F.lit(10)).otherwise(F.lit(11) + at(1) % 90)
     ipv6 = F.concat(F.lit("2001:0db8"), F.array_join(F.transform(F.regexp_extract_all(F.substring(digest, 1, 24), F.lit("...."), F.lit(0)), lambda g: F.concat(F.lit(":"), g)), ""))
     ip = F.when(attempt < 8, F.concat_ws(".", first.cast("string"), *[at(k).cast("string") for k in (2, 3, 4)])).otherwise(ipv6)
-    body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), _like(F.substring(canon, F.lit(2), F.length(canon) - 2), num), more("0", 8))
+    body = F.concat(F.substring(canon, F.lit(1), F.lit(1)), main, more)
     card = F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    account = F.concat(_like(tail(5), num), more("0", 8))
+    account = F.concat(main, more)
     iban = F.concat(F.substring(canon, 1, 2), F.lpad((98 - _mod97(F.concat(F.substring(canon, 1, 2), F.lit("00"), account))).cast("string"), 2, "0"), account)
-    ssn = F.concat((at(1) % 5 + 1).cast("string"), _like(F.lit("00"), num), (at(4) % 9 + 1).cast("string"), (at(5) % 10).cast("string"), (at(6) % 9 + 1).cast("string"), _like(F.lit("000"), F.reverse(num)), more("0", 8))
-    secret = F.concat(F.substring(F.concat(*_stream(seed, 2)), F.lit(1), F.length(canon)), more("0", 8))
-    issuer = F.regexp_extract(canon, _ISSUER, 0)
-    token = F.concat(issuer, _like(F.regexp_replace(canon, _ISSUER, ""), num), more("0", 8))
-    # a country's code stays, or the first digit of a number without one; the rest changes
-    code = F.when(canon.startswith("+"), F.regexp_extract(canon, _CALLING, 0)).otherwise(F.substring(canon, 1, 1))
-    phone = F.concat(code, _like(F.substring(canon, F.length(code) + 1, F.length(canon)), num), more("0", 8))
+    ssn = F.concat(digit(1, 5, 1), digit(2), digit(3), digit(4, 9, 1), digit(5), digit(6, 9, 1), *[digit(k) for k in (7, 8, 9)], more)
+    secret = F.concat(F.substring(F.concat(*_stream(seed, 2)), F.lit(1), F.length(canon)), more)
+    token = F.concat(F.regexp_extract(canon, _ISSUER, 0), main, more)
     # addresses given out locally have 2 as their second digit
-    mac = F.concat(F.substring(digest, 1, 1), F.lit("2"), F.substring(digest, 3, 10), more("0", 8))
+    mac = F.concat(F.substring(digest, 1, 1), F.lit("2"), F.substring(digest, 3, 10), more)
     # 64 numbers turn round in a long text, so the seed's digits stand in it as well
-    jwt = F.concat(F.lit("eyJ"), F.substring(digest, 1, 32), F.lit("."), _like(F.element_at(F.split(canon, r"\."), 2), num), F.lit("."), F.substring(digest, 33, 32))
+    jwt = F.concat(F.lit("eyJ"), F.substring(digest, 1, 32), F.lit("."), main, F.lit("."), F.substring(digest, 33, 32))
     private_key = F.concat(F.regexp_extract(canon, r"^-----BEGIN [A-Z ]*PRIVATE KEY-----\s*", 0), digest, F.regexp_extract(canon, r"\s*-----END [A-Z ]*PRIVATE KEY-----$", 0))
     gender, cyr = F.substring(canon, 1, 1), canon.rlike(r"\p{IsCyrillic}")
     names = {k: F.array(*[F.lit(n.lower()) for n in row]) for k, row in NAMES.items()}
     lists = reduce(lambda w, k: w.when((gender == k[0]) & (cyr if k[1] == "cyrillic" else ~cyr), names[k]), names, F.when(F.lit(False), names["n", "latin"])).otherwise(names["n", "latin"])
-    letter = F.when(cyr, "а").otherwise("a")
-    given = F.concat(gender, F.lit(":"), F.element_at(lists, (at(64) % F.size(lists) + 1).cast("int")), more(letter, 1, 2))
-    forms = {"email": email, "ip": ip, "ipv6": ipv6, "card": card, "iban": iban, "ssn": ssn, "secret": secret, "key": token, "password": F.concat(_like(canon, num), more("0", 8)), "phone": phone, "given": given, "mac": mac, "jwt": jwt, "private": private_key}
-    return reduce(lambda w, k: w.when(kind == k, forms[k]), list(forms)[1:], F.when(kind == "email", email)).otherwise(F.concat(_like(canon, num), more(letter, 4)))
+    given = F.concat(gender, F.lit(":"), F.element_at(lists, (at(64) % F.size(lists) + 1).cast("int")), more)
+    forms = {"email": email, "ip": ip, "ipv6": ipv6, "card": card, "iban": iban, "ssn": ssn, "secret": secret, "key": token, "phone": F.concat(part.code, main, more), "given": given, "mac": mac, "jwt": jwt, "private": private_key}
+    return _cases(kind, forms, F.concat(main, more))
 
 
 def _fill(mention: Column, digits: Column) -> Column:
