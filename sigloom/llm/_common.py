@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -12,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigloom.ship import ship
+from sigloom.storage import discard, materialize, shared_dir
 
 #: A run of the six ASCII white space characters, and a word: a run of anything else.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -35,36 +33,6 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where none is set (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own:
-        return own.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    home = tempfile.mkdtemp(prefix="sigloom-")
-    atexit.register(shutil.rmtree, home, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(home)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back.
-
-    Cuts the lineage like checkpoint(), survives lost executors, and leaves a plan whose later exchanges AQE may split
-    when they are skewed (a checkpoint would keep the partitioning of the query that made it).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sigloom_path = path
-    return out
-
-
 def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
     """df written as a table bucketed by key, in as many buckets as the session has shuffle partitions.
 
@@ -76,15 +44,6 @@ def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
     return spark.table(name)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by materialize() that nothing needs any more."""
-    path = getattr(df, "_sigloom_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def with_row_id(rows: DataFrame, tag: str) -> DataFrame:
     """Narrow rows with a row id `_rid`, materialized: the id stays the same in all later reads."""
     return materialize(rows.withColumn("_rid", F.monotonically_increasing_id()), tag)
