@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import scalars
 from sigloom.functions.computed import with_computed
-from sigloom.operators import analysis, dataset, derived, hrv, quality, ranks, reports, segments
+from sigloom.operators import analysis, dataset, derived, hrv, long_records, quality, ranks, reports, segments
 from sigloom.plans.protocol import Source
 from sigloom.schema import DERIVED_COLUMNS
 from sigloom.ship import ship
@@ -710,3 +710,18 @@ def recording_features(spark, d):
     # few small rows that cost much each: a set number of tasks, so that they are not put together
     users = table(spark, d, "events").select("user_id").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "user_id")
     return users.mapInPandas(run, FEATURE_DDL)
+
+
+def label_signals(spark, d, per_chunk: int = 32) -> DataFrame:
+    """The vectors of a label, one after the other, as one long signal of 64 samples a second, in chunks."""
+    e = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
+    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = e.join(e.select("label", "vec_id", at.alias("at")), ["label", "vec_id"])  # vectors are shuffled by chunk, numbers by label
+    own = F.sort_array(F.collect_list(F.struct("at", F.transform("embedding", lambda x: x.cast("double")).alias("x"))))
+    return rows.groupBy("label", F.floor(F.col("at") / per_chunk).alias("chunk")).agg(F.flatten(F.transform(own, lambda p: p["x"])).alias("x"))
+
+
+@query
+def long_recording_peaks(spark, d):
+    """Peaks of long recordings, found chunk by chunk with their neighbours' halo."""
+    return long_records.long_peaks(label_signals(spark, d), ["label"], FS)

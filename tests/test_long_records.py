@@ -82,7 +82,7 @@ def test_files_are_read_in_order(spark, tmp_path, signals):
 
 def test_neighbours_by_trees():
     rng = np.random.default_rng(1)
-    for n in (3100, 4500):
+    for n in (1500, 3300):
         for x in (rng.normal(size=n), rng.integers(0, 5, n).astype(float), np.round(np.cumsum(rng.normal(size=n)), 1), np.full(n, 2.0)):
             for m in (1, 2, 3):
                 t = np.lib.stride_tricks.sliding_window_view(x, m)
@@ -96,7 +96,7 @@ def test_entropies_of_long_series_take_fewer_steps():
 
     rng = np.random.default_rng(3)
     took = []
-    for n in (6000, 60_000):
+    for n in (4000, 40_000):
         x = np.round(800 + 50 * np.convolve(rng.normal(size=n), np.ones(5) / 5, "same"), 1)
         began = time.process_time()
         assert 1 < hrv.sample_entropy(x) < 2.5 and 1 < hrv.approximate_entropy(x) < 2.5
@@ -109,3 +109,16 @@ def test_regions_are_shared_code(signals):
     x = record.detected(signals["r0"], FS)[0]
     s, e = peaks.steep_regions(x, FS)
     assert len(s) == len(e) and set(peaks.detect_r_peaks(x, FS).tolist()) <= {peaks.peak_in(x, a, b, FS) for a, b in zip(s, e, strict=True)}
+
+
+def test_query_of_long_recordings(spark, data):
+    """The registered query against whole signals."""
+    from sigloom import queries
+
+    got: dict = {}
+    for r in queries.long_recording_peaks(spark, data).collect():
+        got.setdefault(r.label, []).append(r.peak)
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("label", "vec_id").collect()
+    for label in {r.label for r in rows}:
+        x = np.concatenate([np.asarray(r.embedding, float) for r in rows if r.label == label])
+        assert sorted(got.get(label, [])) == record.detected(x, queries.FS)[1].tolist()
