@@ -409,7 +409,7 @@ def test_bounded_loads_and_movement(spark):
 # ---------------------------------------------------------------- odd and empty tables
 
 
-DOCUMENT_QUERIES = sorted(k for k in queries() if k != "op3_html")
+DOCUMENT_QUERIES = sorted(k for k in queries() if k not in ("op3_html", "op12_hard_negatives", "op13_phrases"))  # of the last two: test_mining.py
 
 
 @pytest.mark.parametrize("name", DOCUMENT_QUERIES)
