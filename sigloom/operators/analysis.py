@@ -152,7 +152,7 @@ def direction_stability(both: DataFrame, part: int | None = None) -> DataFrame:
     ship(both.sparkSession)
     rows = both.select("target", "feature", "x", "y")
     if rows.count() > (part or PART):
-        return _left_out(ranked_pairs(rows, ["target", "feature"], part), ["target", "feature"], part)
+        return _left_out(ranked_pairs(rows, ["target", "feature"], part, places=True), ["target", "feature"], part)
 
     def run(key, rows):
         x, y = (rows[c].to_numpy() for c in ("x", "y"))

@@ -43,21 +43,27 @@ def ordered(values: DataFrame, by: list[str], value: str, sums: list[str], part:
     return both.select(*values.columns, *[(F.col(f"_{s}_off") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"{s}_before") for s in sums], *[f"{s}_all" for s in sums])
 
 
-def ranked_pairs(both: DataFrame, by: list[str], part: int | None = None) -> DataFrame:
-    """both (by, x, y) -> a row for each distinct (by, x, y), written:
+def ranked_pairs(both: DataFrame, by: list[str], part: int | None = None, places: bool = False) -> DataFrame:
+    """both (by, x, y) -> a row for each distinct (by, x, y):
 
-    m rows have it; n is the group's rows, nx and ny those with this x and y, dx and dy its distinct x and y, px the rows
-    with a smaller x; a and b are twice the mean ranks (ties share theirs) less n, so they are whole numbers.
+    m rows have it; n is the group's rows; a and b are twice the mean ranks (ties share theirs) less n, so they are whole
+    numbers. With places also nx and ny, the rows with this x and y, dx and dy, the group's distinct x and y, and px and py,
+    the rows with a smaller x and y.
     """
     cells = materialize(both.groupBy(*by, "x", "y").agg(F.count("*").alias("m")), "cells")
+    if not places and cells.count() <= (part or PART):
+        group = Window.partitionBy(*by)
+        n = F.sum("m").over(group)
+        rank = lambda v: 2 * F.sum("m").over(group.orderBy(v).rangeBetween(Window.unboundedPreceding, 0)) - F.sum("m").over(Window.partitionBy(*by, v)) + 1 - n
+        return cells.select(*by, "x", "y", "m", n.alias("n"), rank("x").alias("a"), rank("y").alias("b"))
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("x", "y")])
     values = cells.select(*by, "m", F.inline(sides)).groupBy(*by, "side", "v").agg(F.sum("m").alias("c"), F.lit(1).cast("long").alias("one"))
     values = materialize(values, "values")
-    places = materialize(ordered(values, [*by, "side"], "v", ["c", "one"], part), "places")
+    found = materialize(ordered(values, [*by, "side"], "v", ["c", "one"], part), "places")
     rank = 2 * F.col("c_before") + F.col("c") + 1 - F.col("c_all")
-    of = lambda s, code: places.where(F.col("side") == s).select(*by, F.col("v").alias(s), rank.alias(code), F.col("c").alias(f"n{s}"), F.col("one_all").alias(f"d{s}"), F.col("c_before").alias(f"p{s}"), *([F.col("c_all").alias("n")] if s == "x" else []))
+    of = lambda s, code: found.where(F.col("side") == s).select(*by, F.col("v").alias(s), rank.alias(code), F.col("c").alias(f"n{s}"), F.col("one_all").alias(f"d{s}"), F.col("c_before").alias(f"p{s}"), *([F.col("c_all").alias("n")] if s == "x" else []))
     out = materialize(cells.join(of("x", "a"), [*by, "x"]).join(of("y", "b"), [*by, "y"]), "ranked")
-    discard(cells, values, places)
+    discard(cells, values, found)
     return out
 
 
