@@ -53,9 +53,18 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", F.to_date("ts").alias("date")).agg(*map(value, TYPES))
 
 
-def raw(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("date"), F.col("event_type").alias("phase"))
-    per = e.agg(F.avg("value").alias("hrv_mean"), F.max("value").alias("hrv_max"), F.count("*").cast("double").alias("morph_n"))
+def _whole(*by: str):
+    """A group's rows in the order of events. The last bits of a sum depend on its order, and distinct means are counted by
+    them, so where that is done values are added in this order, not in that in which tasks deliver them."""
+    return Window.partitionBy(*by).orderBy("event_id", "ts", "value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def raw(spark: SparkSession, d: str, settled: bool = False) -> DataFrame:
+    """settled: with means that are the same to the last bit however files are split and read."""
+    e, mean = table(spark, d, "events").withColumns({"date": F.to_date("ts"), "phase": F.col("event_type")}), F.avg("value")
+    if settled:
+        e, mean = e.withColumn("mean", mean.over(_whole("user_id", "date", "phase"))), F.max("mean")
+    per = e.groupBy("user_id", "date", "phase").agg(mean.alias("hrv_mean"), F.max("value").alias("hrv_max"), F.count("*").cast("double").alias("morph_n"))
     return per.select(
         "*", F.lit("sit").alias("record_type"), F.lit("full").alias("segment_label"), F.when(F.dayofmonth("date") % 5 != 0, F.col("user_id") % 4 != 0).alias("hrv_validated"), (F.col("user_id") % 3 != 0).alias("morphology_validated")
     )
@@ -633,7 +642,7 @@ def feature_rules(spark, d):
 @query
 def feature_rules_met(spark, d):
     """Rules that some columns meet and one does not: the raw table's, of which one is absent half of the time."""
-    r = raw(spark, d).select("hrv_mean", "morph_n", F.when(F.col("hrv_validated"), F.col("hrv_max")).alias("hrv_max"), F.when(F.col("morph_n") > 1, F.col("hrv_mean")).alias("often_gone"))
+    r = raw(spark, d, settled=True).select("hrv_mean", "morph_n", F.when(F.col("hrv_validated"), F.col("hrv_max")).alias("hrv_max"), F.when(F.col("morph_n") > 1, F.col("hrv_mean")).alias("often_gone"))
     return rounded(analysis.quality_rules(reports.summarize(r, ["hrv_mean", "hrv_max", "morph_n", "often_gone"]), 0.5, 4).select("column", "missing_ratio", "n_unique"))
 
 
