@@ -516,7 +516,7 @@ def report_summarize(spark, d):
 
 @query
 def report_completeness(spark, d):
-    return rounded(reports.completeness(daily(spark, d), ["view", "error", "nothing"]))
+    return rounded(reports.completeness(settled_daily(spark, d), ["view", "error", "nothing"]))
 
 
 @query

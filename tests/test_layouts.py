@@ -8,7 +8,7 @@ import pytest
 from sigloom import oracles
 from sigloom import queries as engine
 
-COUNTED = ["feature_rules_met", "report_summarize"]
+COUNTED = ["feature_rules_met", "report_completeness", "report_summarize"]
 
 
 @pytest.fixture(scope="module")
