@@ -453,8 +453,8 @@ def wide_raw(spark, d):
     return rounded(dataset.wide_raw(raw(spark, d), _sources(), ["hrv_mean", "morph_n"], KEYS)[0])
 
 
-def _columns_op(spark, d):
-    return derived.pairwise_columns(daily(spark, d), PAIRS, ["delta", "ratio"], operation="op", keys=KEYS).withColumn("date", F.col("date").cast("date"))
+def _columns_op(spark, d, days=daily):
+    return derived.pairwise_columns(days(spark, d), PAIRS, ["delta", "ratio"], operation="op", keys=KEYS).withColumn("date", F.col("date").cast("date"))
 
 
 @query
@@ -493,11 +493,11 @@ def qc_summary(spark, d):
     return rounded(dataset.qc_summary(raw(spark, d), _sources(), KEYS, daily(spark, d), ["view", "error"]))
 
 
-def _dataset(spark, d):
-    context, r = daily(spark, d), raw(spark, d)
+def _dataset(spark, d, days=daily):
+    context, r = days(spark, d), raw(spark, d)
     w, _ = dataset.wide_raw(r, _sources(), ["hrv_mean"], KEYS)
     c, _ = dataset.wide_context(context, TYPES, KEYS)
-    t = [p for p, _ in dataset.named_items(ITEMS, {"derived": _columns_op(spark, d), "context": context}, KEYS, "target")]
+    t = [p for p, _ in dataset.named_items(ITEMS, {"derived": _columns_op(spark, d, days), "context": context}, KEYS, "target")]
     return dataset.assemble(dataset.spine([context, r], KEYS), [w, c, *t], KEYS)
 
 
@@ -521,7 +521,7 @@ def report_completeness(spark, d):
 
 @query
 def report_targets(spark, d):
-    return rounded(reports.targets(_dataset(spark, d), [*ITEMS, {"id": "none", "label": "x"}], TARGET_COLUMNS | {"none": "target__none"}))
+    return rounded(reports.targets(_dataset(spark, d, settled_daily), [*ITEMS, {"id": "none", "label": "x"}], TARGET_COLUMNS | {"none": "target__none"}))
 
 
 CTX = [f"ctx__{t}" for t in TYPES]
