@@ -533,7 +533,7 @@ def _catalog(spark):
 
 @query
 def report_availability(spark, d):
-    return rounded(reports.availability(_dataset(spark, d), _catalog(spark)))
+    return rounded(reports.availability(_dataset(spark, d, settled_daily), _catalog(spark)))
 
 
 @query

@@ -8,7 +8,7 @@ import pytest
 from sigloom import oracles
 from sigloom import queries as engine
 
-COUNTED = ["feature_rules_met", "report_completeness", "report_summarize", "report_targets"]
+COUNTED = ["feature_rules_met", "report_availability", "report_completeness", "report_summarize", "report_targets"]
 
 
 @pytest.fixture(scope="module")
