@@ -15,6 +15,10 @@ from sigloom.operators.reports import unpivot
 from sigloom.ship import ship
 from sigloom.storage import materialize
 
+#: Rows of a block, and the most parts on a side of the grid of blocks: it has four million counts at most.
+BLOCK = 50_000
+GRID = 1024
+
 
 def directed(column: Column, direction: str) -> Column:
     """A target turned so that more is worse."""
@@ -62,8 +66,9 @@ def correlations(ranked: DataFrame, by: list[str]) -> DataFrame:
     return per.select(*by, "n", F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt("xx") / F.sqrt("yy")).alias("rho"))
 
 
-def dominated(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+def dominated(x: np.ndarray, y: np.ndarray, m: np.ndarray, equal: bool = True) -> np.ndarray:
     """For each place the sum of m over all places, times 2 for a greater x and 1 for an equal one, and the same of y.
+    Without `equal`, places of an equal x do not count.
 
     By the bits of x: two values first differ in some bit, and those that share the bits above it are looked at together
     in the order of y, so each bit is a pass of running sums.
@@ -71,7 +76,7 @@ def dominated(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
     _, px = np.unique(x, return_inverse=True)
     _, py = np.unique(y, return_inverse=True)
     out = np.zeros(len(x), np.int64)
-    for level in range(-1, int(px.max()).bit_length() if len(px) else 0):
+    for level in range(-1 if equal else 0, int(px.max()).bit_length() if len(px) else 0):
         prefix, bit = (px, np.ones_like(px)) if level < 0 else (px >> (level + 1), px >> level & 1)
         order = np.lexsort((py, prefix))
         p, q, w = prefix[order], py[order], (m * bit)[order]
@@ -118,37 +123,79 @@ def leave_one_out(x: np.ndarray, y: np.ndarray) -> float:
     return float((varies & (np.sign(left) == np.sign(((a_ - 1) * (b_ - 1)).sum()))).sum()) / n
 
 
+def _blocks(u: str, v: str, weight: str, own: str, equal: bool, names: tuple[str, str]):
+    """Adds to the rows of a block dominated() of (u, v) and the sum of m times weight over its rows above in `own`."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        of = lambda c: rows[c].to_numpy()
+        _, place = np.unique(of(own), return_inverse=True)
+        per = np.zeros(place.max() + 1, np.int64)
+        np.add.at(per, place, of("m") * of(weight))
+        above = (2 * (np.cumsum(per[::-1])[::-1] - per) + per)[place]
+        found = dominated(of(u), of(v), of("m"), equal)
+        return rows.append_column(names[0], pa.array(found)).append_column(names[1], pa.array(above))
+
+    return run
+
+
+def _beyond(grid: pa.Table) -> pa.Table:
+    """Adds to the blocks of a group the rows in blocks that are later in both i and j."""
+    i, j = (np.unique(grid[c].to_numpy(), return_inverse=True)[1] for c in ("i", "j"))
+    sums = np.zeros((i.max() + 2, j.max() + 2), np.int64)
+    np.add.at(sums, (i, j), grid["w"].to_numpy())
+    sums = sums[::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
+    return grid.append_column("beyond", pa.array(sums[i + 1, j + 1]))
+
+
 def _left_out(ranked: DataFrame, by: list[str], part: int | None = None) -> DataFrame:
-    """(by, stability) of ranked_pairs(): what leave_one_out() gives, by running sums over the cluster."""
-    many = ranked.agg(F.max("n")).first()[0] or 1
+    """(by, stability) of ranked_pairs(): what leave_one_out() gives, by blocks of rows over the cluster.
+
+    A group is cut into up to GRID parts by x, and by y; equal values stay together, and a value with more rows than a part
+    is a part of its own. The rows above a row in both are those of its x part, counted in NumPy, those of its y part in
+    later x parts, counted likewise, and those in parts that are later in both, from the counts of the grid of parts. So a
+    row is shuffled once by each part, and a task holds a part at a time; a part of one value takes running sums.
+    """
+    schema = lambda df, *more: ", ".join([f"`{c}` {kind}" for c, kind in df.dtypes] + [f"{c} bigint" for c in more])
     whole = lambda c: F.col(c).cast("decimal(19,0)")
-    sums = {}
-    for s, w in (("x", "b"), ("y", "a")):
-        per = materialize(ranked.groupBy(*by, s).agg(F.sum(F.col("m") * F.col(w)).alias("w")), "sums")
-        above = 2 * (F.col("w_all") - F.col("w_before") - F.col("w")) + F.col("w")
-        sums[s] = ordered(per, by, s, ["w"], part).select(*by, s, above.alias(f"above_{s}"))
-    levels = F.explode(F.sequence(F.lit(-1), F.lit(int(many).bit_length() - 1))).alias("level")
-    one, px = ranked.select(*by, "x", "y", "m", "px", levels), F.col("px")
-    own = F.col("level") < 0
-    prefix = F.when(own, px).otherwise(F.call_function("shiftright", px, F.greatest(F.col("level"), F.lit(0)) + 1))
-    bit = F.when(~own, F.call_function("shiftright", px, F.greatest(F.col("level"), F.lit(0))).bitwiseAND(F.lit(1).cast("long")))
-    one = one.withColumns({"prefix": prefix, "bit": bit})
-    key = [*by, "level", "prefix"]
-    per = materialize(one.groupBy(*key, "y").agg(F.sum(F.when(own | (F.col("bit") == 1), F.col("m")).otherwise(0)).alias("w")), "dominated")
-    got = 2 * (F.col("w_all") - F.col("w_before") - F.col("w")) + F.col("w")
-    counted = ordered(per, key, "y", ["w"], part).select(*key, "y", (F.when(own, 1).otherwise(2) * got).alias("got"))
-    over = one.where(own | (F.col("bit") == 0)).join(counted, [*key, "y"]).groupBy(*by, "x", "y").agg(F.sum("got").alias("over"))
+    n = F.col("n")
+    parts = F.least(F.lit(GRID), F.ceil(n / min(part or BLOCK, BLOCK)))
+    wide = lambda s: F.col(f"n{s}") * parts > n
+    place = lambda s: 2 * F.floor(F.col(f"p{s}") * parts / n) + wide(s).cast("long")
+    cells = ranked.withColumns({"wide_x": wide("x"), "wide_y": wide("y"), "i": place("x"), "j": place("y")})
+    any_x, any_y = cells.agg(F.max("wide_x"), F.max("wide_y")).first()
+
+    one = cells.where(~F.col("wide_x"))
+    rows = one.groupBy(*by, "i").applyInArrow(_blocks("px", "py", "b", "px", True, ("in_x", "above_x")), schema(one, "in_x", "above_x"))
+    if any_x:
+        run = ordered(materialize(cells.where("wide_x"), "wide"), [*by, "x"], "y", ["m"], part)
+        rows = rows.unionByName(run.select(*cells.columns, (2 * (F.col("m_all") - F.col("m_before") - F.col("m")) + F.col("m")).alias("in_x"), F.lit(None).cast("long").alias("above_x")))
+    two = rows.where(~F.col("wide_y")) if any_y else rows
+    out = two.groupBy(*by, "j").applyInArrow(_blocks("i", "py", "a", "py", False, ("in_y", "above_y")), schema(two, "in_y", "above_y"))
+    if any_y:
+        same = cells.where("wide_y").groupBy(*by, "y", "i").agg(F.sum("m").alias("w"))
+        later = Window.partitionBy(*by, "y").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+        same = same.select(*by, "y", "i", (2 * F.coalesce(F.sum("w").over(later), F.lit(0))).alias("in_y"))
+        out = out.unionByName(rows.where("wide_y").join(same.hint("merge"), [*by, "y", "i"]).withColumn("above_y", F.lit(None).cast("long")))
+
+    for s, k, w in (("x", "i", "b"), ("y", "j", "a")):
+        later = Window.partitionBy(*by).orderBy(F.desc(k)).rowsBetween(Window.unboundedPreceding, -1)  # up to 2 GRID rows a group
+        per = cells.groupBy(*by, k).agg(F.sum(F.col("m") * F.col(w)).alias(f"own_{s}"))
+        out = out.join(per.select("*", (2 * F.coalesce(F.sum(f"own_{s}").over(later), F.lit(0))).alias(f"later_{s}")), [*by, k])
+        out = out.withColumn(f"above_{s}", F.col(f"later_{s}") + F.coalesce(f"above_{s}", f"own_{s}"))
+    grid = cells.groupBy(*by, "i", "j").agg(F.sum("m").alias("w"))
+    grid = grid.groupBy(*by).applyInArrow(_beyond, schema(grid, "beyond")).drop("w")
     totals = ranked.groupBy(*by).agg(F.sum(whole("a") * whole("b") * F.col("m").cast("decimal(18,0)")).alias("p"), F.sum((whole("a") - 1) * (whole("b") - 1) * F.col("m").cast("decimal(18,0)")).alias("s"))
-    rows = ranked.join(totals, by).join(sums["x"], [*by, "x"]).join(sums["y"], [*by, "y"]).join(over, [*by, "x", "y"])
-    left = F.col("p") - whole("a") * whole("b") - (F.col("above_y") - F.col("a")) - (F.col("above_x") - F.col("b")) + (F.col("over") - 1)
+    out = out.join(grid.hint("merge"), [*by, "i", "j"]).join(totals, by)
+    over = 4 * F.col("beyond") + F.col("in_x") + F.col("in_y")
+    left = F.col("p") - whole("a") * whole("b") - (F.col("above_y") - F.col("a")) - (F.col("above_x") - F.col("b")) + (over - 1)
     varies = (F.col("dx") > 1) & (F.col("dy") > 1) & ~((F.col("dx") == 2) & (F.col("nx") == 1)) & ~((F.col("dy") == 2) & (F.col("ny") == 1))
     same = varies & (F.signum(left.cast("double")) == F.signum(F.col("s").cast("double")))
-    return rows.groupBy(*by).agg((F.sum(F.when(same, F.col("m")).otherwise(0)) / F.sum("m")).alias("stability"))
+    return out.groupBy(*by).agg((F.sum(F.when(same, F.col("m")).otherwise(0)) / F.sum("m")).alias("stability"))
 
 
 def direction_stability(both: DataFrame, part: int | None = None) -> DataFrame:
     """(target, feature, stability): see leave_one_out(). Tables of up to `part` rows are done pair by pair in NumPy, larger
-    ones by running sums over the cluster; both give the same numbers."""
+    ones by blocks over the cluster; both give the same numbers."""
     ship(both.sparkSession)
     rows = both.select("target", "feature", "x", "y")
     if rows.count() > (part or PART):
