@@ -251,7 +251,7 @@ def redundancy(df: DataFrame, row_id: list[str], features: list[str], threshold:
         values = materialize(long.groupBy("column", "v").agg(F.count("*").alias("c")), "values")
         rank = (2 * F.col("c_before") + F.col("c") - F.lit(n)).cast("double")
         ranks = ordered(values, ["column"], "v", ["c"], part).select("column", "v", rank.alias("rank"))
-        vectors = long.join(ranks, ["column", "v"]).groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("column", "rank"))).alias("x"))
+        vectors = long.join(ranks.hint("merge"), ["column", "v"]).groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("column", "rank"))).alias("x"))
         sums = materialize(vectors.select(F.col("x.rank").alias("x")).mapInArrow(_products(len(same)), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")), "products")
         norm = lambda k: sums.where("i = j").select(F.col("i").alias(k), F.sqrt("s").alias(f"s{k}"))
         name = F.array(*map(F.lit, same))

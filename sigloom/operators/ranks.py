@@ -39,7 +39,7 @@ def ordered(values: DataFrame, by: list[str], value: str, sums: list[str], part:
     earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}_off") for s in sums], *[F.sum(f"_{s}").over(group).alias(f"{s}_all") for s in sums])
     inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    both = placed.join(totals, [*by, "_part"])
+    both = placed.join(totals.hint("merge"), [*by, "_part"])  # values are never broadcast: a task then would have them all
     return both.select(*values.columns, *[(F.col(f"_{s}_off") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"{s}_before") for s in sums], *[f"{s}_all" for s in sums])
 
 
@@ -62,7 +62,8 @@ def ranked_pairs(both: DataFrame, by: list[str], part: int | None = None, places
     found = materialize(ordered(values, [*by, "side"], "v", ["c", "one"], part), "places")
     rank = 2 * F.col("c_before") + F.col("c") + 1 - F.col("c_all")
     of = lambda s, code: found.where(F.col("side") == s).select(*by, F.col("v").alias(s), rank.alias(code), F.col("c").alias(f"n{s}"), F.col("one_all").alias(f"d{s}"), F.col("c_before").alias(f"p{s}"), *([F.col("c_all").alias("n")] if s == "x" else []))
-    out = materialize(cells.join(of("x", "a"), [*by, "x"]).join(of("y", "b"), [*by, "y"]), "ranked")
+    # the size of a written table is that of its files; a broadcast is many times that, so rows are merged
+    out = materialize(cells.join(of("x", "a").hint("merge"), [*by, "x"]).join(of("y", "b").hint("merge"), [*by, "y"]), "ranked")
     discard(cells, values, found)
     return out
 

@@ -17,6 +17,14 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_are_merged(both, monkeypatch):
+    plans, write = {}, ranks.materialize
+    monkeypatch.setattr(ranks, "materialize", lambda df, tag: (plans.update({tag: plan(df)}), write(df, tag))[1])
+    ranks.ranked_pairs(both, ["target", "feature"], 50, places=True)
+    assert "SortMergeJoin" in plans["ranked"] and "Broadcast" not in plans["ranked"]
+    assert "BuildLeft" not in plans["places"]  # cuts may be broadcast, values may not
+
+
 def test_stability_does_not_repeat_rows(both):
     ranked = ranks.ranked_pairs(both, ["target", "feature"], 50, places=True)
     out = analysis._left_out(ranked, ["target", "feature"], 50)
