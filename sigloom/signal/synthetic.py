@@ -16,8 +16,7 @@ def recording(seconds: float, seed: int, fs: float = 234.45, hr: float = 70.0, n
     t = np.arange(int(seconds * fs)) / fs
     x = np.zeros_like(t)
     for at, top, width in WAVES.values():
-        for b in beats:
-            lo, hi = np.searchsorted(t, [b + at - 6 * width, b + at + 6 * width])
+        for b, lo, hi in zip(beats, np.searchsorted(t, beats + at - 6 * width), np.searchsorted(t, beats + at + 6 * width), strict=True):
             x[lo:hi] += top * np.exp(-0.5 * ((t[lo:hi] - b - at) / width) ** 2)
     x = base + (-height if inverted else height) * x + wander * np.sin(2 * np.pi * 0.2 * t) + noise * rng.standard_normal(len(t))
     peaks = np.round(beats * fs).astype(int)
